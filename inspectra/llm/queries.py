@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inspectra.llm.bm25_packing import op10_bm25_packing
+from inspectra.llm.fst_tokens import op2_fst_token_counts
 from inspectra.llm.huffman_ids import op3_huffman_ids
+from inspectra.llm.merge_replay import op6_merge_replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fst_token_counts": op2_fst_token_counts,
     "op3_huffman_ids": op3_huffman_ids,
+    "op6_merge_replay": op6_merge_replay,
     "op10_bm25_packing": op10_bm25_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
