@@ -13,6 +13,9 @@ from inspectra.llm.common import steps
 #: Characters that Python's split() takes as white space and the tokenizer doesn't; such texts go to the library whole.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 LONGEST_KEPT = 48
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters before it are composed, and Python and the tokenizer agree on them and their lower case.
+NOT_LATIN = "\u0250"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -24,9 +27,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, most: int = 800_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)  # for words that its normalizer and splitting leave as they are
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65_536 else "<u4")
         self.most, self.kept = most, {}
 
@@ -44,14 +50,37 @@ class WordEncoder:
         out = []
         for t, c in zip(texts, chunks):
             out.append(self.pack(self.library.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(kept.__getitem__, c)))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del kept[w]
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            for x in (w, w.rstrip(PUNCTUATION).lower(), w[len(w.rstrip(PUNCTUATION)) :]):
+                if len(x) > LONGEST_KEPT:
+                    kept.pop(x, None)
         return out
 
     def _learn(self, new: list[str]) -> None:
-        for w, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[w] = self.pack(got.ids)
+        """A Latin word with punctuation after it is two pieces to the tokenizer: its lower case and the punctuation."""
+        kept, split, plain, other = self.kept, [], set(), []
+        for w in new:
+            word = w.rstrip(PUNCTUATION)
+            low = word.lower()
+            if word.isalpha() and low.isalpha() and (word.isascii() or max(word) < NOT_LATIN):
+                rest = w[len(word) :]
+                if low not in kept:
+                    plain.add(low)
+                if rest and rest not in kept:
+                    kept[rest] = self.pack(self.library.encode(rest, add_special_tokens=False).ids)
+                if low != w:
+                    split.append((w, low, rest))
+            else:
+                other.append(w)
+        for library, words in ((self.bare, list(plain)), (self.library, other)):
+            got = library.encode_batch_fast(words, add_special_tokens=False)
+            ids = [x.ids for x in got]
+            raw, at, size = self.pack([i for x in ids for i in x]), 0, self.dtype.itemsize
+            for w, x in zip(words, ids):
+                kept[w] = raw[at : at + len(x) * size]
+                at += len(x) * size
+        for w, low, rest in split:
+            kept[w] = kept[low] + kept[rest] if rest else kept[low]
 
 
 def encoder(path: str) -> WordEncoder:
