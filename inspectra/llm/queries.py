@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inspectra.llm.bag_minhash import op5_bag_minhash
+from inspectra.llm.ball_tree import OP4_SQL, op4_ball_tree_topk
 from inspectra.llm.bm25_packing import op10_bm25_packing
 from inspectra.llm.fst_tokens import op2_fst_token_counts
 from inspectra.llm.huffman_ids import op3_huffman_ids
+from inspectra.llm.line_edit_join import op7_line_edit_join
+from inspectra.llm.markov_secrets import op9_markov_secrets
 from inspectra.llm.merge_replay import op6_merge_replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fst_token_counts": op2_fst_token_counts,
     "op3_huffman_ids": op3_huffman_ids,
+    "op4_ball_tree_topk": op4_ball_tree_topk,
+    "op5_bag_minhash": op5_bag_minhash,
     "op6_merge_replay": op6_merge_replay,
+    "op7_line_edit_join": op7_line_edit_join,
+    "op9_markov_secrets": op9_markov_secrets,
     "op10_bm25_packing": op10_bm25_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_ball_tree_topk": OP4_SQL}
