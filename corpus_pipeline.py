@@ -1,15 +1,62 @@
-"""The training-data pipeline: toxicity, line dedup, near-dedup, secret scans, packing."""
+"""The training-data pipeline: toxicity, line dedup, near-dedup, secret scans, packing.
+
+Each stage takes what its predecessor kept, as read back from Parquet, and returns the columns of documents; the last returns the
+pieces of the packed sequences. Null and empty texts pass every stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inspectra.llm.bag_minhash import one_of_each
+from inspectra.llm.bm25_packing import packed_documents
+from inspectra.llm.common import written
+from inspectra.llm.line_edit_join import dedup_lines
+from inspectra.llm.markov_secrets import redact
+from inspectra.llm.toxicity import without_toxic
+
+TOKENIZER = "word_bpe_49k.json"
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches the threshold go."""
+    return _documents(without_toxic(spark, docs, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that have an equal or nearly equal earlier line go."""
+    return _documents(dedup_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return _documents(one_of_each(docs))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return _documents(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return packed_documents(spark, docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", packing)]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -70,7 +70,7 @@ class Best:
 
     def take(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         got = self.vectors[q] @ vectors.T
-        got = np.rint(got).astype(np.int64)
+        got = got if got.dtype == np.int64 else np.rint(got).astype(np.int64)
         own = self.ids[q][:, None] == ids[None]
         worth = (got >= self.least[q][:, None]) & ~own
         some = worth.any(1)

@@ -14,6 +14,7 @@ from inspectra.llm.huffman_ids import op3_huffman_ids
 from inspectra.llm.line_edit_join import op7_line_edit_join
 from inspectra.llm.markov_secrets import op9_markov_secrets
 from inspectra.llm.merge_replay import op6_merge_replay
+from inspectra.llm.toxicity import op8_lexicon_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fst_token_counts": op2_fst_token_counts,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bag_minhash": op5_bag_minhash,
     "op6_merge_replay": op6_merge_replay,
     "op7_line_edit_join": op7_line_edit_join,
+    "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_markov_secrets": op9_markov_secrets,
     "op10_bm25_packing": op10_bm25_packing,
 }
