@@ -89,15 +89,17 @@ def _last_pairs(entries: DataFrame) -> DataFrame:
 
 def near_pairs(lines: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of the lines' hashes, each once."""
-    entries, found = _split(_entries(lines)), []
+    entries, found, level = _split(_entries(lines)), [], 1
     while True:
         bare = entries.select("key", "more", "n", "doc", "h")
-        hot = written(bare.where(f"more = 0 AND n > 0").groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
+        hot = written(bare.where("more = 0 AND n > 0").groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
         if hot.isEmpty():
             found.append(_pairs(bare))
             break
         found.append(_pairs(bare.join(hot, "key", "left_anti")))
-        more = written(entries.join(hot, "key", "left_semi"), "hot-lines")
+        # the keys choose lines first, so that no text moves more than once
+        some, level = lines.join(bare.join(hot, "key", "left_semi").select("h").distinct(), "h", "left_semi"), level + 1
+        more = written(reduce(lambda e, _: _split(e), range(level - 1), _entries(some)).join(hot, "key", "left_semi"), "hot-lines")
         found.append(_last_pairs(more.where(F.col("n") <= LEAST_REST)))
         entries = _split(more.where(F.col("n") > LEAST_REST))
     low, high = F.least("a", "b"), F.greatest("a", "b")
@@ -106,8 +108,8 @@ def near_pairs(lines: DataFrame) -> DataFrame:
 
 def covered_lines(lines: DataFrame) -> DataFrame:
     """Keys (_line_h, _line_g) of the lines that have an earlier line within one edit."""
-    pairs = written(near_pairs(lines), "line-pairs")
-    both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    pairs = written(near_pairs(lines), "line-pairs").hint("merge")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().hint("merge")  # the same plan at every size
     some = written(lines.join(both, "h", "left_semi"), "near-lines")
     side = lambda c: some.select(F.col("h").alias(c), F.struct("doc", "h", "line").alias(f"{c}_at"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("a_at.line", "b_at.line", 1).isin(0, 1) & (F.col("a_at") != F.col("b_at")))
