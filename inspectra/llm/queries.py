@@ -11,12 +11,14 @@ from inspectra.llm.ball_tree import OP4_SQL, op4_ball_tree_topk
 from inspectra.llm.bm25_packing import op10_bm25_packing
 from inspectra.llm.fst_tokens import op2_fst_token_counts
 from inspectra.llm.huffman_ids import op3_huffman_ids
+from inspectra.llm.jpeg_media import op1_progressive_jpeg
 from inspectra.llm.line_edit_join import op7_line_edit_join
 from inspectra.llm.markov_secrets import op9_markov_secrets
 from inspectra.llm.merge_replay import op6_merge_replay
 from inspectra.llm.toxicity import op8_lexicon_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_fst_token_counts": op2_fst_token_counts,
     "op3_huffman_ids": op3_huffman_ids,
     "op4_ball_tree_topk": op4_ball_tree_topk,
