@@ -8,7 +8,8 @@ registers, which keeps its earliest point: two registers agree with the probabil
 
 Equal word sequences become one vertex first. In rounds, each bucket of a band has one leader, its members are verified
 against it, and verified links join classes; members of a bucket that are then still in different classes are verified
-against each other. Pairs of one class need no look: a class is a connected component. Estimates below LEAST_ESTIMATE
+against each other. Pairs of one class need no look: a class is a connected component. Before that, members of crowded buckets
+go that have too many shingles of their own to be similar to anyone. Estimates below LEAST_ESTIMATE
 agreeing registers are left out before verification (five and a half standard deviations at similarity 0.8).
 
 Edge cases: null texts count as empty, and all empty texts are one class; an empty table gives an empty result; repeated rows
@@ -33,6 +34,8 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 ROUNDS = 3
+#: Members from which a bucket is thinned before its members meet.
+CROWDED = 32
 LEAST_ESTIMATE = 0.6
 #: Words kept with their hashes in a worker.
 MOST_WORDS = 1_000_000
@@ -230,32 +233,89 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = written(shared.select("a", "b"), "links")
     if not edges.isEmpty():
         edges = components(edges).select(F.col("v").alias("a"), F.col("root").alias("b"))
-    for turn in range(ROUNDS + 1):
-        labels = edges.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
-        labelled = buckets.join(labels, "vertex", "left").select("band", "vertex", F.coalesce("label", "vertex").alias("label"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n").select("band")
-        labelled = labelled.join(mixed, "band", "left_semi")
-        if turn < ROUNDS:
-            order = F.col("vertex") if turn == 0 else F.xxhash64("vertex", F.lit(turn))
-            leader = labelled.groupBy("band").agg(F.min(order).alias("o"))
-            leader = labelled.withColumn("o", order).join(leader, ["band", "o"]).select("band", F.col("vertex").alias("b"), F.col("label").alias("b_label"))
-            met = labelled.join(leader, "band").where("label <> b_label").groupBy(F.col("vertex").alias("a"), "b").count()
-            if turn == 0:  # at first, only the leader that it meets most often
-                met = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).where("nth = 1")
-            pairs = met.select("a", "b")
-        else:
-            other = labelled.select("band", F.col("vertex").alias("b"), F.col("label").alias("b_label"))
-            pairs = labelled.join(other, "band").where("label < b_label").select(F.col("vertex").alias("a"), "b").distinct()
-        if turn:
-            pairs = _likely(pairs, registers)
-        links = written(verified(pairs, grams), "links")
-        if links.isEmpty():
-            continue
-        edges = components(edges.union(links)).select(F.col("v").alias("a"), F.col("root").alias("b"))
+    # at first each vertex meets one leader, of those that stand in the most crowded buckets the one that it meets most often
+    crowd = buckets.groupBy("band").agg(F.count("*").alias("size"))
+    order = buckets.join(crowd, "band").groupBy("vertex").agg(F.sum("size").alias("o"))
+    pairs = _leader_pairs(_mixed(buckets, edges), order, first_only=True)
+    pairs = written(pairs, "pairs")
+    edges = _joined(edges, verified(pairs, grams))
+    buckets = written(_without_hopeless(buckets, _mixed(buckets, edges), pairs, grams), "buckets")
+    for turn in range(1, ROUNDS):
+        order = ids.select("vertex", F.xxhash64("vertex", F.lit(turn)).alias("o"))
+        edges = _joined(edges, verified(_likely(_leader_pairs(_mixed(buckets, edges), order), registers), grams))
+    left = _mixed(buckets, edges)
+    other = left.select("band", F.col("vertex").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("common").alias("b_common"))
+    overlap = LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + F.col("b_n")) - 1e-6
+    enough = F.coalesce((F.col("common") >= overlap) & (F.col("b_common") >= overlap), F.lit(True))
+    pairs = left.join(other, "band").where((F.col("label") < F.col("b_label")) & enough).select(F.col("vertex").alias("a"), "b").distinct()
+    edges = _joined(edges, verified(_likely(pairs, registers), grams))
     classes = copies.join(edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")), "vertex", "left").select("digest", F.coalesce("root", "vertex").alias("class_id"))
     return all_signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
 
 
+def _mixed(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The buckets whose members are in different classes so far, with each member's label."""
+    labels = edges.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
+    labelled = buckets.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("m"), F.max("label").alias("n_")).where("m <> n_").select("band")
+    return labelled.join(mixed, "band", "left_semi")
+
+
+def _leader_pairs(labelled: DataFrame, order: DataFrame, first_only: bool = False) -> DataFrame:
+    """Pairs (a, b) of a bucket's members and its leader, the member that is greatest by `o`."""
+    ranked = labelled.join(order, "vertex")
+    best = ranked.groupBy("band").agg(F.max(F.struct("o", -F.col("vertex"), "vertex", "label")).alias("x")).select("band", F.col("x.vertex").alias("b"), F.col("x.label").alias("b_label"))
+    met = labelled.join(best, "band").where("label <> b_label").groupBy(F.col("vertex").alias("a"), "b").count()
+    if first_only:
+        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).where("nth = 1")
+    return met.select("a", "b")
+
+
+def _joined(edges: DataFrame, links: DataFrame) -> DataFrame:
+    links = written(links, "links")
+    return edges if links.isEmpty() else components(edges.union(links)).select(F.col("v").alias("a"), F.col("root").alias("b"))
+
+
+def _without_hopeless(buckets: DataFrame, mixed: DataFrame, pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """buckets with n and common (of vertices in crowded mixed buckets), without the entries that can't have a partner there.
+
+    Similar multisets share LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) of their summed sizes. What of a vertex occurs in no other member of any
+    such bucket can't be shared; the rest is `common`. Most of it is shared with the vertex's first leader, so only what differs is counted.
+    """
+    crowded = mixed.groupBy("band").count().where(F.col("count") >= CROWDED).select("band")
+    inside = written(buckets.join(crowded, "band", "left_semi"), "crowded")
+    own = inside.select("vertex").distinct()
+    led = own.join(pairs.withColumnRenamed("a", "vertex"), "vertex", "left").select("vertex", F.coalesce("b", "vertex").alias("leader"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "x"):
+            rows = []
+            for same, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                rest = x if same else np.setdiff1d(x, y, assume_unique=True)
+                rows.append((len(x), 0 if same else len(x) - len(rest), rest))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["vertex", "n", "shared", "rest"])
+
+    leaders = led.select(F.col("leader").alias("vertex"), "leader").distinct()
+    both = led.where("vertex <> leader").union(leaders).distinct()
+    x, y = grams.withColumnRenamed("grams", "x"), grams.select(F.col("vertex").alias("leader"), F.col("grams").alias("y"))
+    parts = both.join(x, "vertex").join(y, "leader").select("vertex", (F.col("vertex") == F.col("leader")).alias("same"), "x", "y").mapInArrow(differ, "vertex long, n long, shared long, rest array<long>")
+    parts = written(parts, "differences")
+    each = parts.select("vertex", F.explode("rest").alias("gram"))
+    seen = each.groupBy("gram").agg(F.min("vertex").alias("p"), F.max("vertex").alias("q")).where("p <> q").select("gram")
+    known = each.join(seen, "gram", "left_semi").groupBy("vertex").agg(F.count("*").alias("also"))
+    # a vertex that leads others has a row of its own and may have one against its leader: the row of its own says all
+    sized = parts.join(known, "vertex", "left").groupBy("vertex").agg(F.max("n").alias("n"), F.max(F.col("shared") + F.coalesce("also", F.lit(0))).alias("common"))
+    # leaders' grams are those of others too
+    sized = sized.join(leaders.select("vertex", F.lit(True).alias("leads")), "vertex", "left").select("vertex", "n", F.when(F.col("leads"), F.col("n")).otherwise(F.col("common")).alias("common"))
+    entries = inside.join(sized, "vertex")
+    least = entries.groupBy("band").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", LEAST_SIMILARITY * F.col("n"))
+    hope = entries.join(least, "band").where(F.col("common") >= LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + partner) - 1e-6).select("band", "vertex", "n", "common")
+    none = F.lit(None).cast("long")
+    return buckets.join(crowded, "band", "left_anti").select("band", "vertex", none.alias("n"), none.alias("common")).union(hope)
+
+
 def _repeated(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
