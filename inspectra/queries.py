@@ -412,7 +412,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CEF = """'CEF:0|Inspectra|Inspectra|1.0|' || CASE action_taken WHEN 'block' THEN 100 WHEN 'notify' THEN 200 WHEN 'log' THEN 300 WHEN 'quarantine' THEN 400 ELSE 999 END || '|DLP ' || action_taken || ': ' || policy_name || '|'
     || CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 8 WHEN 'medium' THEN 5 WHEN 'low' THEN 3 ELSE 1 END || '|act=' || action_taken || ' cat=' || channel || ' cs1=' || policy_name || ' cs1Label=PolicyName cs2=' || source_type
-    || ' cs2Label=SourceType cn1=' || match_count || ' cn1Label=MatchCount sev=' || severity || ' outcome=' || status || coalesce(' suser=' || "user", '') || coalesce(' fname=' || file_name, '') || ' rt=' || epoch_ms(created_at)"""
+    || ' cs2Label=SourceType cn1=' || match_count || ' cn1Label=MatchCount sev=' || severity || ' outcome=' || status || coalesce(' suser=' || "user", '') || coalesce(' fname=' || file_name, '') || ' rt=' || CAST(floor(epoch_us(created_at) / 1000) AS BIGINT)"""
 
 
 @query(f"WITH {_INCIDENTS} SELECT id, CAST(104 + greatest(0, 7 - CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 8 WHEN 'medium' THEN 5 WHEN 'low' THEN 3 ELSE 1 END) AS INT) AS priority, {_CEF} AS line FROM i WHERE severity NOT IN ('info', 'low')")
