@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that one step of a Python task takes from an Arrow batch at a time.
 STEP_CHARS = 1_000_000
@@ -39,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of df (all, if fewer), chosen by a hash of their columns: no task sees more than its own rows."""
+    columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    share = min(1.0, most / max(1, df.count()))
+    return df if share == 1.0 else df.where(F.xxhash64(*(F.col(f"`{c}`") for c in columns)) < int((2 * share - 1) * 2.0**63))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,7 @@
 All in DataFrame functions. A pattern's matches get their places from the lengths of the matches and of the pieces between
 them. Runs of RUN characters that no pattern holds are secrets if the log-likelihood ratio of the two first-order character
 models exceeds LEAST_RATIO. The models are trained from labelled samples: random strings are what the patterns find and hashes
-made for it, ordinary identifiers the other runs, both of SAMPLE_DOCS documents (those with the smallest hashes) at most.
+made for it, ordinary identifiers the other runs, both of about SAMPLE_DOCS documents at most, chosen by hash.
 
 Edge cases: a null text is empty and has no spans; an empty table gives an empty result and no models are needed; rows are
 independent, so repeated rows repeat; positions count code points, ends are exclusive; other columns are ignored, whatever
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm.common import table
+from inspectra.llm.common import hash_sample, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -61,8 +61,8 @@ def base_spans(text: Column) -> Column:
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Labelled strings (random boolean, s string) from a bounded number of documents, and from hashes of numbers."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    some = docs.select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_DOCS)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    some = hash_sample(docs, SAMPLE_DOCS).select(text.alias("t"))
     secret = F.concat(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
     secret = F.filter(secret, lambda s: F.length(s) >= 16)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")

@@ -5,7 +5,7 @@ else. They form a trie; its product with the Levenshtein automata of edit distan
 word costs one lookup for each letter. Each hit is looked at in its window: is it quoted, how many others are near. A logistic
 regression on the counts (unquoted and quoted apart) gives the score.
 
-MOST_LABELLED labelled documents at most (those with the smallest id hashes) train lexicon and weights; that is the only sample.
+About MOST_LABELLED labelled documents at most, chosen by hash, train lexicon and weights; that is the only sample.
 No label, language, source or id is an input of a score.
 
 Edge cases: null and empty texts get the score of a text without hits; without labels every score is 0; an empty table gives an
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm.common import steps, table
+from inspectra.llm.common import hash_sample, steps, table
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 400
@@ -214,7 +214,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[str, ...], np.ndarray | None]:
     """Terms and weights. The driver gets the chosen rows' counts and features: both bounded."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_doc"), "_doc").limit(MOST_LABELLED)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").alias("_toxic"))
+    known = hash_sample(known, MOST_LABELLED)
     some = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "_doc").select("text", (F.col("_toxic") > 0).alias("toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
