@@ -14,7 +14,7 @@ agreeing registers are left out before verification (five and a half standard de
 
 Edge cases: null texts count as empty, and all empty texts are one class; an empty table gives an empty result; repeated rows
 and rows with equal doc_ids share a class; a null doc_id is in the class of its text under its own null id; texts of any length are
-taken whole; other columns are ignored.
+taken whole; other columns are kept, whatever their names, if they don't begin with `_near_`.
 """
 
 from __future__ import annotations
@@ -335,11 +335,11 @@ def _likely(pairs: DataFrame, registers: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the least doc_id of their class; of rows with one doc_id, that with the least text."""
     classes = near_classes(docs, id_col, text_col)
-    stay = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).select(F.col("doc_id").alias("_doc"), "_rows")
-    left = docs.withColumn("_doc", F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).join(stay, "_doc")
-    if not stay.where("_rows > 1").isEmpty():
-        left = left.withColumn("_rows", F.row_number().over(Window.partitionBy("_doc").orderBy(F.col(text_col)))).where("_rows = 1")
-    return left.drop("_doc", "_rows")
+    stay = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_near_rows")).select(F.col("doc_id").alias("_near_doc"), "_near_rows")
+    left = docs.withColumn("_near_doc", F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).join(stay, "_near_doc")
+    if not stay.where("_near_rows > 1").isEmpty():
+        left = left.withColumn("_near_rows", F.row_number().over(Window.partitionBy("_near_doc").orderBy(F.col(text_col)))).where("_near_rows = 1")
+    return left.drop("_near_doc", "_near_rows")
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ models exceeds LEAST_RATIO. The models are trained from labelled samples: random
 made for it, ordinary identifiers the other runs, both of about SAMPLE_DOCS documents at most, chosen by hash.
 
 Edge cases: a null text is empty and has no spans; an empty table gives an empty result and no models are needed; rows are
-independent, so repeated rows repeat; positions count code points, ends are exclusive; other columns are ignored, whatever
-their names.
+independent, so repeated rows repeat; positions count code points, ends are exclusive; other columns are kept, whatever
+their names, if they don't begin with `_secret_`.
 """
 
 from __future__ import annotations
@@ -97,14 +97,14 @@ def ratio(s: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with two more columns: secret_base and secret_spans, arrays of (start, kind's number, end)."""
+    """docs with two more columns: _secret_base and _secret_spans, arrays of (start, kind's number, end)."""
     model = train(samples(docs, text_col)) if model is None else model
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    text = F.coalesce(F.col("_secret_text"), F.lit(""))
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     random = F.transform(runs, lambda s: s.rlike("[A-Za-z]") & s.rlike("[0-9]|[a-z][A-Z]|^[A-Z]+$") & (ratio(s, model) > LEAST_RATIO))
-    out = docs.withColumn("_text", docs[text_col].cast("string")).withColumn("secret_base", base_spans(text))
-    added = F.filter(match_spans(text, RUN, 3, random), lambda x: ~F.exists("secret_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added))).drop("_text")
+    out = docs.withColumn("_secret_text", docs[text_col].cast("string")).withColumn("_secret_base", base_spans(text))
+    added = F.filter(match_spans(text, RUN, 3, random), lambda x: ~F.exists("_secret_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return out.withColumn("_secret_spans", F.array_sort(F.concat("_secret_base", added))).drop("_secret_text")
 
 
 def listed(spans: Column) -> Column:
@@ -122,11 +122,11 @@ def redact(docs: DataFrame, model: list[float] | None = None, text_col: str = "t
         out = F.when(later, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    masked = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), mask, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, masked).otherwise(F.col(text_col))).drop("secret_base", "secret_spans")
+    masked = F.aggregate("_secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), mask, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col(text_col))).drop("_secret_base", "_secret_spans")
 
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = lambda kind: F.size(F.filter("secret_base", lambda s: s["kind"] == kind)).cast("long")
-    return scan(docs).select(F.col("doc_id").cast("long").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("secret_base")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+    n = lambda kind: F.size(F.filter("_secret_base", lambda s: s["kind"] == kind)).cast("long")
+    return scan(docs).select(F.col("doc_id").cast("long").alias("doc_id"), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("_secret_base")), 256).alias("base_sha256"), listed(F.col("_secret_spans")).alias("spans"))

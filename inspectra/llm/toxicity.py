@@ -10,7 +10,8 @@ No label, language, source or id is an input of a score.
 
 Edge cases: null and empty texts get the score of a text without hits; without labels every score is 0; an empty table gives an
 empty result; repeated rows get equal scores; a document with several labels counts as toxic if one says so; null labels don't
-count; texts of any length are taken whole; other columns are ignored.
+count; texts of any length are taken whole; other columns are kept, whatever
+their names, but for `_toxicity`.
 """
 
 from __future__ import annotations
@@ -247,10 +248,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[str, ...], np.ndarr
 
 
 def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray | None]) -> DataFrame:
-    """docs with the column toxicity, from 0 to 1."""
+    """docs with the column _toxicity, from 0 to 1."""
     terms, weights = model
     if weights is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn("_toxicity", F.lit(0.0))
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -266,16 +267,16 @@ def score(docs: DataFrame, model: tuple[tuple[str, ...], np.ndarray | None]) ->
                 at = end
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("toxicity", toxicity(docs["text"].cast("string")))
+    return docs.withColumn("_toxicity", toxicity(docs["text"].cast("string")))
 
 
 def op8_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs whose score is under the threshold."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    return score(docs, model).where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)

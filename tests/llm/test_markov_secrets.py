@@ -24,7 +24,7 @@ HARD = [
 def test_base_spans(spark, sf_dir):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(HARD)] + [(3, HARD[3], "x")], "doc_id long, text string, s string")
     model = [0.0] * len(M.ALPHABET) ** 2
-    got = M.scan(df, model).select("doc_id", "s", M.listed("secret_base").alias("base"), M.listed("secret_spans").alias("spans")).collect()
+    got = M.scan(df, model).select("doc_id", "s", M.listed("_secret_base").alias("base"), M.listed("_secret_spans").alias("spans")).collect()
     assert len(got) == len(HARD) + 1 and all(r["base"] == r["spans"] == base(HARD[r["doc_id"]] or "") for r in got)
     assert M.scan(df.limit(0), model).count() == 0 and M.scan(df.limit(0)).count() == 0
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -41,7 +41,7 @@ def test_models_tell_random_from_ordinary(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = M.train(M.samples(docs))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in M.scan(df, model).select("doc_id", M.listed("secret_spans").alias("spans")).collect()}
+    got = {r["doc_id"]: r["spans"] for r in M.scan(df, model).select("doc_id", M.listed("_secret_spans").alias("spans")).collect()}
     assert got[12] == "random:4:36" and got[13] == ""
     left = {r["doc_id"]: r["text"] for r in M.redact(df, model).collect()}
     assert left[12] == "key [SECRET] here" and left[13] == HARD[13] and left[0] is None

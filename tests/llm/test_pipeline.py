@@ -16,7 +16,7 @@ def test_stages(spark, sf_dir):
             assert docs.columns == list(C.COLUMNS)
     texts = {k: {r["doc_id"]: r["text"] for r in v.collect()} for k, v in seen.items() if k != "packing"}
     model = train(seen["documents"], spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = {r["doc_id"] for r in score(seen["documents"], model).where(f"toxicity >= {THRESHOLD}").collect()}
+    toxic = {r["doc_id"] for r in score(seen["documents"], model).where(f"_toxicity >= {THRESHOLD}").collect()}
     assert toxic and set(texts["toxicity"]) == set(texts["documents"]) - toxic
     some = dict(list(texts["toxicity"].items())[:60])
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string").selectExpr("*", "'' lang", "'' source", "0L n_chars")

@@ -62,12 +62,12 @@ def test_edges(spark, sf_dir):
     docs = spark.createDataFrame([(None, "You idiot, you moron", 1.0), (1, None, 1.0), (1, "", 1.0), (2, 'they said "idiot"', 1.0)], "doc_id long, text string, score double")
     model = (("idiot$", "moron$"), np.array([-3.0, 2.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0]))
     got = T.score(docs, model).collect()
-    assert [r["toxicity"] > 0.3 for r in got] == [True, False, False, False] and got[1]["toxicity"] == got[2]["toxicity"] and got[0]["score"] == 1.0
+    assert [r["_toxicity"] > 0.3 for r in got] == [True, False, False, False] and got[1]["_toxicity"] == got[2]["_toxicity"] and got[0]["score"] == 1.0
     empty = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert T.score(empty, model).count() == 0
     assert T.train(docs, labels) == ((), None)
-    assert {r["toxicity"] for r in T.score(docs, T.train(docs, labels)).collect()} == {0.0}
+    assert {r["_toxicity"] for r in T.score(docs, T.train(docs, labels)).collect()} == {0.0}
     held = {r["doc_id"]: r["h"] for r in spark.range(50).select(F.col("id").alias("doc_id"), T.held_out(F.col("id")).alias("h")).collect()}
     import zlib
 
