@@ -104,3 +104,43 @@ def validator(name: str | None, custom: dict[str, Callable[[Column], Column]] |
     if name not in known:
         raise ValueError(f"unknown validator: {name}")
     return known[name]
+
+
+# The endpoint's dialect: what agents check differs from what the server checks.
+
+
+def _between_digits(x: Column, low: int, high: int) -> Column:
+    d = F.regexp_replace(x, r"[\s-]", "")
+    return _sure(d.rlike(f"^[0-9]{{{low},{high}}}$") & F.call_function("luhn_check", d))
+
+
+def _endpoint_phone(x: Column) -> Column:
+    d = F.regexp_replace(_digits(x), "^1([0-9]{10})$", "$1")
+    return _sure((F.length(d) == 10) & ~F.substring(d, 1, 1).isin("0", "1") & (F.substring(d, 4, 1) != "0"))
+
+
+def _endpoint_email(x: Column) -> Column:
+    s = F.trim(x)
+    local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
+    return _sure(s.rlike("^[^@]{1,64}@[^@]+$") & (local != "") & domain.rlike(r"^[^.-](.*[^.-])?$") & domain.rlike(r"\.[^.]{2,}$"))
+
+
+def _endpoint_ipv4(x: Column) -> Column:
+    s = F.trim(x)
+    return _sure(s.rlike(r"^((0|[1-9][0-9]{0,2})\.){3}(0|[1-9][0-9]{0,2})$") & ipv4_range(s))
+
+
+def _endpoint_date(x: Column) -> Column:
+    s = F.trim(x)
+    return _sure(F.when(s.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.year(F.try_to_timestamp(s, F.lit("MM/dd/yyyy"))).between(1900, 2025)))
+
+
+ENDPOINT_VALIDATORS: dict[str, Callable[[Column], Column]] = VALIDATORS | {
+    "luhn": lambda x: _between_digits(x, 13, 19),
+    "phone_format": _endpoint_phone,
+    "email_domain": _endpoint_email,
+    "passport_format": lambda x: _sure(F.trim(x).rlike("^[A-Za-z][0-9]{8}$")),
+    "drivers_license_format": lambda x: _sure(F.trim(x).rlike("^([A-Za-z][0-9]{6,12}|[0-9]{7,13})$")),
+    "ipv4_range": _endpoint_ipv4,
+    "date_calendar": _endpoint_date,
+}

@@ -90,3 +90,25 @@ def trend_lines(trend: DataFrame) -> DataFrame:
     """Rows of a trend report: the metric in title case, changes with their sign."""
     sign = lambda c, form: F.format_string(form, F.col(c))
     return trend.select(F.initcap(F.replace("metric", F.lit("_"), F.lit(" "))).alias("metric"), "current", "previous", sign("delta", "%+d").alias("delta"), sign("delta_percent", "%+.1f%%").alias("delta_percent"))
+
+
+def summary_lines(summary: DataFrame, start: str, end: str) -> DataFrame:
+    """Lines of a summary report, in order: an overview, then a section for each field with values by count."""
+    total = summary.where(F.col("field") == "severity").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    head = total.select(F.lit("").alias("field"), F.lit(-1).cast("long").alias("rank"), F.explode(F.array(F.lit("Summary report"), F.lit(f"Period,{start},{end}"), F.concat(F.lit("Total,"), F.col("n").cast("string")))).alias("line"))
+    titles = summary.select("field").distinct().select("field", F.lit(0).cast("long").alias("rank"), F.initcap(F.replace("field", F.lit("_"), F.lit(" "))).alias("line"))
+    quoted = F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = summary.select("field", (1 - F.col("n") + (1 << 62)).alias("rank"), F.concat_ws(",", quoted, F.col("n").cast("string"), F.col("percentage").cast("string")).alias("line"))
+    return head.unionByName(titles).unionByName(rows).orderBy("field", "rank", "line").select("line")
+
+
+def status_events(agents: DataFrame, vendor: str = VENDOR, product: str = PRODUCT) -> DataFrame:
+    """Event objects of agents (agent, hostname, status, ts)."""
+    lit = F.lit
+    event = F.struct(lit("agent_status").alias("event_type"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("@timestamp"), F.struct(lit("event").alias("kind"), F.array(lit("host")).alias("category"), lit("agent_heartbeat").alias("action"), lit("dlp.agents").alias("dataset")).alias("event"), F.struct(F.col("agent").alias("id"), "hostname").alias("agent"), F.struct(lit(vendor).alias("vendor"), lit(product).alias("product"), lit("dlp").alias("type")).alias("observer"), F.struct(F.col("status").alias("agent_status")).alias("dlp"))
+    return agents.select("agent", F.to_json(event).alias("event"))
+
+
+def write_by_month(incidents: DataFrame, path: str, ts: str = "created_at") -> None:
+    """Incidents in folders of a year and month, which readers of a period prune."""
+    incidents.withColumns({"year": F.year(ts), "month": F.month(ts)}).repartition("year", "month").write.partitionBy("year", "month").mode("append").parquet(path)

@@ -242,3 +242,20 @@ def evaluate_stored(messages: DataFrame, components: DataFrame, stored: dict[str
     found = [run_probes(components, probes)] if probes else []
     found += [file_type_matches(components, key, types) for _, _, t in compiled for key, types in t.items()]
     return evaluate(messages, all_matches(*found), [p for p, _, _ in compiled], triggered_only)
+
+
+def stored_rows(policies: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Policies (id, name, status, severity, is_template, version), their rules (id, policy_id, name) and conditions (rule_id, condition_type,
+    component, config) as one row with nested rules for each policy that is in force: the newest version, active, no template."""
+    newest = policies.groupBy("id").agg(F.max_by(F.struct(*[c for c in policies.columns if c != "id"]), "version").alias("p")).select("id", "p.*")
+    inner = conditions.groupBy("rule_id").agg(F.collect_list(F.struct("condition_type", "component", "config")).alias("conditions"))
+    of = rules.withColumnRenamed("id", "rule_id").join(inner, "rule_id", "left")
+    nested = of.groupBy("policy_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "name", "conditions"))).alias("rules"))
+    return newest.where("status = 'active' AND NOT is_template").join(nested.withColumnRenamed("policy_id", "id"), "id", "left").withColumn("severity", F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("medium"))
+
+
+def edited(stored: dict, **changes: object) -> dict:
+    """A stored policy with what is not None changed; the original stays as it is."""
+    import copy
+
+    return copy.deepcopy(stored) | {k: v for k, v in changes.items() if v is not None}

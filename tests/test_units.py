@@ -265,3 +265,34 @@ def test_state(spark):
     queue = spark.createDataFrame([(1, 2, False, False), (2, 0, False, True), (3, 0, False, False)], "id int, retry_count int, is_permanent boolean, is_dismissed boolean")
     got = {r["id"]: (r["retry_count"], r["is_permanent"]) for r in incidents.dead_letters(queue, F.lit(True)).collect()}
     assert got == {1: (3, True), 2: (0, False), 3: (1, False)}
+
+
+def test_endpoint_dialect(spark):
+    from inspectra.functions.validators import ENDPOINT_VALIDATORS
+
+    cases = [
+        ("luhn", CARDS[0], True), ("luhn", "0" * 20, False), ("phone_format", "212-155-0123", True), ("phone_format", "212-055-0123", False), ("phone_format", "112-555-0123", False),
+        ("email_domain", " a@b.co ", True), ("email_domain", "a@b@c.co", False), ("email_domain", "a@-b.co", False), ("email_domain", "a@b.c", False), ("email_domain", "x" * 65 + "@b.co", False),
+        ("passport_format", "A12345678", True), ("passport_format", "123456789", False), ("drivers_license_format", "D1234567", True), ("drivers_license_format", "D12345", False),
+        ("ipv4_range", "1.2.3.4", True), ("ipv4_range", "1.2.3.04", False), ("date_calendar", "01/31/2020", True), ("date_calendar", "2020-01-31", False), ("date_calendar", "01/31/2026", False),
+    ]
+    rows = spark.createDataFrame([(v, x) for v, x, _ in cases], "v string, x string")
+    got = rows.select(F.coalesce(*[F.when(F.col("v") == n, f(F.col("x"))) for n, f in ENDPOINT_VALIDATORS.items()])).collect()
+    assert [r[0] for r in got] == [ok for *_, ok in cases]
+
+
+def test_stored_policies_and_lines(spark, tmp_path):
+    policies = spark.createDataFrame([(1, "a", "draft", "high", False, 1), (1, "a", "active", "odd", False, 2), (2, "t", "active", "low", True, 1), (3, "s", "suspended", "low", False, 1)], "id int, name string, status string, severity string, is_template boolean, version int")
+    rules = spark.createDataFrame([(10, 1, "r")], "id int, policy_id int, name string")
+    conditions = spark.createDataFrame([(10, "regex", "generic", "{}"), (10, "keyword", "body", "{}")], "rule_id int, condition_type string, component string, config string")
+    (row,) = P.stored_rows(policies, rules, conditions).collect()
+    assert (row["id"], row["severity"], len(row["rules"][0]["conditions"])) == (1, "medium", 2)
+    assert P.edited(TEMPLATES["sox"], severity="low", rules=None)["severity"] == "low" and TEMPLATES["sox"]["severity"] == "medium"
+    summary = spark.createDataFrame([("severity", "high", 3, 75.0), ("severity", "low", 1, 25.0), ("user", 'a"b', 4, 100.0)], "field string, value string, n long, percentage double")
+    lines = [r["line"] for r in export.summary_lines(summary, "2026-01-01", "2026-01-31").collect()]
+    assert set(lines[:3]) == {"Summary report", "Period,2026-01-01,2026-01-31", "Total,4"} and lines[3:] == ["Severity", '"high",3,75.0', '"low",1,25.0', "User", '"a""b",4,100.0']
+    rows = spark.createDataFrame([(1, "2026-01-05 00:00:00"), (2, "2026-02-05 00:00:00")], "id int, t string").withColumn("created_at", F.col("t").cast("timestamp_ntz"))
+    export.write_by_month(rows, f"file://{tmp_path}/m")
+    assert (tmp_path / "m" / "year=2026" / "month=2").is_dir()
+    beat = spark.createDataFrame([("a", "h", "online", "2026-01-05 00:00:00")], "agent string, hostname string, status string, ts string")
+    assert json.loads(export.status_events(beat).first()["event"])["dlp"]["agent_status"] == "online"
