@@ -200,19 +200,20 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of an edge but the roots, the least vertex of each connected component: edges turn in rounds into stars."""
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first())
     edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).where("v <> root").distinct(), "edges")
+    before = state(edges)
     while True:
         both = edges.union(edges.select(F.col("root").alias("v"), F.col("v").alias("root")))
         least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(least, "v").where(F.col("root") > F.col("v")).select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
         least = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(least, "v")
-        after = small.select("v", F.col("m").alias("root")).union(small.select(F.col("root").alias("v"), F.col("m").alias("root"))).where("v <> root").distinct()
-        after = written(after, "edges")
-        state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first())
-        if state(after) == state(edges):
-            return after
-        edges = after
+        edges = written(small.select("v", F.col("m").alias("root")).union(small.select(F.col("root").alias("v"), F.col("m").alias("root"))).where("v <> root").distinct(), "edges")
+        after = state(edges)
+        if after == before:
+            return edges
+        before = after
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
