@@ -127,3 +127,14 @@ def previously_flagged(events: DataFrame, incidents: DataFrame) -> DataFrame:
     by = Window.partitionBy("user").orderBy("at", "side", "incident_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = a.unionByName(b).where(F.col("user").isNotNull()).withColumn("last_incident", F.last("incident_id", ignorenulls=True).over(by))
     return seen.where("side = 1").select("event_id", "user", "at", "last_incident")
+
+
+def with_notes(incidents: DataFrame, notes: DataFrame, key: str = "id") -> DataFrame:
+    """Incidents with their notes (incident_id, created_at, note), oldest first, as an array; none as an empty one."""
+    own = notes.groupBy(F.col("incident_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("created_at", "note"))).alias("notes"))
+    return incidents.join(own, key, "left").withColumn("notes", F.coalesce(F.transform("notes", lambda n: n["note"]), F.array().cast("array<string>")))
+
+
+def assigned_or_open(assigned: DataFrame, unassigned: DataFrame, key: str = "id") -> DataFrame:
+    """Both sets of rows, each id once."""
+    return assigned.unionByName(unassigned).dropDuplicates([key])

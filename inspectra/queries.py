@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import normalize
 from inspectra.functions.validators import VALIDATORS
-from inspectra.operators import export, fingerprint, incidents, reports, scan
+from inspectra.operators import export, filetype, fingerprint, incidents, reports, scan
 from inspectra.plans import policy as P
 from inspectra.plans.catalog import IDENTIFIERS, TEMPLATES
 from inspectra.schema import SEVERITIES
@@ -495,6 +495,72 @@ def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.rate_limit(table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("caller"), F.col("event_id").alias("request_id"), at.alias("at")), 1)
 
 
+# ---- more of stored state
+
+
+@query(f"""WITH {_INCIDENTS}, n AS (SELECT id - id % 3 AS incident_id, created_at, 'note ' || id AS note FROM i WHERE id % 3 > 0),
+    c AS (SELECT incident_id, string_agg(note, ',' ORDER BY created_at, note) AS notes FROM n GROUP BY 1) SELECT i.id, coalesce(c.notes, '') AS notes FROM i LEFT JOIN c ON i.id = c.incident_id""")
+def incident_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of incidents, oldest first."""
+    rows = derived(spark, sf_dir)
+    notes = rows.where("id % 3 > 0").select((F.col("id") - F.col("id") % 3).alias("incident_id"), "created_at", F.concat(F.lit("note "), F.col("id").cast("string")).alias("note"))
+    return incidents.with_notes(rows.select("id"), notes).select("id", F.array_join("notes", ",").alias("notes"))
+
+
+@query("""SELECT 'host' || user_id AS agent, max(ts) AS last_seen, arg_max(event_id % 5, ts) AS version, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch_us(max(ts)) / 1000000) AS BIGINT) AS age_seconds,
+    CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch_us(max(ts)) / 1000000) <= 86400 THEN 'online' ELSE 'stale' END AS status FROM events GROUP BY user_id""")
+def agent_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each agent's last heartbeat."""
+    beats = table(spark, sf_dir, "events").select(F.concat(F.lit("host"), "user_id").alias("agent"), "ts", (F.col("event_id") % 5).alias("version"))
+    return monitor.agents(beats, REFERENCE, 1440)
+
+
+@query("""SELECT event_id AS id, CAST(CASE WHEN event_id % 4 < 3 AND event_id % 7 > 0 AND event_id % 2 = 0 THEN event_id % 4 + 1 ELSE event_id % 4 END AS INT) AS retry_count,
+    event_id % 4 = 3 OR (event_id % 7 > 0 AND event_id % 2 = 0 AND event_id % 4 + 1 >= 3) AS is_permanent FROM events""")
+def dead_letter_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One retry of every open entry."""
+    e = F.col("event_id")
+    queue = table(spark, sf_dir, "events").select(e.alias("id"), (e % 4).cast("int").alias("retry_count"), (e % 4 == 3).alias("is_permanent"), (e % 7 == 0).alias("is_dismissed"))
+    return incidents.dead_letters(queue, F.col("id") % 2 == 0).select("id", "retry_count", "is_permanent")
+
+
+@query(f"""WITH {_INCIDENTS}, v AS (SELECT id, policy_name AS subject, CASE WHEN match_count >= 15 THEN 'block' WHEN match_count >= 5 THEN 'redirect' ELSE 'modify' END AS verdict, coalesce("user", 'nobody') AS "to" FROM i)
+    SELECT id, verdict, CASE WHEN verdict = 'modify' THEN '[FLAGGED] ' || subject ELSE subject END AS out_subject, CASE verdict WHEN 'redirect' THEN 'quarantine@example.com' WHEN 'block' THEN '' ELSE "to" END AS out_recipients, CAST(CASE WHEN verdict = 'block' THEN 550 ELSE 250 END AS INT) AS reply FROM v""")
+def mail_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verdicts do to mails."""
+    n = F.col("match_count")
+    mails = derived(spark, sf_dir).select("id", F.col("policy_name").alias("subject"), "match_count", F.array(F.coalesce("user", F.lit("nobody"))).alias("recipients"), F.when(n >= 15, "block").when(n >= 5, "redirect").otherwise("modify").alias("verdict"))
+    return incidents.smtp_effects(mails).select("id", "verdict", "out_subject", F.coalesce(F.array_join("out_recipients", ","), F.lit("")).alias("out_recipients"), "reply")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type IN ('low', 'high') THEN event_type ELSE 'medium' END AS severity, CASE event_id % 3 WHEN 0 THEN 'email' ELSE 'usb' END AS channel, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS file_size,
+    CASE WHEN event_id % 2 = 0 THEN 'f' END AS file_name FROM events""")
+def agent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of agents as incident columns."""
+    e = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(e.alias("id"), F.upper("event_type").alias("severity"), F.when(e % 3 == 0, "EMAIL").otherwise("elsewhere").alias("channel"), (e % 5).alias("file_size"), F.when(e % 2 == 0, "f").otherwise("").alias("file_name"))
+    return incidents.normalize_report(raw)
+
+
+@query("SELECT doc_id AS path, n_chars AS length FROM documents WHERE doc_id % 3 = 0 OR n_chars % 2 = 1")
+def incremental_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the cache doesn't know as they are."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    seen = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("length"), now.alias("modificationTime"))
+    cache = seen.where("path % 3 > 0").withColumn("length", F.col("length") + F.when(F.col("length") % 2 == 1, 1).otherwise(0))
+    return files.changed(seen, cache).select("path", "length")
+
+
+@query("""SELECT * FROM (VALUES ('a.pdf', 'PDF', 'docs'), ('b.docx', 'Microsoft Word (DOCX)', 'docs'), ('c.zip', 'ZIP', 'small'), ('d.py', 'Python Script', 'small')) AS t(filename, type_name, rule_name)""")
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6, D7, F9, on given bytes."""
+    rows = [("a.pdf", b"%PDF-1.7 and more"), ("b.docx", b"PK\x03\x04 and more than ten"), ("c.zip", b"PK\x03\x04"), ("d.py", b"x = 1"), ("e.bin", b"\0" * 50)]
+    rules = [filetype.FileRule("docs", categories=("document",)), filetype.FileRule("small", max_size=10), filetype.FileRule("nothing")]
+    found = filetype.scan_file_types(spark.createDataFrame(rows, "filename string, content_bytes binary"), rules)
+    return found.select("filename", "file_info.type_name", "rule_name")
+
+
+
 # ---- texts
 
 
