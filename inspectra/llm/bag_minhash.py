@@ -33,9 +33,10 @@ from inspectra.llm.common import steps, table, written
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
+ROUNDS = 2
 #: Members from which a bucket is thinned before its members meet.
 CROWDED = 32
+SIZES = ("leader", "n", "shared", "also")
 LEAST_ESTIMATE = 0.6
 #: Words kept with their hashes in a worker.
 MOST_WORDS = 1_000_000
@@ -245,9 +246,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = ids.select("vertex", F.xxhash64("vertex", F.lit(turn)).alias("o"))
         edges = _joined(edges, verified(_likely(_leader_pairs(_mixed(buckets, edges), order), registers), grams))
     left = _mixed(buckets, edges)
-    other = left.select("band", F.col("vertex").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("common").alias("b_common"))
+    other = left.select("band", F.col("vertex").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("label", *SIZES)])
     overlap = LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + F.col("b_n")) - 1e-6
-    enough = F.coalesce((F.col("common") >= overlap) & (F.col("b_common") >= overlap), F.lit(True))
+    # what both share with one leader, and what both have besides and others too, bounds what they share
+    most = F.least("shared", "b_shared") + F.least("also", "b_also")
+    enough = F.coalesce(F.when(F.col("leader") == F.col("b_leader"), most).otherwise(F.least(F.col("shared") + F.col("also"), F.col("b_shared") + F.col("b_also"))) >= overlap, F.lit(True))
     pairs = left.join(other, "band").where((F.col("label") < F.col("b_label")) & enough).select(F.col("vertex").alias("a"), "b").distinct()
     edges = _joined(edges, verified(_likely(pairs, registers), grams))
     classes = copies.join(edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")), "vertex", "left").select("digest", F.coalesce("root", "vertex").alias("class_id"))
@@ -278,10 +281,10 @@ def _joined(edges: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _without_hopeless(buckets: DataFrame, mixed: DataFrame, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """buckets with n and common (of vertices in crowded mixed buckets), without the entries that can't have a partner there.
+    """buckets with SIZES (of vertices in crowded mixed buckets), without the entries that can't have a partner there.
 
-    Similar multisets share LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) of their summed sizes. What of a vertex occurs in no other member of any
-    such bucket can't be shared; the rest is `common`. Most of it is shared with the vertex's first leader, so only what differs is counted.
+    Similar multisets share LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) of their summed sizes n. What of a vertex occurs in no other member of any
+    such bucket can't be shared. `shared` is in its first leader too; of the rest, `also` occurs in others.
     """
     crowded = mixed.groupBy("band").count().where(F.col("count") >= CROWDED).select("band")
     inside = written(buckets.join(crowded, "band", "left_semi"), "crowded")
@@ -298,23 +301,23 @@ def _without_hopeless(buckets: DataFrame, mixed: DataFrame, pairs: DataFrame, gr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["vertex", "n", "shared", "rest"])
 
     leaders = led.select(F.col("leader").alias("vertex"), "leader").distinct()
-    both = led.where("vertex <> leader").union(leaders).distinct()
+    leading = leaders.select("vertex", F.lit(True).alias("leads"))
+    both = led.where("vertex <> leader").union(leaders).distinct().join(leading, "vertex", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    both = written(both.where("NOT leads OR vertex = leader"), "led")  # one row for each vertex
     x, y = grams.withColumnRenamed("grams", "x"), grams.select(F.col("vertex").alias("leader"), F.col("grams").alias("y"))
     parts = both.join(x, "vertex").join(y, "leader").select("vertex", (F.col("vertex") == F.col("leader")).alias("same"), "x", "y").mapInArrow(differ, "vertex long, n long, shared long, rest array<long>")
     parts = written(parts, "differences")
     each = parts.select("vertex", F.explode("rest").alias("gram"))
     seen = each.groupBy("gram").agg(F.min("vertex").alias("p"), F.max("vertex").alias("q")).where("p <> q").select("gram")
-    known = each.join(seen, "gram", "left_semi").groupBy("vertex").agg(F.count("*").alias("also"))
-    # a vertex that leads others has a row of its own and may have one against its leader: the row of its own says all
-    sized = parts.join(known, "vertex", "left").groupBy("vertex").agg(F.max("n").alias("n"), F.max(F.col("shared") + F.coalesce("also", F.lit(0))).alias("common"))
-    # leaders' grams are those of others too
-    sized = sized.join(leaders.select("vertex", F.lit(True).alias("leads")), "vertex", "left").select("vertex", "n", F.when(F.col("leads"), F.col("n")).otherwise(F.col("common")).alias("common"))
+    known = each.join(seen, "gram", "left_semi").groupBy("vertex").agg(F.count("*").alias("more"))
+    # of a vertex that leads others, all is taken to be shared with itself
+    sized = parts.drop("rest").join(both, "vertex").join(known, "vertex", "left").select("vertex", "leader", "n", F.when(F.col("leads"), F.col("n")).otherwise(F.col("shared")).alias("shared"), F.when(F.col("leads"), 0).otherwise(F.coalesce("more", F.lit(0))).cast("long").alias("also"))
     entries = inside.join(sized, "vertex")
     least = entries.groupBy("band").agg(F.min("n").alias("least"))
     partner = F.greatest("least", LEAST_SIMILARITY * F.col("n"))
-    hope = entries.join(least, "band").where(F.col("common") >= LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + partner) - 1e-6).select("band", "vertex", "n", "common")
+    hope = entries.join(least, "band").where(F.col("shared") + F.col("also") >= LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + partner) - 1e-6).select("band", "vertex", *SIZES)
     none = F.lit(None).cast("long")
-    return buckets.join(crowded, "band", "left_anti").select("band", "vertex", none.alias("n"), none.alias("common")).union(hope)
+    return buckets.join(crowded, "band", "left_anti").select("band", "vertex", *[none.alias(c) for c in SIZES]).union(hope)
 
 
 def _repeated(rows: DataFrame) -> bool:

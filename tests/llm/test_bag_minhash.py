@@ -67,7 +67,8 @@ def brute_classes(docs):
     return sorted((d, least[find(i)]) for i, (d, _) in enumerate(docs))
 
 
-def test_classes(spark):
+def test_classes(spark, monkeypatch):
+    monkeypatch.setattr(B, "CROWDED", 2)
     docs = made()
     docs += [docs[0], docs[5], (docs[7][0], docs[9][1])]
     df = spark.createDataFrame([(*d, b"x", "y") for d in docs], "doc_id long, text string, digest binary, label string")
