@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join: a line goes if an earlier line is equal or within one edit.
 
-Lines of LEAST_CHARS or more take part; shorter ones always stay. Of equal lines the first in the document with the smallest
+Lines of LEAST_CHARS or more take part: only empty ones always stay. Lines under EDIT_CHARS go for equal lines only, as one edit
+makes another word of them. Of equal lines the first in the document with the smallest
 doc_id stays. Of two different lines within one edit that one goes which comes later by (doc_id of its first document, hash,
 text), whether or not the earlier one goes too.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inspectra.llm.common import table, written
 
-LEAST_CHARS, LEAST_REST, HOT = 20, 8, 32
+LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
 NULL_ID = -(1 << 63)
 OWN = ("_line_h", "_line_g")
 
@@ -108,6 +109,7 @@ def near_pairs(lines: DataFrame) -> DataFrame:
 
 def covered_lines(lines: DataFrame) -> DataFrame:
     """Keys (_line_h, _line_g) of the lines that have an earlier line within one edit."""
+    lines = lines.where(F.length("line") >= EDIT_CHARS)
     pairs = written(near_pairs(lines), "line-pairs").hint("merge")
     both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().hint("merge")  # the same plan at every size
     some = written(lines.join(both, "h", "left_semi"), "near-lines")

@@ -102,3 +102,10 @@ def test_empty_and_query(spark, sf_dir):
         short = [x for x in t.split("\n") if len(x) < L.LEAST_CHARS]
         assert rows[d]["n_kept"] == len(long) + len(short)
         assert rows[d]["kept_sha256"] == hashlib.sha256(",".join(str(v) for v in sorted(h[x] for x in long)).encode()).hexdigest()
+
+
+def test_short_lines(spark):
+    docs = [(1, "Les.\n\nLes.\nOf, edti oner."), (2, "Lea.\nLes.\n\nOf, edti oner.\nx"), (3, "x\ny\nOf, edti oner!")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
+    assert got == {1: "Les.\n\nOf, edti oner.", 2: "Lea.\n\nx", 3: "y"}
