@@ -24,8 +24,8 @@ from inspectra.llm.word_ids import token_ids
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up: those with the greatest weight in it.
-SEED_TERMS = 32
+#: Terms that at least one in so many documents of a shard has are added as whole rows, others posting by posting.
+DENSE = 8
 SHARD_DOCS, SHARD_IDS = 4096, 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -71,18 +71,24 @@ class ShardIndex:
         self.terms, first = np.unique(term, return_index=True)
         self.ends = np.append(first[1:], len(term))
         self.first = first
-        by_doc = np.lexsort((-self.weight, self.doc))
+        by_doc = np.argsort(self.doc, kind="stable")
         self.of_doc = np.searchsorted(self.terms, term[by_doc])
         self.doc_at = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.n = n
+        common = np.flatnonzero((self.ends - first) * DENSE >= n)
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        for row, t in zip(self.rows, common.tolist()):
+            row[self.doc[first[t] : self.ends[t]]] = self.weight[first[t] : self.ends[t]]
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n)
-        a = self.doc_at[seed]
-        for t in self.of_doc[a : min(a + SEED_TERMS, self.doc_at[seed + 1])].tolist():
-            i, j = self.first[t], self.ends[t]
-            out[self.doc[i:j]] += self.weight[i:j]
-        return out
+        """BM25 of every document for all terms of the seed."""
+        t = self.of_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
+        row = self.row_of[t]
+        i, size = self.first[t[row < 0]], (self.ends - self.first)[t[row < 0]]
+        at = np.repeat(i - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.rows[row[row >= 0]].sum(axis=0) + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def packing_order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[int]:

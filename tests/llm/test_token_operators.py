@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from inspectra.llm.bm25_packing import op10_bm25_packing, packed_documents
+from inspectra.llm.bm25_packing import B, K1, ShardIndex, op10_bm25_packing, packed_documents
 from inspectra.llm.fst_tokens import op2_fst_token_counts, token_counts
 from inspectra.llm.huffman_ids import code_lengths, op3_huffman_ids, read_ids, write_ids
 from inspectra.llm.merge_replay import decode_bpe, encode_bpe, op6_merge_replay
@@ -137,3 +137,14 @@ def test_packing(spark, sf_dir, texts, hard):
         small.setdefault(i, []).extend(word_ids([x or ""], 1))
     packing_is_whole(packed_documents(spark, hard, P.path("word_bpe_49k.json")).collect(), small)
     assert packed_documents(spark, hard.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_bm25_of_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint16) for _ in range(60)] + [np.arange(400, 900, dtype=np.uint16), np.array([899], np.uint16)]
+    idf, mean = rng.random(900) + 0.01, 90.0
+    index = ShardIndex(docs, idf, mean)
+    for seed in (0, 7, 60, 61):
+        for d, x in enumerate(docs):
+            want = sum(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / mean)) for t in set(docs[seed].tolist()) if (n := int((x == t).sum())))
+            assert abs(index.scores(seed)[d] - want) < 1e-9
