@@ -6,7 +6,8 @@ frequencies and the mean length come from all documents. A seed's window is fill
 end is ragged. That end is cut into lengths that are powers of two, which take no padding.
 
 Edge cases: a null or empty text is its end id alone; an empty table gives an empty result; repeated rows and doc_ids are packed
-as often as they occur; documents over a window fill whole windows of their own first, and only the rest is matched to others.
+as often as they occur; documents over a window fill whole windows of their own first, and only the rest fills windows with others; what it is matched
+by is still the whole document.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ class ShardIndex:
         return self.rows[row[row >= 0]].sum(axis=0) + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def packing_order(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[int]:
-    """The order in which documents of at most `window` ids follow each other."""
-    index, lens = ShardIndex(docs, idf, mean), [len(d) for d in docs]
+def packing_order(docs: list[np.ndarray], lens: list[int], idf: np.ndarray, mean: float, window: int) -> list[int]:
+    """The order in which documents follow each other, matched as they are, when `lens` ids of each (at most `window`) are packed."""
+    index = ShardIndex(docs, idf, mean)
     unused, order, filled, nxt, seed = np.ones(len(docs), bool), [], 0, 0, None
     while len(order) < len(docs):
         if seed is None:
@@ -152,8 +153,7 @@ def pack(ids: DataFrame, dtype: str, vocab: int, window: int = WINDOW) -> DataFr
         out = [(doc0, start0, np.full(len(doc0), window), np.arange(len(doc0)), np.zeros(len(doc0), np.int64))]
         rest = np.flatnonzero(lens % window)
         if len(rest):
-            tails = [whole[i][full[i] * window :] for i in rest]
-            order = np.array(packing_order(tails, idf, mean, window))
+            order = np.array(packing_order([whole[i] for i in rest], (lens % window)[rest].tolist(), idf, mean, window))
             d, start, length, seq, offset = pieces((lens % window)[rest[order]], window)
             d = rest[order][d]
             out.append((d, start + full[d] * window, length, seq + len(doc0), offset))

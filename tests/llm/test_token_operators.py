@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from inspectra.llm.bm25_packing import B, K1, ShardIndex, op10_bm25_packing, packed_documents
+from inspectra.llm.bm25_packing import B, K1, ShardIndex, op10_bm25_packing, pack, packed_documents
 from inspectra.llm.fst_tokens import op2_fst_token_counts, token_counts
 from inspectra.llm.huffman_ids import code_lengths, op3_huffman_ids, read_ids, write_ids
 from inspectra.llm.merge_replay import decode_bpe, encode_bpe, op6_merge_replay
@@ -148,3 +148,13 @@ def test_bm25_of_all_terms():
         for d, x in enumerate(docs):
             want = sum(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / mean)) for t in set(docs[seed].tolist()) if (n := int((x == t).sum())))
             assert abs(index.scores(seed)[d] - want) < 1e-9
+
+
+def test_long_documents_are_matched_whole(spark):
+    """The end of a document of 65 ids is its end id alone; its neighbours share the 64 ids before."""
+    like = [5] * 8 + [6] * 8
+    docs = [(0, [5] * 32 + [6] * 32 + [1]), *((i, [10 + i] * 15 + [1]) for i in range(1, 6)), (6, [*like, 1])]
+    rows = [(d, len(x), np.array(x, "<u2").tobytes()) for d, x in docs]
+    got = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary"), "<u2", 32, 32).collect()
+    at = {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in got}
+    assert at[0, 64][1] == 0 and at[6, 0] == (at[0, 64][0], 1)
