@@ -1,17 +1,24 @@
-"""Line dedup by a segment-partition edit join: a line goes if an earlier line is equal or within one edit.
+"""Line dedup by a segment-partition edit join: a line goes if an earlier line is equal or within a few edits.
 
 Lines of LEAST_CHARS or more take part: only empty ones always stay. Lines under EDIT_CHARS go for equal lines only, as one edit
 makes another word of them. Of equal lines the first in the document with the smallest
-doc_id stays. Of two different lines within one edit that one goes which comes later by (doc_id of its first document, hash,
-text), whether or not the earlier one goes too.
+doc_id stays. Of two different near lines that one goes which comes later by (doc_id of its first document, hash, text), whether or
+not the earlier one goes too. Near are lines within k edits, k by the shorter one's length: one for every CHARS_PER_EDIT
+characters, 1 at least and `most` (MOST) at most.
 
-Threshold 1 gives two segments. One edit leaves one of them as it is, so each line is indexed by (length, segment number,
+Pairs within one edit, of any length: threshold 1 gives two segments. One edit leaves one of them as it is, so each line is indexed by (length, segment number,
 segment), and probed with its own segments and those of a line shorter by one. A key that more than HOT lines share is split
 again: what lies outside the segment holds the edit, so its halves are the next two segments. When that rest is at most
 LEAST_REST characters, the remaining groups go by what is left when any one character is taken out: lines of one such group are
 within one edit of each other, so the earliest stands for it. All groups thus stay bounded or cost as much as they have rows.
 Candidates are verified by Spark's banded edit distance (a bit-parallel one would need Python).
 
+Pairs within k > 1 edits (lines of 2 * CHARS_PER_EDIT characters or more): an edit touches at most two words, so four word
+triples, and near lines of more than 4k different triples have one of each other's 4k + 1 triples of least hash in common. Lines
+of fewer triples give them all, and meet each other by k + 1 segments, looked for at each place that k edits can move them to in
+lines longer by 0 to k. In hot groups all members first meet LEADERS early ones; only those that still have no earlier near line
+meet all that come before them. This is exact, but grows with the square of a group whose lines are not near each other.
+
 Edge cases: a null text has no lines and stays null; an empty table gives an empty result; rows with equal doc_ids count as one
 document (null as the smallest id), and repeated rows get the same result; a text of any length and number of lines is taken
 whole; other columns are kept, whatever their names, if they don't begin with `_line_`.
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from inspectra.llm.common import table, written
 
 LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
+CHARS_PER_EDIT, MOST, LEADERS = 32, 8, 3
 NULL_ID = -(1 << 63)
 OWN = ("_line_h", "_line_g")
 
@@ -107,29 +115,97 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).select(low.alias("a"), high.alias("b")).distinct()
 
 
-def covered_lines(lines: DataFrame) -> DataFrame:
-    """Keys (_line_h, _line_g) of the lines that have an earlier line within one edit."""
-    lines = lines.where(F.length("line") >= EDIT_CHARS)
-    pairs = written(near_pairs(lines), "line-pairs").hint("merge")
+def edits(n: Column, most: int = MOST) -> Column:
+    """The most edits between near lines of which the shorter one has n characters."""
+    return F.least(F.greatest(F.floor(n / CHARS_PER_EDIT).cast("int"), F.lit(1)), F.lit(most))
+
+
+def _triples(line: Column) -> Column:
+    """Hashes of the different word triples, in order."""
+    w = F.split(line, " ", -1)
+    each = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c")), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+    return F.array_sort(F.array_distinct(F.transform(each, lambda z: F.xxhash64(z["a"], z["b"], z["c"]))))
+
+
+def _places(most: int) -> Column:
+    """For k * (most + 1) + more: the segments of a line and their shifts in a line longer by `more`, as segment * 64 + shift + 32."""
+    out = []
+    for k in range(most + 1):
+        for more in range(most + 1):
+            codes = [i * 64 + shift + 32 for i in range(k + 1) for shift in range(max(-i, more - (k - i)), min(i, more + k - i) + 1)]
+            out.append("array(%s)" % ",".join(map(str, codes or [32])))
+    return F.expr("array(%s)" % ",".join(out))
+
+
+def _long_entries(lines: DataFrame, most: int) -> DataFrame:
+    """key, doc, h and indexed: of two lines that meet by a key one is indexed by it."""
+    n = F.length("line")
+    sized = lines.select("line", "doc", "h", n.alias("n"), (4 * edits(n, most)).alias("lost"), _triples(F.col("line")).alias("all"))
+    triples = sized.select("doc", "h", F.explode(F.slice("all", F.lit(1), F.col("lost") + 1)).alias("key"), F.lit(True).alias("indexed"))
+    # four bytes for each character, so that segments are found by their place
+    few = sized.where(F.size("all") <= F.col("lost")).select("doc", "h", "n", F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
+    few = few.select("*", (F.col("n") - F.col("more")).alias("size")).where(F.col("size") >= 2 * CHARS_PER_EDIT).select("*", edits(F.col("size"), most).alias("k")).where("more <= k")
+    at = few.select("*", F.explode(F.element_at(_places(most), F.col("k") * (most + 1) + F.col("more") + 1)).alias("code")).select("*", F.expr("code div 64").cast("int").alias("i"), (F.col("code") % 64 - 32).alias("shift"))
+    at = at.select("*", F.expr("i * size div (k + 1)").cast("int").alias("start"), F.expr("(i + 1) * size div (k + 1)").cast("int").alias("end"))
+    at = at.where("start + shift >= 0 AND end + shift <= n")
+    segments = at.select("doc", "h", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"))
+    return triples.union(segments)
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """Keys (_line_h, _line_g) of the later lines of those pairs (a, b) that are near."""
+    pairs = written(pairs, "line-pairs").hint("merge")
     both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().hint("merge")  # the same plan at every size
     some = written(lines.join(both, "h", "left_semi"), "near-lines")
     side = lambda c: some.select(F.col("h").alias(c), F.struct("doc", "h", "line").alias(f"{c}_at"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("a_at.line", "b_at.line", 1).isin(0, 1) & (F.col("a_at") != F.col("b_at")))
+    within = F.levenshtein("a_at.line", "b_at.line", most)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where((within >= 0) & (within <= edits(F.least(F.length("a_at.line"), F.length("b_at.line")), most)) & (F.col("a_at") != F.col("b_at")))
     later = near.select(F.greatest("a_at", "b_at").alias("x"))
     return later.select(_h(F.col("x.line")).alias("_line_h"), _g(F.col("x.line")).alias("_line_g")).distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_covered(lines: DataFrame, most: int) -> DataFrame:
+    """The same for lines within two edits or more."""
+    lines = lines.where(F.length("line") >= 2 * CHARS_PER_EDIT)
+    entries, at = _long_entries(lines, most), F.struct("doc", "h")
+    # most keys have one line, so that entries are made twice and only those of the other keys written
+    shared = written(entries.groupBy("key").count().where("count > 1"), "long-keys")
+    entries = written(entries.join(shared.select("key"), "key", "left_semi"), "long-entries")
+    hot = shared.where(F.col("count") > HOT).select("key")
+    covered = []
+    if not hot.isEmpty():
+        open_ = written(entries.join(hot, "key", "left_semi"), "long-hot")
+        for _ in range(LEADERS):
+            met = open_.join(open_.groupBy("key").agg(F.min(at).alias("first")), "key").where(at > F.col("first"))
+            covered.append(written(_verified(lines, met.select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
+            open_ = written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot")
+    x = entries
+    for c in covered:
+        x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
+    x = x.select("key", F.col("indexed").alias("x_indexed"), F.struct("doc", "h").alias("x"))
+    y = entries.select("key", F.col("indexed").alias("y_indexed"), at.alias("y"))
+    pairs = x.join(y, "key").where("(x_indexed OR y_indexed) AND y < x").select(F.col("y.h").alias("a"), F.col("x.h").alias("b")).distinct()
+    return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
+
+
+def covered_lines(lines: DataFrame, most: int = MOST) -> DataFrame:
+    """Keys (_line_h, _line_g) of the lines that have an earlier near line; `most` bounds the edits of the longest lines."""
+    lines = lines.where(F.length("line") >= EDIT_CHARS)
+    one = _verified(lines, near_pairs(lines), most)
+    return one if most < 2 else one.union(_long_covered(lines, most)).distinct()
+
+
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """_line_doc and _line_kept, the hashes (h, g) of the lines that stay in it, for each document that keeps a line."""
     lines = distinct_lines(docs, id_col, text_col)
     keyed = lines.select(F.col("doc").alias("_line_doc"), F.col("h").alias("_line_h"), _g(F.col("line")).alias("_line_g"))
-    stay = keyed.join(covered_lines(lines), list(OWN), "left_anti")
+    stay = keyed.join(covered_lines(lines, most), list(OWN), "left_anti")
     return stay.groupBy("_line_doc").agg(F.collect_list(F.struct(*OWN)).alias("_line_kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """docs without the lines that go; texts whose lines all stay are as they were."""
-    kept = kept_lines(docs, id_col, text_col)
+    kept = kept_lines(docs, id_col, text_col, most)
     left = docs.withColumn("_line_doc", F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).join(kept, "_line_doc", "left")
     has = F.coalesce("_line_kept", F.array().cast("array<struct<_line_h:bigint,_line_g:bigint>>"))
     text = F.col(text_col).cast("string")

@@ -109,3 +109,34 @@ def test_short_lines(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
     assert got == {1: "Les.\n\nOf, edti oner.", 2: "Lea.\n\nx", 3: "y"}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_a_few_edits_in_long_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(L, "HOT", hot)
+    rng = random.Random(hot)
+    words = ["".join(rng.choice("abcdé中") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    bases = [" ".join(rng.choice(words) for _ in range(n)) for n in (10, 14, 20, 30, 45, 60)] + ["".join(rng.choice("ab中") for _ in range(n)) for n in (64, 100, 300)] + ["-" * 70]
+    texts = {"Onlyhe this then erin " + "and so on to the end of the line " * 4, "Onlyhe this atshsh erin " + "and so on to the end of the line " * 4}
+    for b in bases * 9:
+        x = list(b)
+        for _ in range(rng.randint(0, 7)):
+            k, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("ab 中")]
+        texts.add("".join(x))
+    docs = list(enumerate(sorted(texts)))
+    lines = L.distinct_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = sorted((r["doc"], r["h"], r["line"]) for r in lines.collect())
+    near = lambda a, b: abs(len(a) - len(b)) <= 8 and distance(a, b) <= min(8, max(1, min(len(a), len(b)) // 32))
+    want = {x[1] for i, x in enumerate(rows) if any(near(x[2], y[2]) for y in rows[:i])}
+    assert {r["_line_h"] for r in L.covered_lines(lines).collect()} == want and 20 < len(want) < len(rows)
