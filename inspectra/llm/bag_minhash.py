@@ -6,15 +6,17 @@ intervals (0,1], (1,2], (2,4], (4,8], ...; a point's place inside its interval c
 is split as far as needed. A document with x at weight w sees the points below w. Each point belongs to one of REGISTERS
 registers, which keeps its earliest point: two registers agree with the probability of the weighted Jaccard similarity.
 
-Equal word sequences become one vertex first. In rounds, each bucket of a band has one leader, its members are verified
-against it, and verified links join classes; members of a bucket that are then still in different classes are verified
-against each other. Pairs of one class need no look: a class is a connected component. Before that, members of crowded buckets
-go that have too many shingles of their own to be similar to anyone. Estimates below LEAST_ESTIMATE
-agreeing registers are left out before verification (five and a half standard deviations at similarity 0.8).
+Equal word sequences are one vertex. Vertices that share a bucket of a band, directly or through others, are a candidate
+family. A family of up to GROUP_DOCS vertices and GROUP_GRAMS shingles goes to one task, which finds the overlap of all its members at once
+from an incidence matrix of the shingles that several have, and returns each member's class; so no pair is ever written.
+Larger families are verified bucket by bucket: each member first meets one leader; members that have too many shingles of
+their own to be similar to anyone leave; what is left of a bucket is dealt into blocks, and each pair of blocks is one task. All ways are
+exact: only banding can miss a pair (7e-5 at similarity 0.8).
 
 Edge cases: null texts count as empty, and all empty texts are one class; an empty table gives an empty result; repeated rows
-and rows with equal doc_ids share a class; a null doc_id is in the class of its text under its own null id; texts of any length are
-taken whole; other columns are kept, whatever their names, if they don't begin with `_near_`.
+and rows with equal doc_ids share a class; rows with a null doc_id are documents of their own, which take no part in the choice of
+class_id, the least doc_id of the class (null if it has none); texts of any length are taken whole; other columns are kept, whatever
+their names, if they don't begin with `_near_`.
 """
 
 from __future__ import annotations
@@ -25,23 +27,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.llm.common import steps, table, written
+from inspectra.llm.common import replaced, steps, table, written
 
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-ROUNDS = 2
-#: Members from which a bucket is thinned before its members meet.
-CROWDED = 32
-SIZES = ("leader", "n", "shared", "also")
-LEAST_ESTIMATE = 0.6
+#: Vertices and shingles of a candidate family up to which one task verifies it.
+GROUP_DOCS, GROUP_GRAMS = 4096, 2_000_000
+#: Columns of the incidence matrix at a time.
+COLUMNS = 4096
+#: Members of a block, where a bucket of a larger family is dealt into blocks.
+BLOCK = 1024
 #: Words kept with their hashes in a worker.
 MOST_WORDS = 1_000_000
-NULL_ID = -(1 << 63)
-SIGNATURE_SCHEMA = "doc_id long, digest binary, registers binary, bands array<long>"
+#: t1, t2: hashes of the text as it is; d1, d2: of its words; n: shingles with repetitions.
+SIGNATURE_SCHEMA = "doc_id long, t1 long, t2 long, d1 long, d2 long, n long, bands array<long>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,29 +148,36 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hashes of the text (null: empty), and the text."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest of the words, registers and bands of every document."""
+    """The hashes, number of shingles and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shingles()
         for b in steps(batches):
-            words = [of.words(t) for t in b.column(1).to_pylist()]
-            digest = [xxhash.xxh3_128_digest(" ".join(w)) for w in words]
-            got = signatures(len(words), *of.multisets(words))
-            keys = band_keys(got)
+            words = [of.words(t) for t in b.column(3).to_pylist()]
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(w)) for w in words), np.int64).reshape(-1, 2)
+            sets = of.multisets(words)
+            keys = band_keys(signatures(len(words), *sets))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in got], pa.binary()), bands], ["doc_id", "digest", "registers", "bands"])
+            n = np.bincount(sets[0], sets[2], len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(n), bands], ["doc_id", "t1", "t2", "d1", "d2", "n", "bands"])
 
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SIGNATURE_SCHEMA)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, SIGNATURE_SCHEMA)
 
 
-def gram_sets(docs: DataFrame) -> DataFrame:
-    """vertex and grams: sorted 64-bit hashes of (shingle, occurrence), whose set similarity is the multisets'."""
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """family, vertex and grams: sorted 64-bit hashes of (shingle, occurrence), whose set similarity is the multisets'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shingles()
         for b in steps(batches):
-            texts = [made.words(t) for t in b.column(1).to_pylist()]
+            texts = [made.words(t) for t in b.column(2).to_pylist()]
             of, h, n = made.multisets(texts)
             which = np.repeat(np.arange(len(h)), n)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -175,13 +185,88 @@ def gram_sets(docs: DataFrame) -> DataFrame:
             order = np.lexsort((h, of))
             raw = h[order].tobytes()
             cuts = (8 * np.searchsorted(of[order], np.arange(len(texts) + 1))).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())], ["vertex", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary())], ["family", "vertex", "grams"])
+
+    return texts.select("family", "vertex", "text").mapInArrow(run, "family long, vertex long, grams binary")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of every two of the sorted sets."""
+    sizes = np.array([len(x) for x in sets])
+    gram, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(gram, kind="stable")
+    gram, of = gram[order], of[order]
+    first = np.ones(len(gram), bool)
+    first[1:] = gram[1:] != gram[:-1]
+    column = np.cumsum(first) - 1
+    column, of = (x[(np.bincount(column) > 1)[column]] for x in (column, of))  # the rest is in one set only
+    column = np.unique(column, return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        i, j = np.searchsorted(column, (low, low + COLUMNS))
+        some = np.zeros((len(sets), COLUMNS), np.float32)
+        some[of[i:j], column[i:j] - low] = 1
+        common += some @ some.T
+    np.fill_diagonal(common, sizes)
+    return common
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one of its class, the component of sets that are similar enough."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    if m == 2:
+        both = np.sort(np.concatenate(sets), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return np.array([0, 0 if common >= LEAST_SIMILARITY * (sizes.sum() - common) else 1])
+    common = overlaps(sets)
+    near = np.zeros((m, m), bool)
+    for i in range(0, m, 256):
+        near[i : i + 256] = common[i : i + 256] >= LEAST_SIMILARITY * (sizes[i : i + 256, None] + sizes - common[i : i + 256])
+    label = np.full(m, -1)
+    for i in range(m):
+        if label[i] < 0:
+            found = np.zeros(m, bool)
+            found[i] = True
+            edge = found
+            while edge.any():
+                edge = near[edge].any(0) & ~found
+                found |= edge
+            label[found] = i
+    return label
+
+
+def grouped_links(members: DataFrame) -> DataFrame:
+    """(v, root) for each vertex of a group (family, vertex, grams) that has an earlier one in its class there."""
+
+    def links(family: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint64) for _, x in family]
+        return ((family[i][0], family[j][0]) for i, j in enumerate(linked(sets).tolist()) if i != j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, family, found = None, [], []
+
+        def close() -> None:
+            if len(family) > 1:
+                found.extend(links(family))
+            family.clear()
 
-    return docs.select("vertex", "text").mapInArrow(run, "vertex long, grams binary")
+        for b in steps(batches, "grams", 8_000_000):
+            for f, v, x in zip(*(c.to_pylist() for c in b.columns)):
+                if f != last:
+                    close()
+                    last = f
+                family.append((v, x))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["v", "root"])
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["v", "root"])
+
+    return members.select("family", "vertex", "grams").repartition(F.col("family")).sortWithinPartitions("family", "vertex").mapInArrow(run, "v long, root long")
 
 
 def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose multisets are similar enough."""
+    """Those pairs (v, root) whose multisets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "x"):
@@ -193,159 +278,125 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
                     both = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                 keep.append(common >= LEAST_SIMILARITY * (p + q - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["v", "root"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = grams.select(F.col("vertex").alias("a"), F.col("grams").alias("x")), grams.select(F.col("vertex").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y = grams.select(F.col("vertex").alias("v"), F.col("grams").alias("x")), grams.select(F.col("vertex").alias("root"), F.col("grams").alias("y"))
+    return pairs.select("v", "root").join(x, "v").join(y, "root").select("v", "root", "x", "y").mapInArrow(run, "v long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of an edge but the roots, the least vertex of each connected component: edges turn in rounds into stars."""
+    """(v, root) for every vertex of the edges (v, root) but the roots, the least vertex of each connected component: edges turn in rounds into stars."""
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "root").cast("decimal(38,0)"))).first())
-    edges = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).where("v <> root").distinct(), "edges")
+    edges = written(edges.select(F.greatest("v", "root").alias("v"), F.least("v", "root").alias("root")).where("v <> root").distinct(), "edges")
     before = state(edges)
-    while True:
+    while before[0]:
         both = edges.union(edges.select(F.col("root").alias("v"), F.col("v").alias("root")))
         least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(least, "v").where(F.col("root") > F.col("v")).select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
         least = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(least, "v")
-        edges = written(small.select("v", F.col("m").alias("root")).union(small.select(F.col("root").alias("v"), F.col("m").alias("root"))).where("v <> root").distinct(), "edges")
+        small = small.select("v", F.col("m").alias("root")).union(small.select(F.col("root").alias("v"), F.col("m").alias("root"))).where("v <> root").distinct()
+        edges = replaced(edges, written(small, "edges"))
         after = state(edges)
         if after == before:
-            return edges
+            break
         before = after
+    return edges
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t1, t2, d1 and d2 of every row, and for every (d1, d2) class (a vertex) and class_id."""
+    rows = written(signed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    copies = written(rows.groupBy("d1", "d2").agg(F.min("row").alias("vertex"), F.min("doc_id").alias("least")), "copies")
+    first = rows.join(copies.select(F.col("vertex").alias("row")), "row", "left_semi").where("n > 0")
+    buckets = written(first.select(F.col("row").alias("vertex"), F.explode("bands").alias("band")), "buckets")
+    shared = buckets.groupBy("band").agg(F.min("vertex").alias("m"), F.max("vertex").alias("x")).where("m <> x").select("band", "m")
+    families = components(buckets.join(shared, "band").select(F.col("vertex").alias("v"), F.col("m").alias("root")))
+    roots = families.select("root").distinct()
+    member = written(families.select(F.col("v").alias("vertex"), F.col("root").alias("family")).union(roots.select(F.col("root").alias("vertex"), F.col("root").alias("family"))), "families")
+    known = rows.select(F.col("row").alias("vertex"), "doc_id", "t1", "t2", "n").join(member, "vertex")
+    large = written(known.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).where((F.col("docs") > GROUP_DOCS) | (F.col("grams") > GROUP_GRAMS)).select("family"), "large")
+    text = _keyed(docs, id_col, text_col)
+    at = known.select("family", "vertex", F.col("doc_id").alias("of"), F.col("t1").alias("of1"), F.col("t2").alias("of2"))
+    texts = text.join(at, text["doc_id"].eqNullSafe(at["of"]) & (text["t1"] == at["of1"]) & (text["t2"] == at["of2"])).select("family", "vertex", "text")
+    if not rows.groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["vertex"])
+    grams = written(gram_sets(texts), "grams")
+    some_large = not large.isEmpty()
+    small = grams.join(large, "family", "left_anti") if some_large else grams
+    links = written(grouped_links(small), "links")
+    # rows of one doc_id with different texts are one document, and so of one class
+    of_doc = rows.where("doc_id IS NOT NULL").select("doc_id", "d1", "d2").join(copies, ["d1", "d2"]).groupBy("doc_id").agg(F.min("vertex").alias("root"), F.max("vertex").alias("v")).where("v <> root")
+    of_doc = written(of_doc.select("v", "root"), "links")
+    if some_large:
+        rest = grams.join(large, "family", "left_semi").select("vertex", "grams")
+        links = links.union(_large_links(written(buckets.join(shared, "band").join(member.join(large, "family", "left_semi").select("vertex"), "vertex", "left_semi").select("band", "vertex"), "large-buckets"), written(rest, "large-grams")))
+    if some_large or not of_doc.isEmpty():
+        links = components(links.union(of_doc))
+    classes = copies.join(links.select(F.col("v").alias("vertex"), "root"), "vertex", "left").select("d1", "d2", F.coalesce("root", "vertex").alias("class"), "least")
+    named = classes.groupBy("class").agg(F.min("least").alias("class_id"))
+    return rows.select("doc_id", "t1", "t2", "d1", "d2"), classes.drop("least").join(named, "class")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null as NULL_ID) and class_id, the least doc_id of the class, for every row of docs."""
-    all_signed = written(signed(docs, id_col, text_col), "signatures")
-    copies = written(all_signed.groupBy("digest").agg(F.min("doc_id").alias("vertex")), "copies")
-    # rows of one doc_id with different texts are one document, and so of one class
-    shared = all_signed.join(copies, "digest").where("doc_id <> vertex").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b")
-    first = all_signed.join(copies, "digest").where("doc_id = vertex").select("vertex", "registers", "bands")
-    first = written(first.where(F.col("registers") != F.lit(bytes(4 * REGISTERS))), "vertices")
-    buckets = first.select("vertex", F.explode("bands").alias("band"))
-    crowded = buckets.groupBy("band").agg(F.min("vertex").alias("m"), F.max("vertex").alias("n")).where("m <> n").select("band")
-    buckets = written(buckets.join(crowded, "band", "left_semi"), "buckets")
-    ids = buckets.select("vertex").distinct()
-    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("vertex"), docs[text_col].cast("string").alias("text")).join(ids, "vertex", "left_semi")
-    grams = written(gram_sets(texts), "grams").dropDuplicates(["vertex"]) if _repeated(all_signed) else written(gram_sets(texts), "grams")
-    registers = first.join(ids, "vertex", "left_semi").select("vertex", "registers")
-    edges = written(shared.select("a", "b"), "links")
-    if not edges.isEmpty():
-        edges = components(edges).select(F.col("v").alias("a"), F.col("root").alias("b"))
-    # at first each vertex meets one leader, of those that stand in the most crowded buckets the one that it meets most often
+    """doc_id and class_id, the least doc_id of the class, for every row of docs."""
+    rows, classes = _classes(docs, id_col, text_col)
+    return rows.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "class_id")
+
+
+def _large_links(buckets: DataFrame, grams: DataFrame) -> DataFrame:
+    """Links (v, root) that join each class of the families in buckets (band, vertex)."""
     crowd = buckets.groupBy("band").agg(F.count("*").alias("size"))
+    # each vertex meets one leader, of those that stand in the most crowded buckets the one that it meets most often
     order = buckets.join(crowd, "band").groupBy("vertex").agg(F.sum("size").alias("o"))
-    pairs = _leader_pairs(_mixed(buckets, edges), order, first_only=True)
-    pairs = written(pairs, "pairs")
-    edges = _joined(edges, verified(pairs, grams))
-    buckets = written(_without_hopeless(buckets, _mixed(buckets, edges), pairs, grams), "buckets")
-    for turn in range(1, ROUNDS):
-        order = ids.select("vertex", F.xxhash64("vertex", F.lit(turn)).alias("o"))
-        edges = _joined(edges, verified(_likely(_leader_pairs(_mixed(buckets, edges), order), registers), grams))
-    left = _mixed(buckets, edges)
-    other = left.select("band", F.col("vertex").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("label", *SIZES)])
-    overlap = LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + F.col("b_n")) - 1e-6
-    # what both share with one leader, and what both have besides and others too, bounds what they share
-    most = F.least("shared", "b_shared") + F.least("also", "b_also")
-    enough = F.coalesce(F.when(F.col("leader") == F.col("b_leader"), most).otherwise(F.least(F.col("shared") + F.col("also"), F.col("b_shared") + F.col("b_also"))) >= overlap, F.lit(True))
-    pairs = left.join(other, "band").where((F.col("label") < F.col("b_label")) & enough).select(F.col("vertex").alias("a"), "b").distinct()
-    edges = _joined(edges, verified(_likely(pairs, registers), grams))
-    classes = copies.join(edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")), "vertex", "left").select("digest", F.coalesce("root", "vertex").alias("class_id"))
-    return all_signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-
-
-def _mixed(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """The buckets whose members are in different classes so far, with each member's label."""
-    labels = edges.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
-    labelled = buckets.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("m"), F.max("label").alias("n_")).where("m <> n_").select("band")
-    return labelled.join(mixed, "band", "left_semi")
-
-
-def _leader_pairs(labelled: DataFrame, order: DataFrame, first_only: bool = False) -> DataFrame:
-    """Pairs (a, b) of a bucket's members and its leader, the member that is greatest by `o`."""
-    ranked = labelled.join(order, "vertex")
-    best = ranked.groupBy("band").agg(F.max(F.struct("o", -F.col("vertex"), "vertex", "label")).alias("x")).select("band", F.col("x.vertex").alias("b"), F.col("x.label").alias("b_label"))
-    met = labelled.join(best, "band").where("label <> b_label").groupBy(F.col("vertex").alias("a"), "b").count()
-    if first_only:
-        met = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).where("nth = 1")
-    return met.select("a", "b")
-
-
-def _joined(edges: DataFrame, links: DataFrame) -> DataFrame:
-    links = written(links, "links")
-    return edges if links.isEmpty() else components(edges.union(links)).select(F.col("v").alias("a"), F.col("root").alias("b"))
-
-
-def _without_hopeless(buckets: DataFrame, mixed: DataFrame, pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """buckets with SIZES (of vertices in crowded mixed buckets), without the entries that can't have a partner there.
-
-    Similar multisets share LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) of their summed sizes n. What of a vertex occurs in no other member of any
-    such bucket can't be shared. `shared` is in its first leader too; of the rest, `also` occurs in others.
+    best = buckets.join(order, "vertex").groupBy("band").agg(F.max(F.struct("o", -F.col("vertex"), "vertex")).alias("x")).select("band", F.col("x.vertex").alias("leader"))
+    met = buckets.join(best, "band").groupBy("vertex", "leader").count()
+    led = written(met.groupBy("vertex").agg(F.max(F.struct("count", -F.col("leader"), "leader")).alias("x")).select("vertex", F.col("x.leader").alias("leader")), "led")
+    links = written(verified(led.where("vertex <> leader").select(F.col("vertex").alias("v"), F.col("leader").alias("root")), grams), "links")
+    open_ = buckets.join(_hopeful(led, grams), "vertex", "left_semi")
+    labelled = open_.join(links.select(F.col("v").alias("vertex"), "root"), "vertex", "left").withColumn("label", F.coalesce("root", "vertex"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("m"), F.max("label").alias("x"), F.count("*").alias("size")).where("m <> x").select("band", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("vertex"), F.col("blocks"))
+    dealt = labelled.join(mixed, "band").select("vertex", "band", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = dealt.select("vertex", F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("family"))
+    return links.union(grouped_links(written(dealt, "blocks").join(grams, "vertex")))
+
+
+def _hopeful(led: DataFrame, grams: DataFrame) -> DataFrame:
+    """The vertices of led (vertex, leader) that can be similar to another one.
+
+    Similar multisets share LEAST_SIMILARITY of the larger one at least. What of a vertex neither a leader nor what another member
+    has besides its own leader holds, can't be shared.
     """
-    crowded = mixed.groupBy("band").count().where(F.col("count") >= CROWDED).select("band")
-    inside = written(buckets.join(crowded, "band", "left_semi"), "crowded")
-    own = inside.select("vertex").distinct()
-    led = own.join(pairs.withColumnRenamed("a", "vertex"), "vertex", "left").select("vertex", F.coalesce("b", "vertex").alias("leader"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "x"):
-            rows = []
-            for same, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                rest = x if same else np.setdiff1d(x, y, assume_unique=True)
-                rows.append((len(x), 0 if same else len(x) - len(rest), rest))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["vertex", "n", "shared", "rest"])
+            x, y = ([np.frombuffer(raw, np.int64) for raw in b.column(i).to_pylist()] for i in (1, 2))
+            rest = [p if v == leader else np.setdiff1d(p, q, assume_unique=True) for v, leader, p, q in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), x, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in x], pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["vertex", "n", "rest"])
 
     leaders = led.select(F.col("leader").alias("vertex"), "leader").distinct()
-    leading = leaders.select("vertex", F.lit(True).alias("leads"))
-    both = led.where("vertex <> leader").union(leaders).distinct().join(leading, "vertex", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    both = written(both.where("NOT leads OR vertex = leader"), "led")  # one row for each vertex
+    pairs = led.join(leaders.select("vertex"), "vertex", "left_anti").union(leaders)
     x, y = grams.withColumnRenamed("grams", "x"), grams.select(F.col("vertex").alias("leader"), F.col("grams").alias("y"))
-    parts = both.join(x, "vertex").join(y, "leader").select("vertex", (F.col("vertex") == F.col("leader")).alias("same"), "x", "y").mapInArrow(differ, "vertex long, n long, shared long, rest array<long>")
-    parts = written(parts, "differences")
-    each = parts.select("vertex", F.explode("rest").alias("gram"))
-    seen = each.groupBy("gram").agg(F.min("vertex").alias("p"), F.max("vertex").alias("q")).where("p <> q").select("gram")
-    known = each.join(seen, "gram", "left_semi").groupBy("vertex").agg(F.count("*").alias("more"))
-    # of a vertex that leads others, all is taken to be shared with itself
-    sized = parts.drop("rest").join(both, "vertex").join(known, "vertex", "left").select("vertex", "leader", "n", F.when(F.col("leads"), F.col("n")).otherwise(F.col("shared")).alias("shared"), F.when(F.col("leads"), 0).otherwise(F.coalesce("more", F.lit(0))).cast("long").alias("also"))
-    entries = inside.join(sized, "vertex")
-    least = entries.groupBy("band").agg(F.min("n").alias("least"))
-    partner = F.greatest("least", LEAST_SIMILARITY * F.col("n"))
-    hope = entries.join(least, "band").where(F.col("shared") + F.col("also") >= LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * (F.col("n") + partner) - 1e-6).select("band", "vertex", *SIZES)
-    none = F.lit(None).cast("long")
-    return buckets.join(crowded, "band", "left_anti").select("band", "vertex", *[none.alias(c) for c in SIZES]).union(hope)
-
-
-def _repeated(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
-def _likely(pairs: DataFrame, registers: DataFrame) -> DataFrame:
-    """Pairs with enough registers in common."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "x"):
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_ESTIMATE))
-
-    x, y = registers.select(F.col("vertex").alias("a"), F.col("registers").alias("x")), registers.select(F.col("vertex").alias("b"), F.col("registers").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    rest = written(pairs.join(x, "vertex").join(y, "leader").select("vertex", "x", "y", "leader").mapInArrow(differ, "vertex long, n long, rest array<long>"), "differences")
+    each = rest.select("vertex", F.explode("rest").alias("gram"))
+    alone = each.groupBy("gram").agg(F.min("vertex").alias("vertex"), F.count("*").alias("k")).where("k = 1").groupBy("vertex").agg(F.count("*").alias("own"))
+    hope = rest.select("vertex", "n").join(alone, "vertex", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= LEAST_SIMILARITY * F.col("n") - 1e-6)
+    return hope.select("vertex").union(leaders.select("vertex")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the least doc_id of their class; of rows with one doc_id, that with the least text."""
-    classes = near_classes(docs, id_col, text_col)
-    stay = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_near_rows")).select(F.col("doc_id").alias("_near_doc"), "_near_rows")
-    left = docs.withColumn("_near_doc", F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).join(stay, "_near_doc")
+    """One row of each class: that with the least doc_id, and of several with it the one whose text has the least hashes."""
+    rows, classes = _classes(docs, id_col, text_col)
+    own = rows.join(classes, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = written(own.groupBy("class").agg(F.min(F.struct("t1", "t2")).alias("t"), F.first("class_id").alias("_near_id"), F.count("*").alias("_near_rows")).select("_near_id", F.col("t.t1").alias("_near_1"), F.col("t.t2").alias("_near_2"), "_near_rows"), "representatives")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    at = docs.withColumns({"_near_doc": docs[id_col].cast("long"), "_near_t1": F.xxhash64(text), "_near_t2": F.xxhash64(F.lit(7), text)})
+    left = at.join(stay, at["_near_doc"].eqNullSafe(stay["_near_id"]) & (at["_near_t1"] == stay["_near_1"]) & (at["_near_t2"] == stay["_near_2"]), "left_semi")
     if not stay.where("_near_rows > 1").isEmpty():
-        left = left.withColumn("_near_rows", F.row_number().over(Window.partitionBy("_near_doc").orderBy(F.col(text_col)))).where("_near_rows = 1")
-    return left.drop("_near_doc", "_near_rows")
+        left = left.dropDuplicates(["_near_doc", "_near_t1", "_near_t2"])
+    return left.drop("_near_doc", "_near_t1", "_near_t2")
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    null = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return near_classes(table(spark, sf_dir, "documents")).select(null.alias("doc_id"), "class_id")
+    return near_classes(table(spark, sf_dir, "documents"))

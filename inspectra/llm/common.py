@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, one process has a temporary one (tests); a cluster, whose machines can't see each other's folders, has none.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="inspectra-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, a written table, after the files of old, a written one that nothing reads any more, have gone."""
+    jvm, conf = old.sparkSession._jvm, old.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return new
+
+
 def hash_sample(df: DataFrame, most: int) -> DataFrame:
     """About `most` rows of df (all, if fewer), chosen by a hash of their columns: no task sees more than its own rows."""
     columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from inspectra.llm import bag_minhash as B
 
@@ -67,8 +68,11 @@ def brute_classes(docs):
     return sorted((d, least[find(i)]) for i, (d, _) in enumerate(docs))
 
 
-def test_classes(spark, monkeypatch):
-    monkeypatch.setattr(B, "CROWDED", 2)
+@pytest.mark.parametrize("most", [4096, 4])
+def test_classes(spark, monkeypatch, most):
+    """Families that fit one task, and larger ones."""
+    monkeypatch.setattr(B, "GROUP_DOCS", most)
+    monkeypatch.setattr(B, "BLOCK", 3)
     docs = made()
     docs += [docs[0], docs[5], (docs[7][0], docs[9][1])]
     df = spark.createDataFrame([(*d, b"x", "y") for d in docs], "doc_id long, text string, digest binary, label string")
@@ -78,7 +82,29 @@ def test_classes(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in left) == sorted({c for _, c in want}) and len(left[0]) == 4
 
 
-def test_one_large_group(spark):
+def test_ids_on_several_texts(spark):
+    """One document may have several rows; none of its links is lost, whatever the order of rows."""
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(80)] for _ in range(2)]
+    near = [[*t[:-1], "end"] for t in texts]
+    docs = [(7, " ".join(texts[0])), (7, " ".join(texts[1])), (8, " ".join(near[1])), (9, " ".join(near[0])), (-(1 << 63), "other"), (None, " ".join(near[0])), (None, "alone")]
+    for rows in (docs, docs[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = B.near_classes(df).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None) == [(-(1 << 63), -(1 << 63)), (7, 7), (7, 7), (8, 7), (9, 7)]
+        assert sorted(str(r["class_id"]) for r in got if r["doc_id"] is None) == ["7", "None"]
+        assert sorted((str(r["doc_id"]), r["text"]) for r in B.one_of_each(df).collect())[::2] == [("-9223372036854775808", "other"), ("None", "alone")]
+
+
+def test_long_text(spark):
+    words = ["w%d" % (i * i % 9973) for i in range(30_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-50])), (3, " ".join(words[:100])), (4, " ".join(words[:9000]))]
+    assert sorted(map(tuple, B.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == brute_classes(docs)
+
+
+@pytest.mark.parametrize("most", [4096, 100])
+def test_one_large_group(spark, monkeypatch, most):
+    monkeypatch.setattr(B, "GROUP_DOCS", most)
     rng = random.Random(9)
     vocabulary = ["w%d" % i for i in range(400)]
     base = [rng.choice(vocabulary) for _ in range(300)]
