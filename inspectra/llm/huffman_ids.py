@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from inspectra.llm.common import pack_bits, partitions, peek_table, scratch, steps, written
 from inspectra.llm.word_ids import token_ids
 
+#: Longest codes, but for alphabets that need longer ones.
 MAX_BITS = 16
 STRIDE = 128
 BLOCK_IDS = 32_768
@@ -36,8 +37,7 @@ def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     if len(symbols) < 2:
         out[symbols] = 1
         return out
-    if len(symbols) > 1 << most:
-        raise ValueError(f"{len(symbols)} symbols don't fit codes of {most} bits")
+    most = max(most, (len(symbols) - 1).bit_length() + 1)
     symbols = symbols[np.argsort(counts[symbols], kind="stable")]
     leaf = counts[symbols].astype(np.float64)
     level, leaves = leaf, [np.ones(len(leaf), bool)]
@@ -94,7 +94,7 @@ def decode_blocks(bits: list[bytes], checkpoints: list[bytes], n_ids: list[int],
     count = np.concatenate([np.minimum(STRIDE, n - STRIDE * np.arange(len(m))) for m, n in zip(marks, n_ids)]) if marks else pos
     window = peek_table(np.frombuffer(b"".join(bits), np.uint8))
     out = np.zeros((len(pos), STRIDE), np.uint32)
-    shift = np.uint64(64 - MAX_BITS)
+    shift = np.uint64(65 - len(sym).bit_length())
     for k in range(STRIDE):
         code = ((window[pos >> 3] << (pos & 7).astype(np.uint64)) >> shift).astype(np.int64)
         out[:, k] = sym[code]
@@ -169,7 +169,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sym, width = decode_table(lengths)
+        sym, width = decode_table(lengths, max(MAX_BITS, int(lengths.max(initial=0))))
         width = width.astype(np.int64)
         for b in steps(batches, "bits", READ_IDS):
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
