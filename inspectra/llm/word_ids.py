@@ -26,6 +26,8 @@ PLAIN = 0x250
 #: The character below PLAIN whose lower case is two characters.
 DOTTED_I = 0x130
 LONGEST_KEPT = 48
+#: Pieces that go to the library in one call.
+AT_ONCE = 100
 LETTER, DIGIT, SPACE, OTHER, END = range(5)
 _SEED, _BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -112,7 +114,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.piece = Tokenizer.from_file(path)  # for pieces as the normalizer and the splitting make them
         self.piece.normalizer = None
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65_536 else "<u4")
         self.table = IdTable(most, self.dtype)
@@ -204,9 +206,14 @@ class WordEncoder:
         at = np.repeat(begin - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
         chars = low[np.minimum(at, len(low) - 1)]
         chars[np.cumsum(wide) - 1] = ord("\n")  # white space, which no piece holds
-        pieces = chars.astype("<u4").tobytes().decode("utf-32-le").split("\n")[:-1]
-        ids = [x.ids for x in self.piece.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64)
+        joined, stops = chars.astype("<u4").tobytes().decode("utf-32-le"), np.cumsum(wide)[AT_ONCE - 1 :: AT_ONCE].tolist()
+        ids, sizes = [], []
+        for i, j in zip([0, *stops], [*stops, len(joined)]):
+            if i < j:
+                got = self.piece.encode(joined[i : j - 1], add_special_tokens=False)
+                ids.append(np.array(got.ids, self.dtype))
+                sizes.append(np.bincount(got.word_ids))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 @functools.cache
