@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +18,26 @@ UNICODE_WORD = r"[\p{L}\p{N}_]"
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
+def _begins_with_word(pattern: str) -> bool:
+    """Whether every match begins with an ASCII word character, as far as is easily seen."""
+    if pattern.startswith("(?:"):
+        depth, parts, last, i = 0, [], 3, 3
+        while i < len(pattern) and depth >= 0:
+            c = pattern[i]
+            depth += (c == "(") - (c == ")")
+            if (c == "|" and depth == 0) or depth < 0:
+                parts.append(pattern[last:i])
+                last = i + 1
+            i += 2 if c == "\\" else 1
+        return not re.match(r"[?*]|\{0", pattern[i:]) and all(map(_begins_with_word, parts))
+    atom = re.match(r"\\d|\[(?:[A-Za-z]-[A-Za-z]|\d-\d|[A-Za-z0-9])+\]|[A-Za-z0-9]", pattern)
+    return bool(atom) and not re.match(r"[?*|]|\{0", pattern[atom.end() :])
+
+
 def java(pattern: str) -> str:
     """The pattern with \\b, \\B and \\s replaced by what RE2 means by them."""
+    if pattern.startswith(r"\b") and _begins_with_word(pattern[2:]):
+        return f"(?<!{_WORD})" + java(pattern[2:])  # half of BOUNDARY, which is tried at every character
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -36,21 +55,46 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """(start, end, text) of each non-overlapping match of a Java pattern that matches no empty text; code points, end exclusive."""
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once: a lambda's body computes all that isn't its variable anew for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array's values up to each place, the first excluded: as many blocks as a block has values, so that no array grows one by one for long."""
+    none = F.array().cast("array<int>")
+
+    def sums(x: Column, first: Column) -> Column:
+        add = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(x, F.struct(first.alias("at"), none.alias("all")), add, lambda acc: acc["all"])
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), width)).otherwise(none)
+        return F.transform(starts, lambda i: F.slice(v, i, width))
+
+    def joined(b: Column) -> Column:
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+        return F.flatten(F.transform(F.arrays_zip(b.alias("b"), sums(totals, F.lit(0)).alias("at")), lambda z: sums(z["b"], z["at"])))
+
+    return let(let(values, blocks), joined)
+
+
+def spans(text: Column, pattern: str, needs: Column | None = None) -> Column:
+    """(start, end, text) of each non-overlapping match of a Java pattern that matches no empty text; code points, end exclusive.
+
+    needs: a cheap test that each text with a match passes.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("text"))
-    none = F.array().cast(SPANS)
-
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + F.length(m["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
+    both = let(found, lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("text")))
+    def placed(m: Column, at: Column) -> Column:
+        start = at + m["gap"]
+        return F.struct(start.alias("start"), (start + F.length(m["text"])).alias("end"), m["text"].alias("text"))
 
     # a cheap test first: most texts match nothing
-    return F.when(text.rlike(pattern), F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("all")), add, lambda acc: acc["all"])).otherwise(none)
+    some = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    return F.when(some, let(both, lambda b: F.zip_with(b, running_sums(F.transform(b, lambda m: m["gap"] + F.length(m["text"]))), placed))).otherwise(F.array().cast(SPANS))
 
 
 def literal(words: str) -> str:

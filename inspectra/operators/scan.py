@@ -32,6 +32,7 @@ class Probe:
     pattern: str  # as Java has it
     confidence: float = 1.0
     check: Callable[[Column], Column] | None = None
+    needs: Callable[[Column], Column] | None = None  # a cheap test that every text with a match passes
 
 
 def run_probes(components: DataFrame, probes: list[Probe], types: Iterable[str] | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def run_probes(components: DataFrame, probes: list[Probe], types: Iterable[str]
     text = F.col("content")
 
     def hits_of(p: Probe) -> Column:
-        found = spans(text, p.pattern)
+        found = spans(text, p.pattern, None if p.needs is None else p.needs(text))
         found = found if p.check is None else F.filter(found, lambda s: p.check(s["text"]))
         name = (F.lit(p.analyzer).alias("analyzer_name"), F.lit(p.rule).alias("rule_name"))
         return F.transform(found, lambda s: F.struct(*name, s["text"].alias("matched_text"), s["start"].alias("start_offset"), s["end"].alias("end_offset"), F.lit(float(p.confidence)).alias("confidence")))
@@ -56,13 +57,21 @@ def regex_probes(patterns: dict[str, str], analyzer: str = "regex") -> list[Prob
 
 def identifier_probes(identifiers: Iterable[Identifier] = IDENTIFIERS, analyzer: str = "data_identifier", custom: dict[str, Callable[[Column], Column]] | None = None) -> list[Probe]:
     """Every pattern of every identifier; one that two patterns match is reported twice."""
-    return [Probe(analyzer, i.name, java(p), i.confidence, validator(i.validator, custom) if i.validator else None) for i in identifiers for p in i.patterns]
+    holds = lambda n: (lambda text: text.rlike(n)) if n else None
+    return [Probe(analyzer, i.name, java(p), i.confidence, validator(i.validator, custom) if i.validator else None, holds(i.needs)) for i in identifiers for p in i.patterns]
+
+
+def _holds_word(word: str, case_sensitive: bool) -> Callable[[Column], Column] | None:
+    """A test that texts with the word pass. Lower case is that of the pattern but for the letters named here."""
+    if case_sensitive:
+        return lambda text: text.contains(word)
+    return (lambda text: F.lower(text).contains(word.lower()) | text.rlike("[\u017f\u0130\u0131]")) if word.isascii() else None
 
 
 def keyword_probes(dictionary: str, words: Iterable[str], case_sensitive: bool = False, whole_word: bool = True, analyzer: str = "keyword") -> list[Probe]:
     """One probe for each word; hits of different words may overlap. Words that are equal but for case count once, the last."""
     kept = {w if case_sensitive else w.lower(): w for w in words if w}
-    return [Probe(analyzer, f"{dictionary}:{w}", keyword(w, whole_word, case_sensitive)) for w in kept.values()]
+    return [Probe(analyzer, f"{dictionary}:{w}", keyword(w, whole_word, case_sensitive), needs=_holds_word(w, case_sensitive)) for w in kept.values()]
 
 
 def scan_regex(components: DataFrame, patterns: dict[str, str], types: Iterable[str] | None = None) -> DataFrame:
@@ -114,10 +123,15 @@ def scan_proximity(components: DataFrame, rule: str, first: str, second: str, mo
     """Pairs of the two words with at most so many tokens between them, in either order; the match reaches from one to the other.
 
     The tokens of the two words join on the component and on neighbouring windows of positions, so that pairs far apart never meet.
+    Texts without both words give no token, others those two only.
     """
-    tokens = components.select("message_id", "component_idx", "component_type", "component_name", "content", F.posexplode(spans(F.col("content"), WORD_TOKENS)).alias("i", "t"))
-    said = F.col("t.text") if case_sensitive else F.lower("t.text")
     want = (first, second) if case_sensitive else (first.lower(), second.lower())
+    folded = (lambda c: c) if case_sensitive else F.lower
+    some = components.where(folded(F.col("content")).contains(want[0]) & folded(F.col("content")).contains(want[1]))
+    numbered = F.transform(spans(F.col("content"), WORD_TOKENS), lambda s, i: F.struct(i.alias("i"), s.alias("t")))
+    said_now = F.filter(numbered, lambda x: folded(x["t"]["text"]).isin(*want))
+    tokens = some.select("message_id", "component_idx", "component_type", "component_name", "content", F.explode(said_now).alias("x")).select("message_id", "component_idx", "component_type", "component_name", "content", "x.i", "x.t")
+    said = folded(F.col("t.text"))
     key, width = ["message_id", "component_idx"], most_between + 1
     window = F.floor(F.col("i") / width)
     a = tokens.where(said == want[0]).select("*", F.explode(F.array(window - 1, window, window + 1)).alias("w")).drop("content")

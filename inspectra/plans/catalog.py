@@ -11,22 +11,25 @@ class Identifier:
     patterns: tuple[str, ...]  # as RE2 has them
     validator: str | None = None
     confidence: float = 1.0
+    needs: str = ""  # a short pattern that every text with a match holds
 
 
+DIGIT = "[0-9]"
+
 # Names, patterns, validators and confidences of the default identifiers.
 IDENTIFIERS = (
-    Identifier("Credit Card Number", (r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",), "luhn", 0.95),
-    Identifier("US SSN", (r"\b\d{3}-\d{2}-\d{4}\b",), "ssn_area", 0.9),
-    Identifier("US Phone Number", (r"\b\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",), "phone_format", 0.7),
-    Identifier("Email Address", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b",), "email_domain", 0.85),
-    Identifier("IBAN", (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]){0,16}\b",), "iban_mod97", 0.9),
-    Identifier("IPv4 Address", (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",), "ipv4_range", 0.6),
-    Identifier("Date of Birth", (r"\b\d{2}/\d{2}/\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}-\d{2}-\d{4}\b"), "date_calendar", 0.5),
-    Identifier("ABA Routing Number", (r"\b\d{9}\b",), "aba_checksum", 0.8),
+    Identifier("Credit Card Number", (r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",), "luhn", 0.95, needs=DIGIT),
+    Identifier("US SSN", (r"\b\d{3}-\d{2}-\d{4}\b",), "ssn_area", 0.9, needs=DIGIT),
+    Identifier("US Phone Number", (r"\b\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",), "phone_format", 0.7, needs=DIGIT),
+    Identifier("Email Address", (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}\b",), "email_domain", 0.85, needs="@"),
+    Identifier("IBAN", (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]){0,16}\b",), "iban_mod97", 0.9, needs=DIGIT),
+    Identifier("IPv4 Address", (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",), "ipv4_range", 0.6, needs=DIGIT),
+    Identifier("Date of Birth", (r"\b\d{2}/\d{2}/\d{4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}-\d{2}-\d{4}\b"), "date_calendar", 0.5, needs=DIGIT),
+    Identifier("ABA Routing Number", (r"\b\d{9}\b",), "aba_checksum", 0.8, needs=DIGIT),
 )
 MORE_IDENTIFIERS = (
-    Identifier("US Passport", (r"\b[A-Z]?\d{8,9}\b",), "passport_format"),
-    Identifier("US Driver's License", (r"\b[A-Z]\d{7}\b", r"\b[A-Z]\d{12}\b", r"\b\d{9}\b", r"\b[A-Z]{2}\d{6}\b"), "drivers_license_format"),
+    Identifier("US Passport", (r"\b[A-Z]?\d{8,9}\b",), "passport_format", needs=DIGIT),
+    Identifier("US Driver's License", (r"\b[A-Z]\d{7}\b", r"\b[A-Z]\d{12}\b", r"\b\d{9}\b", r"\b[A-Z]{2}\d{6}\b"), "drivers_license_format", needs=DIGIT),
 )
 BY_NAME = {i.name: i for i in IDENTIFIERS + MORE_IDENTIFIERS}
 
