@@ -138,3 +138,53 @@ def with_notes(incidents: DataFrame, notes: DataFrame, key: str = "id") -> DataF
 def assigned_or_open(assigned: DataFrame, unassigned: DataFrame, key: str = "id") -> DataFrame:
     """Both sets of rows, each id once."""
     return assigned.unionByName(unassigned).dropDuplicates([key])
+
+
+def shown_matches(matches: DataFrame, most: int = 10) -> DataFrame:
+    """message_id and matched_content: the first `most` matches as JSON objects of type, label and text."""
+    at = F.struct("component_idx", "start_offset", "analyzer_name", "rule_name", F.substring("matched_text", 1, 100).alias("text"))
+    first = F.slice(F.array_sort(F.collect_list(at)), 1, most)
+    parts = matches.groupBy("message_id", F.pmod(F.xxhash64("component_idx", "start_offset", "rule_name"), F.lit(64)).alias("part")).agg(first.alias("m"))  # so no message's matches meet in one task
+    json = F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, most), lambda m: F.struct(m["analyzer_name"].alias("type"), m["rule_name"].alias("label"), m["text"].alias("text")))
+    return parts.groupBy("message_id").agg(F.to_json(json).alias("matched_content"))
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last slash or backslash."""
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def volume_channel(volume: Column) -> Column:
+    return F.when(volume == "removable", "usb").when(volume == "network", "network_share").otherwise("endpoint")
+
+
+def endpoint_incidents(violations: DataFrame, matches: DataFrame, source: DataFrame, kind: str) -> DataFrame:
+    """Incidents of an endpoint's clipboard, browser uploads, discover scans or volumes.
+
+    source: message_id and action; for uploads path, browser and pid, for discover scans and volumes path and, for volumes, volume.
+    Clipboard actions are marked as such; a discovered file in violation is put into quarantine if quarantine is set.
+    """
+    hit = violations.join(source, "message_id").join(shown_matches(matches), "message_id", "left")
+    none, action = F.lit(None).cast("string"), F.col("action")
+    if kind == "clipboard":
+        file_name, channel, user, action = F.lit("clipboard"), F.lit("clipboard"), F.lit(""), F.concat(F.lit("clipboard_"), action)
+    elif kind == "upload":
+        file_name, channel, user = base_name(F.col("path")), F.lit("browser_upload"), F.format_string("%s (PID %d)", "browser", "pid")
+    elif kind == "discover":
+        file_name, channel, user, action = base_name(F.col("path")), F.lit("discover"), none, F.when(F.col("quarantine"), "quarantine").otherwise(action)
+    else:
+        file_name, channel, user = base_name(F.col("path")), volume_channel(F.col("volume")), none
+    return hit.select("message_id", "policy_name", "severity", channel.alias("channel"), F.lit("endpoint").alias("source_type"), file_name.alias("file_name"), user.alias("user"), F.col("match_count").cast("int").alias("match_count"), "matched_content", action.alias("action_taken"))
+
+
+def ttd_content(content: Column, excerpt: Column) -> Column:
+    """The text that a request for a decision brings: its content, else its excerpt (UTF-8, what isn't as U+FFFD), else null."""
+    some = lambda c: F.when(F.octet_length(c) > 0, F.decode(c, "UTF-8"))
+    return F.coalesce(some(content), some(excerpt))
+
+
+def ttd_decision(content: Column, excerpt: Column, n: Column, timed_out: Column, fallback: Column) -> Column:
+    """(verdict, message): requests without content are allowed."""
+    empty = ttd_content(content, excerpt).isNull()
+    verdict = F.when(empty, "allow").otherwise(ttd_verdict(n, timed_out, fallback))
+    return F.struct(verdict.alias("verdict"), F.when(empty, "No content provided").otherwise("").alias("message"))

@@ -88,9 +88,9 @@ def filtered(incidents: DataFrame, severity: str | None = None, status: str | No
     return out.where(F.col("policy_name").ilike(f"%{search}%") | F.col("file_name").ilike(f"%{search}%") | F.col("user").ilike(f"%{search}%")) if search else out
 
 
-def page(df: DataFrame, number: int = 1, size: int = 20, sort_by: str = "created_at", descending: bool = True, key: str = "id") -> DataFrame:
-    """One page in a stable order; unknown columns sort by created_at."""
-    column = F.col(sort_by if sort_by in SORTABLE and sort_by in df.columns else "created_at")
+def page(df: DataFrame, number: int = 1, size: int = 20, sort_by: str = "created_at", descending: bool = True, key: str = "id", newest: str = "created_at") -> DataFrame:
+    """One page in a stable order, of any list; columns that can't be sorted by give way to `newest`."""
+    column = F.col(sort_by if sort_by in (*SORTABLE, newest) and sort_by in df.columns else newest)
     return df.orderBy(column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col(key)).offset((number - 1) * size).limit(size)
 
 

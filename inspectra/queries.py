@@ -354,10 +354,10 @@ def risk_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.top(reports.risk(derived(spark, sf_dir), REFERENCE), "raw_score", 5, "user").select("user", "raw_score")
 
 
-@query(f"""WITH {_INCIDENTS} SELECT * FROM i WHERE severity = 'high' AND status = 'new' AND policy_name ILIKE '%icy 1%' AND (policy_name ILIKE '%file%' OR file_name ILIKE '%file%' OR "user" ILIKE '%file%') ORDER BY match_count DESC, id LIMIT 20 OFFSET 20""")
+@query(f"""WITH {_INCIDENTS} SELECT * FROM i WHERE severity = 'low' AND status = 'in_progress' AND policy_name ILIKE '%icy 1%' AND (policy_name ILIKE '%file%' OR file_name ILIKE '%file%' OR "user" ILIKE '%file%') ORDER BY match_count DESC, id LIMIT 20 OFFSET 20""")
 def incidents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a filtered list."""
-    return reports.page(reports.filtered(derived(spark, sf_dir), "high", "new", None, "icy 1", "file"), 2, 20, "match_count")
+    return reports.page(reports.filtered(derived(spark, sf_dir), "low", "in_progress", None, "icy 1", "file"), 2, 20, "match_count")
 
 
 @query(f"WITH {_INCIDENTS} SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 20)) AS BIGINT) AS pages FROM i WHERE severity = 'high'")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import inspectra.queries as Q
+import inspectra.state_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,7 +35,7 @@ def test_query(spark, sf_dir, con, name):
     a, b = rows(got.columns, [tuple(r) for r in got.collect()]), rows(want.columns, want.fetchall())
     assert a[0] == b[0]
     assert a[1] == b[1]
-    assert a[1] or name in ("incidents_page",)
+    assert a[1]
 
 
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
