@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inspectra.functions.patterns import let, running, running_sums
 from inspectra.llm.common import hash_sample, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,23 +41,39 @@ def match_spans(text: Column, pattern: str, kind: int, keep: Column | None = Non
     """(start, kind, end) of the pattern's leftmost non-overlapping matches. keep: an array of booleans, one for each match."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("n"), (keep if keep is not None else F.transform(found, lambda n: n > 0)).alias("keep"))
-    empty = F.array().cast(NO_SPANS)
+    kept = keep if keep is not None else F.array().cast("array<boolean>")
+    both = let(found, lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("n"), kept.alias("keep")))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + m["n"]
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(m["keep"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(m: Column, at: Column) -> Column:
+        start = at + m["gap"]
+        return F.when(F.coalesce(m["keep"], F.lit(True)), F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["n"]).alias("end")))
 
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    spans = let(both, lambda b: F.filter(F.zip_with(b, running_sums(F.transform(b, lambda m: m["gap"] + m["n"])), placed), lambda s: s.isNotNull()))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(NO_SPANS))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def clear_of(runs: Column, base: Column) -> Column:
+    """Those runs that overlap no base span, by one sort: what begins before has ended, and what comes next begins after."""
+    far = -(1 << 31)
+
+    def clear(s: Column) -> Column:
+        before = running(F.transform(s, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), 0, _larger)
+        after = F.reverse(running(F.transform(F.reverse(s), lambda x: F.when(x["kind"] < 3, -x["start"]).otherwise(far)), far, _larger))
+        seen = F.zip_with(F.zip_with(s, before, lambda x, b: F.struct(x.alias("x"), b.alias("b"))), after, lambda z, a: F.struct(z["x"].alias("x"), z["b"].alias("b"), a.alias("a")))
+        free = F.filter(seen, lambda z: (z["x"]["kind"] == 3) & (z["b"] <= z["x"]["start"]) & ((z["a"] == far) | (-z["a"] >= z["x"]["end"])))
+        return F.transform(free, lambda z: z["x"])
+
+    return F.when(F.size(runs) > 0, let(F.sort_array(F.concat(base, runs)), clear)).otherwise(runs)
 
 
 def base_spans(text: Column) -> Column:
     """The three patterns' spans in order of start, then kind."""
     values = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE)
-    return F.array_sort(F.concat(match_spans(text, ASSIGN, 0, values), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2)))
+    return F.sort_array(F.concat(match_spans(text, ASSIGN, 0, values), match_spans(text, ACCESS, 1), match_spans(text, HEX, 2)))
 
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -103,8 +120,8 @@ def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "tex
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     random = F.transform(runs, lambda s: s.rlike("[A-Za-z]") & s.rlike("[0-9]|[a-z][A-Z]|^[A-Z]+$") & (ratio(s, model) > LEAST_RATIO))
     out = docs.withColumn("_secret_text", docs[text_col].cast("string")).withColumn("_secret_base", base_spans(text))
-    added = F.filter(match_spans(text, RUN, 3, random), lambda x: ~F.exists("_secret_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("_secret_spans", F.array_sort(F.concat("_secret_base", added))).drop("_secret_text")
+    added = let(match_spans(text, RUN, 3, random), lambda runs: clear_of(runs, F.col("_secret_base")))
+    return out.withColumn("_secret_spans", F.sort_array(F.concat("_secret_base", added))).drop("_secret_text")
 
 
 def listed(spans: Column) -> Column:
@@ -113,16 +130,18 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: list[float] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with every secret of the text replaced by MASK; spans that touch become one."""
+    """docs with every secret of the text replaced by MASK; spans that overlap become one."""
     found = scan(docs, model, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def mask(acc: Column, s: Column) -> Column:
-        later = s["start"] >= acc["at"]
-        out = F.when(later, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def mask(raw: Column) -> Column:
+        cut = lambda a, n: F.decode(F.substr(raw, a * 4 + 1, n * 4), "UTF-32")  # noqa: E731  four bytes for each character
+        shown = lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"] - at), F.lit(MASK))).otherwise("")
+        last = F.array_max(F.transform("_secret_spans", lambda s: s["end"]))
+        parts = F.zip_with("_secret_spans", running(F.transform("_secret_spans", lambda s: s["end"]), 0, _larger), shown)
+        return F.concat(F.array_join(parts, ""), cut(last, F.length(text) - last))
 
-    masked = F.aggregate("_secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), mask, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    masked = let(F.encode(text, "UTF-32"), mask)
     return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col(text_col))).drop("_secret_base", "_secret_spans")
 
 

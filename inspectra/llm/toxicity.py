@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from inspectra.llm.common import hash_sample, steps, table
 
 MOST_LABELLED = 20_000
-MOST_TERMS = 400
 #: Shortest and longest beginnings of words that can be terms, and the length from which a term is met with an edit.
 SHORTEST, LONGEST, FUZZY_FROM = 4, 8, 5
 LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS = 4, 0.01, 3.0
@@ -39,7 +38,8 @@ WINDOW = 12
 THRESHOLD = 0.3
 RIDGE = 1.0
 WORD = re.compile(r"\w+")
-MOST_WORDS = 1_000_000
+#: Words, and states of the automaton, kept in a worker.
+MOST_WORDS, MOST_STATES = 1_000_000, 200_000
 #: Opening and closing quotation marks.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
 FEATURES = ("one", "word", "stem", "near_word", "near_stem", "quoted", "crowd", "density")
@@ -68,7 +68,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
             while (best := max(longer.get(p, ()), key=pure.get, default=None)) and pure[best] >= 0.9 * pure[p]:
                 p = best
             terms.append(p)
-    return sorted(terms, key=lambda p: (-pure[p], p))[:MOST_TERMS]
+    return sorted(set(terms), key=lambda p: (-pure[p], p))
 
 
 class FuzzyTrie:
@@ -91,13 +91,16 @@ class FuzzyTrie:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[node][c]
             self.ends[node] |= 1 if t.endswith("$") else 2
+        self.kept: dict[str, int] = {}
+        self.reset()
+
+    def reset(self) -> None:
         start = frozenset({(0, 0)}) | {(n, 1) for n in self.child[0].values()}
         self.states = [start]
         self.numbers = {start: 0}
         self.next: list[dict[str, int]] = [{}]
         self.at_end = [self._end(start)]
         self.stem = [0]
-        self.kept: dict[str, int] = {}
 
     def _end(self, state: frozenset[tuple[int, int]]) -> int:
         kinds = [1 if e == 0 else 3 for n, e in state if self.ends[n] & 1 and (e == 0 or self.depth[n] >= FUZZY_FROM)]
@@ -141,22 +144,34 @@ class FuzzyTrie:
         if len(self.kept) > MOST_WORDS:
             self.kept.clear()
         for w in words.difference(self.kept):
+            if len(self.states) > MOST_STATES:
+                self.reset()
             self.kept[w] = self.kind(w)
         return self.kept
 
 
-def quoted(text: str, at: int, end: int) -> bool:
-    """Whether the place lies between quotation marks on its line."""
-    a = text.rfind("\n", 0, at) + 1
-    b = text.find("\n", end)
-    before, after = text[a:at], text[end : b if b >= 0 else len(text)]
+def in_quotes(text: str, places: list[tuple[int, int]]) -> np.ndarray:
+    """Whether each place lies between quotation marks on its line, from the places of all marks and line ends."""
+    begin, end = np.array(places).reshape(-1, 2).T
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    found = functools.cache(lambda c: np.flatnonzero(points == ord(c)))
+    breaks = np.concatenate([[-1], found("\n"), [len(text)]])
+    first, last = breaks[np.searchsorted(breaks, begin) - 1] + 1, breaks[np.searchsorted(breaks, end)]
+    before = lambda c: np.concatenate([[-1], found(c)])[np.searchsorted(found(c), begin)]  # noqa: E731  the mark's last place
+    between = lambda c, i, j: np.searchsorted(found(c), j) - np.searchsorted(found(c), i)
+    out = np.zeros(len(begin), bool)
     for left, right in QUOTES.items():
+        closes = between(right, end, last) > 0
         if left == right:
-            if before.count(left) % 2 and left in after:
-                return True
-        elif before.rfind(left) > before.rfind(right) and right in after:
-            return True
-    return False
+            out |= (between(left, first, begin) % 2 == 1) & closes
+        else:
+            out |= (before(left) >= first) & (before(left) > before(right)) & closes
+    return out
+
+
+def quoted(text: str, at: int, end: int) -> bool:
+    """in_quotes of one place."""
+    return bool(in_quotes(text, [(at, end)])[0])
 
 
 def features(trie: FuzzyTrie, texts: list[str | None]) -> np.ndarray:
@@ -178,7 +193,7 @@ def features(trie: FuzzyTrie, texts: list[str | None]) -> np.ndarray:
                 k += 1
                 if k == len(hits):
                     break
-        plain = np.array([not quoted(t, a, b) for a, b in places])
+        plain = ~in_quotes(t, places)
         own = hits[plain]
         by_kind = np.bincount(kinds[own], minlength=5)[1:5]
         crowd = (np.searchsorted(own, own + WINDOW, "right") - np.searchsorted(own, own - WINDOW)).max(initial=0)

@@ -52,3 +52,38 @@ def test_models_tell_random_from_ordinary(spark, sf_dir):
     hit = lambda d: d.where(M.ratio(M.F.col("s"), model) > M.LEAST_RATIO).count() / d.count()
     assert hit(made) > 0.95
     assert hit(words.where("s rlike '^[A-Za-z]+$'")) < 0.01
+
+
+def brute_random(text, model):
+    """Runs that the models take for random and that touch no base span, by plain loops."""
+    base_at = [tuple(map(int, s.split(":")[1:])) for s in filter(None, base(text).split(","))]
+    n, at = len(M.ALPHABET), {c: i for i, c in enumerate(M.ALPHABET)}
+    out = []
+    for m in re.finditer(M.RUN, text):
+        s = m[0]
+        ratio = sum(round(model[at[a] * n + at[b]], 6) for a, b in zip(s, s[1:]))
+        if re.search("[A-Za-z]", s) and re.search("[0-9]|[a-z][A-Z]|^[A-Z]+$", s) and ratio > M.LEAST_RATIO and not any(a < m.end() and m.start() < b for a, b in base_at):
+            out.append(f"random:{m.start()}:{m.end()}")
+    return out
+
+
+def test_random_spans_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = M.train(M.samples(docs))
+    mixed = " ".join(f"Qz{i}xL0vT7rZk3WbN8sYpA1d{i * 7919 % 97}Gh token=abc{i}def0 {'0a1b' * 7} plain_words_of_an_identifier" for i in range(60))
+    df = docs.unionByName(spark.createDataFrame([(-1, mixed), (-2, "é" + mixed[::-1])], docs.schema))
+    rows = M.scan(df, model).select("text", M.listed("_secret_spans").alias("spans")).collect()
+    found = 0
+    for r in rows:
+        want = brute_random(r["text"] or "", model)
+        assert [s for s in r["spans"].split(",") if s.startswith("random")] == want
+        found += len(want)
+    assert found > 60
+
+
+def test_many_spans_in_one_text(spark):
+    text = "é " + " ".join(f"token=abcdef{i} Q9fQ2xL0vT7rZk3WbN8sYpA{i}" for i in range(20_000))
+    model = [1.0] * len(M.ALPHABET) ** 2
+    df = spark.createDataFrame([(text,)], "text string")
+    assert M.scan(df, model).select(M.F.size("_secret_base"), M.F.size("_secret_spans")).first()[:] == (20_000, 40_000)
+    assert M.redact(df, model).first()[0] == "é " + " ".join(["[SECRET] [SECRET]"] * 20_000)

@@ -72,3 +72,16 @@ def test_edges(spark, sf_dir):
     import zlib
 
     assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
+
+
+def test_quotes_of_many_places():
+    """100,000 hits on one line, and quotation marks of several kinds on several."""
+    import re
+
+    from inspectra.llm.toxicity import in_quotes
+
+    text = '"hit" ' * 100_000
+    assert in_quotes(text, [m.span() for m in re.finditer(r"\w+", text)]).all()
+    text = 'a "b" c „d“ e «f» g\n"h i\nj" k “l” m «n\no» “p'
+    places = [m.span() for m in re.finditer(r"\w+", text)]
+    assert [text[a:b] for (a, b), q in zip(places, in_quotes(text, places)) if q] == ["b", "d", "f", "l"]
