@@ -60,12 +60,15 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def running_sums(values: Column) -> Column:
-    """The sums of an array's values up to each place, the first excluded: as many blocks as a block has values, so that no array grows one by one for long."""
-    none = F.array().cast("array<int>")
+def running(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """op over an array's integers up to each place, the place itself left out. op is associative and zero neutral.
+
+    There are as many blocks as a block has values, so that no array grows one by one for long.
+    """
+    none, start = F.array().cast("array<int>"), F.lit(zero)
 
-    def sums(x: Column, first: Column) -> Column:
-        add = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    def fold(x: Column, first: Column) -> Column:
+        add = lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
         return F.aggregate(x, F.struct(first.alias("at"), none.alias("all")), add, lambda acc: acc["all"])
 
     def blocks(v: Column) -> Column:
@@ -74,12 +77,16 @@ def running_sums(values: Column) -> Column:
         return F.transform(starts, lambda i: F.slice(v, i, width))
 
     def joined(b: Column) -> Column:
-        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
-        return F.flatten(F.transform(F.arrays_zip(b.alias("b"), sums(totals, F.lit(0)).alias("at")), lambda z: sums(z["b"], z["at"])))
+        totals = F.transform(b, lambda x: F.aggregate(x, start, op))
+        return F.flatten(F.transform(F.arrays_zip(b.alias("b"), fold(totals, start).alias("at")), lambda z: fold(z["b"], z["at"])))
 
     return let(let(values, blocks), joined)
 
 
+def running_sums(values: Column) -> Column:
+    return running(values, 0, lambda a, v: a + v)
+
+
 def spans(text: Column, pattern: str, needs: Column | None = None) -> Column:
     """(start, end, text) of each non-overlapping match of a Java pattern that matches no empty text; code points, end exclusive.
 
