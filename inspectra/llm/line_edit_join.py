@@ -1,12 +1,14 @@
 """Line dedup by a segment-partition edit join: a line goes if an earlier line is equal or within a few edits.
 
 Lines of LEAST_CHARS or more take part: only empty ones always stay. Lines under EDIT_CHARS go for equal lines only, as one edit
-makes another word of them. Of equal lines the first in the document with the smallest
-doc_id stays. Of two different near lines that one goes which comes later by (doc_id of its first document, hash, text), whether or
+makes another word of them. Of equal lines the first in the first document stays, documents being ordered by doc_id and the hash of
+their text. Of two different near lines that one goes which comes later by (its first document, hash, text), whether or
 not the earlier one goes too. Near are lines within k edits, k by the shorter one's length: one for every CHARS_PER_EDIT
 characters, 1 at least and `most` (MOST) at most.
 
-Pairs within one edit, of any length: threshold 1 gives two segments. One edit leaves one of them as it is, so each line is indexed by (length, segment number,
+Equal lines meet by their hashes alone, so that no text is shuffled for them.
+
+Pairs within one edit: threshold 1 gives two segments. One edit leaves one of them as it is, so each line is indexed by (length, segment number,
 segment), and probed with its own segments and those of a line shorter by one. A key that more than HOT lines share is split
 again: what lies outside the segment holds the edit, so its halves are the next two segments. When that rest is at most
 LEAST_REST characters, the remaining groups go by what is left when any one character is taken out: lines of one such group are
@@ -14,13 +16,16 @@ within one edit of each other, so the earliest stands for it. All groups thus st
 Candidates are verified by Spark's banded edit distance (a bit-parallel one would need Python).
 
 Pairs within k > 1 edits (lines of 2 * CHARS_PER_EDIT characters or more): an edit touches at most two words, so four word
-triples, and near lines of more than 4k different triples have one of each other's 4k + 1 triples of least hash in common. Lines
-of fewer triples give them all, and meet each other by k + 1 segments, looked for at each place that k edits can move them to in
-lines longer by 0 to k. In hot groups all members first meet LEADERS early ones; only those that still have no earlier near line
+triples, and near lines of more than 4k triples have one of each other's first 4k + 1 different triples in common, and m of the
+first 4k + m, if they have so many; longer triples, which are rarer, come first, then those of less hash. Lines
+of 4k triples or fewer give them all, and meet each other by k + 1 segments, looked for at each place that k edits can move them to in
+lines longer by 0 to k. First one shuffle of keys and hashes finds the lines that share COMMON keys (or as many as near
+lines must, if that is less) with other lines; only those are read again with their text. Keys that a sample of documents shows often are dealt to SALTS groups and taken to be
+shared. In hot groups all members first meet LEADERS early ones; only those that still have no earlier near line
 meet all that come before them. This is exact, but grows with the square of a group whose lines are not near each other.
 
-Edge cases: a null text has no lines and stays null; an empty table gives an empty result; rows with equal doc_ids count as one
-document (null as the smallest id), and repeated rows get the same result; a text of any length and number of lines is taken
+Edge cases: a null text has no lines and stays null; an empty table gives an empty result; rows with equal doc_ids and different
+texts are different documents; null doc_ids come first; repeated rows get the same result; a text of any length and number of lines is taken
 whole; other columns are kept, whatever their names, if they don't begin with `_line_`.
 """
 
@@ -28,14 +33,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inspectra.functions.patterns import let
 from inspectra.llm.common import table, written
 
 LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
-CHARS_PER_EDIT, MOST, LEADERS = 32, 8, 3
-NULL_ID = -(1 << 63)
+CHARS_PER_EDIT, MOST, LEADERS, COMMON = 32, 8, 3, 8
+#: Documents in which keys are counted beforehand, how many of them make a key a frequent one, and the groups it is dealt to.
+SAMPLE_DOCS, FREQUENT, SALTS = 5_000, 16, 64
+#: Hashes of candidate lines up to which they are broadcast (8 MB).
+BROADCAST = 1_000_000
 OWN = ("_line_h", "_line_g")
 
 
@@ -47,16 +56,19 @@ def _g(line: Column) -> Column:
     return F.xxhash64(F.lit(7), line)
 
 
-def _lines(text: Column) -> Column:
-    """The different lines of a text that take part."""
-    return F.array_distinct(F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= LEAST_CHARS))
+def _doc(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.struct(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("t"))
+
 
+def _each_line(docs: DataFrame, id_col: str, text_col: str, least: int, most: int | None = None) -> DataFrame:
+    """doc, line and h of the lines, `least` to `most` characters long, of every text."""
+    lines = docs.select(_doc(docs, id_col, text_col).alias("doc"), F.explode(F.split(docs[text_col].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= least)
+    return (lines if most is None else lines.where(F.length("line") <= most)).withColumn("h", _h(F.col("line")))
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """line, doc (the smallest id that has it) and h, written to the shared folder."""
-    doc = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))
-    each = docs.select(doc.alias("doc"), F.explode(_lines(docs[text_col].cast("string"))).alias("line"))
-    return written(each.groupBy("line").agg(F.min("doc").alias("doc")).withColumn("h", _h(F.col("line"))), "lines")
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """line, doc (the first that has it) and h, written to the shared folder."""
+    return written(lines.groupBy("line").agg(F.min("doc").alias("doc")).withColumn("h", _h(F.col("line"))), "lines")
 
 
 def _entries(lines: DataFrame) -> DataFrame:
@@ -121,10 +133,17 @@ def edits(n: Column, most: int = MOST) -> Column:
 
 
 def _triples(line: Column) -> Column:
-    """Hashes of the different word triples, in order."""
-    w = F.split(line, " ", -1)
-    each = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c")), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    return F.array_sort(F.array_distinct(F.transform(each, lambda z: F.xxhash64(z["a"], z["b"], z["c"]))))
+    """The different word triples in order, longer ones first: six bits for 63 less the length, the rest hash."""
+
+    def each(w: Column) -> Column:
+        def triple(x: Column, i: Column) -> Column:
+            y, z = F.get(w, i + 1), F.get(w, i + 2)
+            rank = F.greatest(F.lit(0), 63 - F.octet_length(x) - F.octet_length(y) - F.octet_length(z))
+            return F.shiftleft(rank.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, y, z), 7))
+
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), triple)
+
+    return F.sort_array(F.array_distinct(let(F.split(line, " ", -1), each)))
 
 
 def _places(most: int) -> Column:
@@ -137,18 +156,23 @@ def _places(most: int) -> Column:
     return F.expr("array(%s)" % ",".join(out))
 
 
-def _long_entries(lines: DataFrame, most: int) -> DataFrame:
-    """key, doc, h and indexed: of two lines that meet by a key one is indexed by it."""
+def _long_entries(lines: DataFrame, most: int, common: int) -> DataFrame:
+    """key, doc, h, n (the length), indexed and need: of two lines that meet by a key one is indexed by it, and near lines have `need` keys in common."""
     n = F.length("line")
-    sized = lines.select("line", "doc", "h", n.alias("n"), (4 * edits(n, most)).alias("lost"), _triples(F.col("line")).alias("all"))
-    triples = sized.select("doc", "h", F.explode(F.slice("all", F.lit(1), F.col("lost") + 1)).alias("key"), F.lit(True).alias("indexed"))
+    lost = 4 * edits(n, most)
+
+    def chosen(triples: Column) -> Column:
+        return F.struct(F.greatest(F.lit(1), F.least(F.lit(common), F.size(triples) - lost)).alias("need"), F.slice(triples, F.lit(1), lost + common).alias("keys"))
+
+    sized = lines.select("doc", "h", n.alias("n"), let(_triples(F.col("line")), chosen).alias("s"))
+    triples = sized.select("doc", "h", "n", F.explode("s.keys").alias("key"), F.lit(True).alias("indexed"), "s.need")
     # four bytes for each character, so that segments are found by their place
-    few = sized.where(F.size("all") <= F.col("lost")).select("doc", "h", "n", F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
+    few = lines.where(F.size(F.split("line", " ", -1)) - 2 <= lost).select("doc", "h", n.alias("n"), F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
     few = few.select("*", (F.col("n") - F.col("more")).alias("size")).where(F.col("size") >= 2 * CHARS_PER_EDIT).select("*", edits(F.col("size"), most).alias("k")).where("more <= k")
     at = few.select("*", F.explode(F.element_at(_places(most), F.col("k") * (most + 1) + F.col("more") + 1)).alias("code")).select("*", F.expr("code div 64").cast("int").alias("i"), (F.col("code") % 64 - 32).alias("shift"))
     at = at.select("*", F.expr("i * size div (k + 1)").cast("int").alias("start"), F.expr("(i + 1) * size div (k + 1)").cast("int").alias("end"))
     at = at.where("start + shift >= 0 AND end + shift <= n")
-    segments = at.select("doc", "h", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"))
+    segments = at.select("doc", "h", "n", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"), F.lit(1).alias("need"))
     return triples.union(segments)
 
 
@@ -167,7 +191,7 @@ def _verified(lines: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
 def _long_covered(lines: DataFrame, most: int) -> DataFrame:
     """The same for lines within two edits or more."""
     lines = lines.where(F.length("line") >= 2 * CHARS_PER_EDIT)
-    entries, at = _long_entries(lines, most), F.struct("doc", "h")
+    entries, at = _long_entries(lines, most, COMMON), F.struct("doc", "h")
     # most keys have one line, so that entries are made twice and only those of the other keys written
     shared = written(entries.groupBy("key").count().where("count > 1"), "long-keys")
     entries = written(entries.join(shared.select("key"), "key", "left_semi"), "long-entries")
@@ -182,37 +206,74 @@ def _long_covered(lines: DataFrame, most: int) -> DataFrame:
     x = entries
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
-    x = x.select("key", F.col("indexed").alias("x_indexed"), F.struct("doc", "h").alias("x"))
-    y = entries.select("key", F.col("indexed").alias("y_indexed"), at.alias("y"))
-    pairs = x.join(y, "key").where("(x_indexed OR y_indexed) AND y < x").select(F.col("y.h").alias("a"), F.col("x.h").alias("b")).distinct()
+    x = x.select("key", F.col("indexed").alias("x_indexed"), "need", "n", F.struct("doc", "h").alias("x"))
+    y = entries.select("key", F.col("indexed").alias("y_indexed"), F.col("n").alias("y_n"), at.alias("y"))
+    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND abs(n - y_n) <= {most} AND y < x").groupBy(F.col("y.h").alias("a"), F.col("x.h").alias("b"))
+    pairs = met.agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
     return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
 
 
 def covered_lines(lines: DataFrame, most: int = MOST) -> DataFrame:
-    """Keys (_line_h, _line_g) of the lines that have an earlier near line; `most` bounds the edits of the longest lines."""
+    """Keys (_line_h, _line_g) of the lines (line, doc, h) that have an earlier near line; `most` bounds the edits of the longest lines."""
     lines = lines.where(F.length("line") >= EDIT_CHARS)
     one = _verified(lines, near_pairs(lines), most)
     return one if most < 2 else one.union(_long_covered(lines, most)).distinct()
 
 
+def _candidates(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """h of the lines within reach of more than one edit that share enough keys with other lines."""
+    entries = lambda d: _long_entries(_each_line(d, id_col, text_col, 2 * CHARS_PER_EDIT), most, COMMON)
+    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), 7)
+    often = written(entries(sample).groupBy("key").count().where(F.col("count") >= FREQUENT).select("key"), "often")  # few: so many documents hold so many keys
+    salt = F.when(F.col("often"), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
+    tag = F.shiftleft(salt, 8).bitwiseOR(F.col("need"))  # one small column, as there are many rows
+    dealt = entries(docs).join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").select("key", tag.alias("tag"), "h")
+    group = Window.partitionBy("key", F.shiftright("tag", 8))
+    met = dealt.select("key", "h", "tag", F.min("h").over(group).alias("a"), F.max("h").over(group).alias("z")).where("tag >= 256 OR a <> z")
+    each = met.select("h", "key", F.col("tag").bitwiseAND(255).alias("need")).distinct()
+    return written(each.groupBy("h").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("h"), "candidates")
+
+
+def _near_covered(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """covered_lines of all lines of docs, of which only those are gathered that may be near another one."""
+    border = 2 * CHARS_PER_EDIT
+    short = distinct_lines(_each_line(docs, id_col, text_col, EDIT_CHARS, border if most > 1 else None))
+    one = _verified(short, near_pairs(short), 1)
+    if most < 2:
+        return one
+    some = _candidates(docs, id_col, text_col, most)
+    some = F.broadcast(some) if some.count() <= BROADCAST else some
+    return one.union(_long_covered(distinct_lines(_each_line(docs, id_col, text_col, border).join(some, "h", "left_semi")), most)).distinct()
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """_line_doc and _line_kept, the hashes (h, g) of the lines that stay in it, for each document that keeps a line."""
-    lines = distinct_lines(docs, id_col, text_col)
-    keyed = lines.select(F.col("doc").alias("_line_doc"), F.col("h").alias("_line_h"), _g(F.col("line")).alias("_line_g"))
-    stay = keyed.join(covered_lines(lines, most), list(OWN), "left_anti")
+    each = _each_line(docs, id_col, text_col, LEAST_CHARS).select("doc", F.col("h").alias("_line_h"), _g(F.col("line")).alias("_line_g"))
+    first = each.groupBy(*OWN).agg(F.min("doc").alias("_line_doc"))
+    stay = first.join(_near_covered(docs, id_col, text_col, most), list(OWN), "left_anti")
     return stay.groupBy("_line_doc").agg(F.collect_list(F.struct(*OWN)).alias("_line_kept"))
 
 
+def _left(text: Column, kept: Column) -> Column:
+    """The text's empty lines and the first of each line in `kept`, by one sort: a line stays if it follows the entry of its hashes."""
+    place = lambda h, g, i, line: F.struct(h.alias("h"), g.alias("g"), i.alias("i"), line.alias("line"))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: place(_h(x), _g(x), i, x))
+    known = F.transform(kept, lambda k: place(k["_line_h"], k["_line_g"], F.lit(-1), F.lit("")))
+
+    def first_ones(s: Column) -> Column:
+        before = F.slice(F.concat(F.array(place(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0), F.lit(""))), s), F.lit(1), F.size(s))
+        both = F.zip_with(s, before, lambda x, y: F.struct(x.alias("x"), ((x["i"] >= 0) & ((F.length(x["line"]) < LEAST_CHARS) | ((y["i"] < 0) & (y["h"] == x["h"]) & (y["g"] == x["g"])))).alias("stays")))
+        return F.transform(F.filter(both, lambda z: z["stays"]), lambda z: F.struct(z["x"]["i"].alias("i"), z["x"]["line"].alias("line")))
+
+    return F.array_join(F.transform(F.sort_array(let(F.sort_array(F.concat(lines, known)), first_ones)), lambda z: z["line"]), "\n")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """docs without the lines that go; texts whose lines all stay are as they were."""
     kept = kept_lines(docs, id_col, text_col, most)
-    left = docs.withColumn("_line_doc", F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID))).join(kept, "_line_doc", "left")
+    left = docs.withColumn("_line_doc", _doc(docs, id_col, text_col)).join(kept, "_line_doc", "left")
     has = F.coalesce("_line_kept", F.array().cast("array<struct<_line_h:bigint,_line_g:bigint>>"))
-    text = F.col(text_col).cast("string")
-    # the first of equal lines in a text is the one before which it doesn't occur
-    lines = F.split(text, "\n", -1)
-    rest = F.filter(lines, lambda x, i: (F.length(x) < LEAST_CHARS) | (F.array_contains(has, F.struct(_h(x).alias("_line_h"), _g(x).alias("_line_g"))) & (F.array_position(lines, x) == i + 1)))
-    return left.withColumn(text_col, F.array_join(rest, "\n")).drop("_line_doc", "_line_kept")
+    return left.withColumn(text_col, _left(F.col(text_col).cast("string"), has)).drop("_line_doc", "_line_kept")
 
 
 def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +281,7 @@ def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = kept_lines(docs)
     lines = F.split("text", "\n", -1)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.filter(lines, lambda x: F.length(x) < LEAST_CHARS)), F.lit(0)).alias("short"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_line_doc"))
-    listed = F.array_join(F.transform(F.array_sort("_line_kept"), lambda x: x["_line_h"].cast("string")), ",")
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.filter(lines, lambda x: F.length(x) < LEAST_CHARS)), F.lit(0)).alias("short"), _doc(docs, "doc_id", "text").alias("_line_doc"))
+    listed = F.array_join(F.transform(F.sort_array("_line_kept"), lambda x: x["_line_h"].cast("string")), ",")
     n_long = F.coalesce(F.size("_line_kept"), F.lit(0))
     return counted.join(kept, "_line_doc", "left").select("doc_id", "n_lines", (F.col("short") + n_long).cast("long").alias("n_kept"), F.sha2(F.coalesce(listed, F.lit("")), 256).alias("kept_sha256"))

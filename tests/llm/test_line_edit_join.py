@@ -20,22 +20,26 @@ def distance_at_most_one(a, b):
 
 
 def brute(spark, docs):
-    first = {}
-    for d, t in docs:
+    first, of = {}, {}
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "i int, t string").selectExpr("i", "xxhash64(t) AS h").collect()
+    for r in rows:
+        d = docs[r["i"]][0]
+        of[r["i"]] = (d is not None, d or 0, r["h"])
+    for i, (d, t) in enumerate(docs):
         for x in (t or "").split("\n"):
             if len(x) >= L.LEAST_CHARS:
-                first[x] = min(first.get(x, L.NULL_ID if d is None else d), L.NULL_ID if d is None else d)
+                first[x] = min(first.get(x, of[i]), of[i])
     lines = [*first]
     h = {r["x"]: r["h"] for r in spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", "xxhash64(x) AS h").collect()}
     covered = {x for x in lines for y in lines if x != y and (first[y], h[y], y) < (first[x], h[x], x) and distance_at_most_one(x, y)}
     out = {}
-    for d, t in docs:
+    for i, (d, t) in enumerate(docs):
         if t is None:
             out.setdefault((d, t), None)
             continue
         seen, left = set(), []
         for x in t.split("\n"):
-            if len(x) < L.LEAST_CHARS or (x not in covered and first[x] == (L.NULL_ID if d is None else d) and x not in seen):
+            if len(x) < L.LEAST_CHARS or (x not in covered and first[x] == of[i] and x not in seen):
                 left.append(x)
             seen.add(x)
         out[d, t] = "\n".join(left)
@@ -135,8 +139,25 @@ def test_a_few_edits_in_long_lines(spark, monkeypatch, hot):
             x[k : k + (kind != 1)] = [] if kind == 2 else [rng.choice("ab 中")]
         texts.add("".join(x))
     docs = list(enumerate(sorted(texts)))
-    lines = L.distinct_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    rows = sorted((r["doc"], r["h"], r["line"]) for r in lines.collect())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = L.distinct_lines(L._each_line(df, "doc_id", "text", 1))
+    rows = sorted((r["doc"]["id"], r["h"], r["line"]) for r in lines.collect())
     near = lambda a, b: abs(len(a) - len(b)) <= 8 and distance(a, b) <= min(8, max(1, min(len(a), len(b)) // 32))
     want = {x[1] for i, x in enumerate(rows) if any(near(x[2], y[2]) for y in rows[:i])}
     assert {r["_line_h"] for r in L.covered_lines(lines).collect()} == want and 20 < len(want) < len(rows)
+    for often in (64, 2):
+        monkeypatch.setattr(L, "FREQUENT", often)
+        kept = {r["_line_h"] for x in L.kept_lines(df).collect() for r in x["_line_kept"]}
+        assert kept == {x[1] for x in rows} - want
+    monkeypatch.setattr(L, "BROADCAST", 0)
+    assert {r["_line_h"] for x in L.kept_lines(df).collect() for r in x["_line_kept"]} == kept
+
+
+def test_many_lines_in_one_text(spark):
+    lines = [f"line number {i * 7919 % 100_003} of this text and {i}" for i in range(100_000)]
+    kept = [(i, line) for i, line in enumerate(lines) if i % 3]
+    df = spark.createDataFrame([("\n".join(lines), [line for _, line in kept])], "text string, kept array<string>")
+    from pyspark.sql import functions as F
+
+    has = F.transform("kept", lambda x: F.struct(L._h(x).alias("_line_h"), L._g(x).alias("_line_g")))
+    assert df.select(L._left(F.col("text"), has)).first()[0].split("\n") == [line for _, line in kept]
