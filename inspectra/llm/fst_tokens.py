@@ -2,7 +2,8 @@
 
 Two transducers in a row: pretokens.py splits texts into pieces, and PieceTransducer, compiled from the vocabulary and merges as
 its states are met, counts a piece's tokens. Its transitions carry the change in the number of tokens of the prefix read so
-far: reading a byte may end a token (+1) or turn the last few into one (-n). So no token is ever written out.
+far: reading a byte may end a token (+1) or turn the last few into one (-n). So no token is ever written out. Long pieces are cut
+into chunks, whose maps from state to state and count compose.
 
 Edge cases: a null text counts as empty (0 tokens); an empty table gives an empty result; rows are independent, so repeated
 rows repeat; other columns are ignored; a text of any length is taken whole.
@@ -22,6 +23,8 @@ from inspectra.llm.common import steps
 from inspectra.llm.pretokens import class_table, matched_by_tokenizers, split_pieces
 
 OVER = 512
+#: Bytes from which a piece is read in chunks, a chunk's, and those before it that suggest its first state.
+LONG, CHUNK, WARM_UP = 2048, 512, 48
 #: States and pairs kept; beyond it the compiled transducer starts anew, so a worker's memory is bounded.
 MOST_STATES = 200_000
 _BIAS, _SHIFT = 96, 7
@@ -106,9 +109,38 @@ class PieceTransducer:
         if len(self.states) > MOST_STATES:
             self.reset()
         data = np.frombuffer(raw, np.uint8)
-        order = np.argsort(begin - end, kind="stable")  # the longest first: those still being read are a prefix
-        at, length = begin[order], (end - begin)[order]
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        long = end - begin > LONG
+        if not long.any():
+            return self._read(data, begin, end - begin)[1]
+        out = np.zeros(len(begin), np.int64)
+        out[~long] = self._read(data, begin[~long], (end - begin)[~long])[1]
+        out[long] = [self._scan(data, a, z) for a, z in zip(begin[long].tolist(), end[long].tolist())]
+        return out
+
+    def _scan(self, data: np.ndarray, begin: int, end: int) -> int:
+        """The number of tokens of one long piece, of which all chunks are read at once.
+
+        A chunk's map takes the state before it to the state after it and the tokens in between. It is made for the state that the
+        bytes just before the chunk lead to, and again where the chunk before ends in another one; so the maps compose, and their
+        counts add up.
+        """
+        at = np.arange(begin, end, CHUNK)
+        length = np.minimum(at + CHUNK, end) - at
+        warm = np.minimum(at - begin, WARM_UP)
+        before, _ = self._read(data, at - warm, warm)
+        after, count = np.full(len(at), -1), np.zeros(len(at), np.int64)
+        todo = np.arange(len(at))
+        while len(todo):
+            after[todo], count[todo] = self._read(data, at[todo], length[todo], before[todo])
+            todo = np.flatnonzero(after[:-1] != before[1:]) + 1
+            before[todo] = after[todo - 1]
+        return int(count.sum())
+
+    def _read(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """State and number of tokens after so many bytes from each place, all read in step."""
+        order = np.argsort(-size, kind="stable")  # the longest first: those still being read are a prefix
+        at, length = begin[order], size[order]
+        state, total = np.zeros(len(at), np.int64) if start is None else start[order], np.zeros(len(at), np.int64)
         falling = -length
         for k in range(int(length[0]) if len(length) else 0):
             n = int(np.searchsorted(falling, -k))
@@ -122,9 +154,9 @@ class PieceTransducer:
                     self.compile(key >> 8, key & 255)
             state[:n] = to >> _SHIFT
             total[:n] += (to & (1 << _SHIFT) - 1) - _BIAS
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        ends, out = np.empty_like(state), np.empty_like(total)
+        ends[order], out[order] = state, total
+        return ends, out
 
 
 class TokenCounter:

@@ -158,3 +158,19 @@ def test_long_documents_are_matched_whole(spark):
     got = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary"), "<u2", 32, 32).collect()
     at = {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in got}
     assert at[0, 64][1] == 0 and at[6, 0] == (at[0, 64][0], 1)
+
+
+def test_counts_of_long_pieces(monkeypatch):
+    """Chunks of any size, and first states that are guessed wrongly."""
+    import random
+
+    from inspectra.llm import fst_tokens
+
+    t, counter, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), fst_tokens.TokenCounter(P.path("byte_bpe_50k.json")), random.Random(4)
+    parts = "the of ing tion er an re and qu xz zzz aa é".split()
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (10, 900, 20_000)] + ["a" * 5000, "x" * 2049, "=-" * 4000, " " * 6000, "1" * 9000]
+    want = [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    for chunk, warm_up in ((512, 48), (64, 3), (7, 0)):
+        monkeypatch.setattr(fst_tokens, "CHUNK", chunk)
+        monkeypatch.setattr(fst_tokens, "WARM_UP", warm_up)
+        assert counter.count(texts).tolist() == want
