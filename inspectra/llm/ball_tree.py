@@ -1,25 +1,31 @@
 """Exact top-k inner products: a ball tree for each shard of vectors, searched by branch and bound.
 
 Shards of SHARD_ROWS vectors by a hash of the id each become one row of an index (vectors in tree order, node centres and
-radii). Queries, in blocks, first search the shard they hash to; the k-th score found goes with them to every slice of the
-index, where nodes are taken by their inner-product upper bound and each query's k-th score is shared by all trees of the slice.
+radii). Queries first search the shard they hash to; the k-th score found goes with them, in broadcast blocks of about BLOCK_ROWS, to every
+task that reads the index, which is never shuffled again. Nodes are taken by their inner-product upper bound, and each query's k-th score is
+shared by SLICE_TREES trees at a time.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id; a
-repeated row counts once; vectors meet only vectors of their own length; a query meets no row of its own id; ties go to the
+repeated row counts once, as it is the same candidate; vectors meet only vectors of their own length; a query meets no row of its own id; ties go to the
 smaller id; fewer than k candidates give fewer rows; other columns are ignored. Scores must fit a long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectra.llm.common import table, written
 
 SHARD_ROWS, LEAF_ROWS = 2048, 64
-#: Queries of a block, and trees of a slice: what one task holds at most.
+#: Queries of a block, and trees that share k-th scores: what one task holds at most.
 BLOCK_ROWS, SLICE_TREES = 4096, 4
 INDEX_SCHEMA = "dim int, shard long, ids binary, vectors binary, bounds binary, centres binary, radii binary"
 FOUND_SCHEMA = "query_id long, vec_id long, score long"
@@ -134,40 +140,66 @@ def index(vectors: DataFrame) -> DataFrame:
     return written(vectors.groupBy("dim", "shard").applyInArrow(run, INDEX_SCHEMA), "ball-trees")
 
 
+def _searched(trees: list[dict], asked: pa.Table, k: int) -> pa.Table:
+    """The k best candidates of each query in all these trees of its length, with at least its known k-th score."""
+    out = [pa.array([], pa.int64())] * 3
+    if trees and asked.num_rows:
+        asked_ids = asked.column("query_id").to_numpy()
+        best = Best(asked_ids, _matrix(asked.column("v"), asked.num_rows), asked.column("kth").to_numpy(), k)
+        for row in trees:
+            ids = np.frombuffer(row["ids"], np.int64)
+            v = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1)
+            m = float(max(np.abs(v).max(), np.abs(best.vectors).max()))
+            v = v.astype(np.float64) if m * m * v.shape[1] < EXACT else v
+            best.vectors = best.vectors if v.dtype == np.float64 else best.vectors.astype(np.int64)
+            search(best, ids, v, np.frombuffer(row["bounds"], np.int64).reshape(-1, 2), np.frombuffer(row["centres"]).reshape(-1, v.shape[1]), np.frombuffer(row["radii"]))
+        q, at = np.nonzero(best.found < np.iinfo(np.int64).max)
+        out = [pa.array(x) for x in (asked_ids[q], best.found[q, at], best.scores[q, at])]
+    return pa.table(out, ["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors; both inputs as scaled() gives them."""
+    spark = vectors.sparkSession
+    n_queries = queries.count()
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks, slices = max(1, -(-queries.count() // BLOCK_ROWS)), -(-shards // SLICE_TREES)
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    trees = index(vectors.withColumn("shard", shard)).withColumn("slice", F.pmod("shard", F.lit(slices)))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", "v", shard.alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [pa.array([], pa.int64())] * 3
-        if left.num_rows and right.num_rows:
-            asked_ids = right.column("query_id").to_numpy()
-            kth = right.column("kth").to_numpy()
-            best = Best(asked_ids, _matrix(right.column("v"), right.num_rows), kth, k)
-            for row in left.select(["ids", "vectors", "bounds", "centres", "radii"]).to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                v = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1)
-                m = float(max(np.abs(v).max(), np.abs(best.vectors).max()))
-                v = v.astype(np.float64) if m * m * v.shape[1] < EXACT else v
-                best.vectors = best.vectors if v.dtype == np.float64 else best.vectors.astype(np.int64)
-                search(best, ids, v, np.frombuffer(row["bounds"], np.int64).reshape(-1, 2), np.frombuffer(row["centres"]).reshape(-1, v.shape[1]), np.frombuffer(row["radii"]))
-            q, at = np.nonzero(best.found < np.iinfo(np.int64).max)
-            out = [pa.array(x) for x in (asked_ids[q], best.found[q, at], best.scores[q, at])]
-        return pa.table(out, ["query_id", "vec_id", "score"])
+    trees = index(vectors.withColumn("shard", shard))
+    parts = max(1, -(-n_queries // (shards * BLOCK_ROWS)))  # of the queries at home in one shard
+    part = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)).cast("int").alias("part")
+    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", "v", shard.alias("home"), part)
+
+    def at_home(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _searched(left.to_pylist(), right, k)
 
     none = F.lit(-(1 << 63)).cast("long")
-    home = trees.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    first = home.groupBy("dim", "shard", "block").cogroup(asked.withColumn("kth", none).groupBy("dim", "home", "block")).applyInArrow(run, FOUND_SCHEMA)
+    home = trees.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    first = home.groupBy("dim", "shard", "part").cogroup(asked.withColumn("kth", none).groupBy("dim", "home", "part")).applyInArrow(at_home, FOUND_SCHEMA)
     first = written(first, "ball-first")
     known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
-    asked = asked.join(known, "query_id", "left").select(*asked.columns, F.coalesce("least", none).alias("kth"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
-    found = home.groupBy("dim", "slice", "block").cogroup(asked.groupBy("dim", "slice", "block")).applyInArrow(run, FOUND_SCHEMA)
+    blocks = max(1, -(-n_queries // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).alias("block")
+    asked = written(asked.join(known, "query_id", "left").select("query_id", "dim", "v", F.coalesce("least", none).alias("kth"), block), "ball-queries")
+    found = []
+    for i in range(blocks):
+        sent = spark.sparkContext.broadcast(asked.where(F.col("block") == i).drop("block").toArrow())  # about BLOCK_ROWS rows
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            by_dim = {d: sent.value.filter(pc.equal(sent.value.column("dim"), d)) for d in sent.value.column("dim").unique().to_pylist()}
+            held: list[dict] = []
+            for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                if held and (len(held) == SLICE_TREES or held[0]["dim"] != row["dim"]):
+                    yield from _searched(held, by_dim.get(held[0]["dim"], sent.value.slice(0, 0)), k).to_batches()
+                    held = []
+                held.append(row)
+            if held:
+                yield from _searched(held, by_dim.get(held[0]["dim"], sent.value.slice(0, 0)), k).to_batches()
+
+        found.append(written(trees.mapInArrow(run, FOUND_SCHEMA), "ball-found"))
+        sent.destroy()
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    all_found = reduce(DataFrame.union, found)
+    return all_found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 QUERY_STEP = 50
