@@ -110,5 +110,5 @@ def status_events(agents: DataFrame, vendor: str = VENDOR, product: str = PRODUC
 
 
 def write_by_month(incidents: DataFrame, path: str, ts: str = "created_at") -> None:
-    """Incidents in folders of a year and month, which readers of a period prune."""
-    incidents.withColumns({"year": F.year(ts), "month": F.month(ts)}).repartition("year", "month").write.partitionBy("year", "month").mode("append").parquet(path)
+    """Incidents in folders of a year and month, which readers of a period prune; ranges of time, so that a month may take several tasks."""
+    incidents.withColumns({"year": F.year(ts), "month": F.month(ts)}).repartitionByRange(ts).write.partitionBy("year", "month").mode("append").parquet(path)

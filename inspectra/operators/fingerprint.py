@@ -13,32 +13,56 @@ from pyspark.sql import types as T
 from inspectra.functions.normalize import fingerprint_text
 
 SHINGLE, LEAST_CHARS, THRESHOLD = 4, 50, 0.40
+#: Characters hashed at a time; threshold from which bands select; fingerprints up to which one side is sent to all tasks (8 bytes each).
+STEP_CHARS, BANDED_FROM, SENT = 1_000_000, 0.75, 500_000
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def simhash_text(text: str, shingle: int = SHINGLE) -> int:
-    """Each different place's shingle votes on every bit of its FNV-1a hash; bits with more ones than zeros are set. Signed 64 bits."""
-    n = max(1, len(text) - shingle + 1)
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+def simhash_texts(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """Each different place's shingle votes on every bit of its FNV-1a hash; bits with more ones than zeros are set. Signed 64 bits.
+
+    All texts of a batch at once: no text may be empty.
+    """
+    chars = np.array([len(t) for t in texts], np.int64)
+    places = np.maximum(1, chars - shingle + 1)
+    joined = "".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    raw = np.frombuffer(text.encode() + b"\0" * 16, np.uint8).astype(np.uint64)
+    raw = np.frombuffer(joined.encode() + b"\0" * 16, np.uint8).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(width)])
-    begin = at[:n]
-    end = at[np.minimum(np.arange(n) + shingle, len(points))]
-    h = np.full(n, FNV_START, np.uint64)
+    text_at = np.cumsum(chars) - chars
+    first = np.repeat(text_at - np.cumsum(places) + places, places) + np.arange(places.sum())
+    begin, end = at[first], at[np.minimum(first + shingle, np.repeat(text_at + chars, places))]
+    h = np.full(len(begin), FNV_START, np.uint64)
     for k in range(int((end - begin).max(initial=0))):
         has = begin + k < end
         h = np.where(has, (h ^ raw[np.minimum(begin + k, len(raw) - 1)]) * np.uint64(FNV_PRIME), h)
-    ones = np.array([int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)])
-    value = sum(1 << b for b in range(64) if 2 * ones[b] > n)
-    return value - (1 << 64) if value >= 1 << 63 else value
+    starts, value = np.cumsum(places) - places, np.zeros(len(texts), np.uint64)
+    for b in range(64):
+        ones = np.add.reduceat((h >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
+        value |= (2 * ones > places).astype(np.uint64) << np.uint64(b)
+    return value.view(np.int64)
+
+
+def simhash_text(text: str, shingle: int = SHINGLE) -> int:
+    return int(simhash_texts([text], shingle)[0])
 
 
 @F.pandas_udf(T.LongType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda t: None if not t else simhash_text(t)).astype("Int64")
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        some, size = s[s.fillna("") != ""], 0
+        group: list = []
+        for i, t in [*some.items(), (None, None)]:
+            if group and (t is None or size + len(t) > STEP_CHARS):
+                out.loc[[j for j, _ in group]] = simhash_texts([x for _, x in group])
+                group, size = [], 0
+            if t is not None:
+                group.append((i, t))
+                size += len(t)
+        yield out
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -55,12 +79,37 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids, "fingerprint_id", "left_anti")
 
 
+def _compared(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """fingerprint_pairs for a right side of at most SENT rows, which goes to every task: each batch is compared with it in blocks."""
+    known = right.select("fingerprint_id", "simhash").where("simhash IS NOT NULL").orderBy("fingerprint_id").toPandas()
+    hashes, bits = known["simhash"].to_numpy(np.int64).view(np.uint64), int(64 * (1 - threshold) + 1e-9)
+
+    @F.pandas_udf("array<struct<i:int,differing:int>>")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            x, out = s.to_numpy(np.int64).view(np.uint64), []
+            step = max(1, 4_000_000 // max(1, len(hashes)))
+            for k in range(0, len(x), step):
+                differing = np.bitwise_count(x[k : k + step, None] ^ hashes)
+                for row in differing:
+                    i = np.flatnonzero(row <= bits)
+                    out.append([{"i": int(j), "differing": int(row[j])} for j in i])
+            yield pd.Series(out, index=s.index)
+
+    hit = left.where("simhash IS NOT NULL").select(F.col("fingerprint_id").alias("left_id"), F.explode(near("simhash")).alias("m"))
+    numbered = left.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(len(known), dtype=np.int32), "right_id": known["fingerprint_id"]}), f"i int, right_id {right.schema['fingerprint_id'].dataType.simpleString()}")
+    return hit.select("left_id", "m.i", (1 - F.col("m.differing") / 64.0).alias("score")).join(F.broadcast(numbered), "i").select("left_id", "right_id", "score")
+
+
 def fingerprint_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_id, right_id, score) of fingerprints at least so similar; both sides as build_index gives them.
 
     Up to 64 * (1 - threshold) bits may differ. Cut into one band more than that, some band is equal, so bands join exactly. Below
-    a threshold of 0.75 bands of less than four bits don't select anything; there a band join costs what all pairs cost.
+    BANDED_FROM bands of less than four bits don't select anything; there a right side of up to SENT rows is sent to all tasks, and
+    only a larger one is joined by bands at the cost of all pairs.
     """
+    if threshold < BANDED_FROM and right.count() <= SENT:
+        return _compared(left, right, threshold)
     bits = int(64 * (1 - threshold) + 1e-9)
     bands = min(bits + 1, 64)
     edges = [64 * i // bands for i in range(bands + 1)]

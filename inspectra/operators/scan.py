@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -86,34 +86,43 @@ def scan_keywords(components: DataFrame, dictionary: str, words: Iterable[str],
     return run_probes(components, keyword_probes(dictionary, words, case_sensitive, whole_word), types)
 
 
-def scan_large_dictionary(components: DataFrame, dictionary: str, words: list[str], case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
-    """Keywords by one automaton for each task, for dictionaries of hundreds of words and for hits of one word that overlap."""
+def _folded(text: str) -> str:
+    """Lower case, character by character where it would change the text's length, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def scan_large_dictionary(components: DataFrame, dictionary: str, words: Iterable[str | tuple[str, bool, bool]], case_sensitive: bool = False, whole_word: bool = True) -> DataFrame:
+    """Keywords by one automaton for each task, for dictionaries of hundreds of words and for hits of one word that overlap.
+
+    A word may bring its own (word, case_sensitive, whole_word); of words that are equal but for case the last counts.
+    """
+    asked = [(w, case_sensitive, whole_word) if isinstance(w, str) else w for w in words]
+    kept = {_folded(w): (w, cased, whole) for w, cased, whole in asked if w}
     fields = "array<struct<rule_name:string,matched_text:string,start_offset:int,end_offset:int>>"
-    fold = (lambda s: s) if case_sensitive else str.lower
 
     @F.pandas_udf(fields)
-    def hits(texts: pd.Series) -> pd.Series:
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        for w in words:
-            if w:
-                machine.add_word(fold(w), (w, len(fold(w))))
-        machine.make_automaton()
+        for low, entry in kept.items():
+            machine.add_word(low, entry)
+        if kept:
+            machine.make_automaton()
         is_word = lambda c: c.isalnum() or c == "_"
 
         def find(text: str | None) -> list[dict]:
-            out, low = [], fold(text or "")
-            if not low or not len(machine):
-                return out
-            for last, (w, n) in machine.iter(low):
-                a, z = last - n + 1, last + 1
-                if whole_word and ((a and is_word(low[a - 1])) or (z < len(low) and is_word(low[z]))):
-                    continue
-                out.append({"rule_name": f"{dictionary}:{w}", "matched_text": text[a:z], "start_offset": a, "end_offset": z})
+            out, low = [], _folded(text or "")
+            for last, (w, cased, whole) in machine.iter(low) if low and kept else ():
+                a, z = last - len(w) + 1, last + 1
+                inside = whole and ((a and is_word(low[a - 1])) or (z < len(low) and is_word(low[z])))
+                if not inside and (not cased or text[a:z] == w):
+                    out.append({"rule_name": f"{dictionary}:{w}", "matched_text": text[a:z], "start_offset": a, "end_offset": z})
             return out
 
-        return texts.map(find)
+        for texts in batches:
+            yield texts.map(find)
 
     rows = components.select("message_id", "component_idx", "component_type", "component_name", F.explode(hits("content")).alias("hit"))
     return rows.select("message_id", "component_idx", "component_type", "component_name", F.lit("keyword").alias("analyzer_name"), "hit.*", F.lit(1.0).alias("confidence")).select(*MATCH_COLUMNS)

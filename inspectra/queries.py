@@ -585,10 +585,10 @@ def normalized_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fingerprint_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose fingerprint is within six bits of a benchmark text's."""
+    """Documents like a benchmark text, by the default threshold."""
     index = fingerprint.build_index(table(spark, sf_dir, "benchmark"), "item_id", "text")
     docs = fingerprint.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return fingerprint.fingerprint_pairs(docs, index, 0.90)
+    return fingerprint.fingerprint_pairs(docs, index, fingerprint.THRESHOLD)
 
 
 

@@ -296,3 +296,34 @@ def test_stored_policies_and_lines(spark, tmp_path):
     assert (tmp_path / "m" / "year=2026" / "month=2").is_dir()
     beat = spark.createDataFrame([("a", "h", "online", "2026-01-05 00:00:00")], "agent string, hostname string, status string, ts string")
     assert json.loads(export.status_events(beat).first()["event"])["dlp"]["agent_status"] == "online"
+
+
+def test_automaton_keeps_places_and_flags(spark):
+    rows = parts(spark, ["İ is Secret, SECRET and top secret"])
+    hits = lambda *words: sorted((r["matched_text"], r["start_offset"]) for r in scan.scan_large_dictionary(rows, "d", list(words)).collect())
+    assert hits("secret") == [("SECRET", 13), ("Secret", 5), ("secret", 28)]
+    assert hits("x", ("Secret", True, True)) == [("Secret", 5)]
+    assert hits("SECRET", ("secret", True, True)) == [("secret", 28)]
+    assert hits(("ecre", False, False)) == [("ECRE", 14), ("ecre", 6), ("ecre", 29)]
+
+
+def test_policy_parts():
+    from inspectra.operators import lists
+
+    stored = {"name": "p", "rules": [{"name": "a"}]}
+    more = lists.with_part(stored, "exceptions", {"name": "e"})
+    assert more == {"name": "p", "rules": [{"name": "a"}], "exceptions": [{"name": "e"}], "version": 2} and "exceptions" not in stored
+    assert lists.without_part(more, "rules", "a")["rules"] == [] and lists.without_part(more, "rules", "a")["version"] == 3
+    with pytest.raises(KeyError):
+        lists.without_part(stored, "rules", "b")
+    with pytest.raises(ValueError):
+        lists.listed("agents", type("Rows", (), {"where": lambda self, _: self})(), colour="red")
+
+
+def test_running_folds(spark):
+    from inspectra.functions.patterns import running, running_sums
+
+    for values in ([], [3], [3, 1], [5, 0, 2, 9, 4, 4, 1] * 13):
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, most = df.select(running_sums(F.col("v")), running(F.col("v"), 0, lambda a, b: F.greatest(a, b))).first()
+        assert sums == [sum(values[:i]) for i in range(len(values))] and most == [max(values[:i], default=0) for i in range(len(values))]
