@@ -78,8 +78,10 @@ def detail(incidents: DataFrame) -> DataFrame:
     return incidents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DETAIL_COLUMNS])
 
 
-def write_detail_csv(incidents: DataFrame, path: str) -> None:
-    detail(incidents).write.option("header", True).option("quoteAll", False).csv(path)
+def write_detail_csv(incidents: DataFrame, path: str, bom: bool = True) -> None:
+    """A detail report; with bom every file begins with a byte order mark, as spreadsheets want it."""
+    first = DETAIL_COLUMNS[0]
+    detail(incidents).withColumnRenamed(first, ("\ufeff" if bom else "") + first).write.option("header", True).option("quoteAll", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

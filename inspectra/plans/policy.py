@@ -178,6 +178,15 @@ def decide(policy: Policy) -> Column:
     )
 
 
+def _decided(policy: Policy) -> Column:
+    """decide, or a violation that isn't triggered with what went wrong, so that one policy's fault leaves the others."""
+    try:
+        return decide(policy).withField("error", F.lit(None).cast("string"))
+    except Exception as e:
+        none = F.array().cast("array<string>")
+        return F.struct(F.lit(policy.name).alias("policy_name"), F.lit(False).alias("triggered"), F.lit(policy.severity).alias("severity"), none.alias("matched_rules"), F.lit(0).cast("long").alias("match_count"), none.alias("exceptions_applied"), F.lit(f"{type(e).__name__}: {e}").alias("error"))
+
+
 def message_cells(matches: DataFrame) -> DataFrame:
     """message_id and cells: the numbers of matches by analyzer and component type."""
     counts = matches.groupBy("message_id", "analyzer_name", "component_type").agg(F.count("*").alias("n"))
@@ -185,13 +194,16 @@ def message_cells(matches: DataFrame) -> DataFrame:
 
 
 def evaluate(messages: DataFrame, matches: DataFrame, policies: list[Policy], triggered_only: bool = True) -> DataFrame:
-    """A row for each message and enabled policy. messages: message_id and, for groups, sender and recipients."""
+    """A row for each message and enabled policy. messages: message_id and, for groups, sender and recipients.
+
+    A policy that can't be planned gives rows that aren't triggered and say why in `error`.
+    """
     active = [p for p in policies if p.enabled]
     joined = messages.join(message_cells(matches), "message_id", "inner" if triggered_only else "left")
     joined = joined.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<analyzer:string,component:string,n:bigint>>")))
     if not active:
-        return joined.select("message_id", *(F.lit(None).cast(t).alias(n) for n, t in (("policy_name", "string"), ("triggered", "boolean"), ("severity", "string"), ("matched_rules", "array<string>"), ("match_count", "long"), ("exceptions_applied", "array<string>")))).limit(0)
-    rows = joined.select("message_id", F.explode(F.array(*map(decide, active))).alias("v")).select("message_id", "v.*")
+        return joined.select("message_id", *(F.lit(None).cast(t).alias(n) for n, t in (("policy_name", "string"), ("triggered", "boolean"), ("severity", "string"), ("matched_rules", "array<string>"), ("match_count", "long"), ("exceptions_applied", "array<string>"), ("error", "string")))).limit(0)
+    rows = joined.select("message_id", F.explode(F.array(*map(_decided, active))).alias("v")).select("message_id", "v.*")
     return rows.where("triggered") if triggered_only else rows
 
 

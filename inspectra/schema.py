@@ -11,5 +11,5 @@ MATCHES = (
     "message_id string, component_idx int, component_type string, component_name string, analyzer_name string, "
     "rule_name string, matched_text string, start_offset int, end_offset int, confidence double"
 )
-VIOLATIONS = "message_id string, policy_name string, triggered boolean, severity string, matched_rules array<string>, match_count long, exceptions_applied array<string>"
+VIOLATIONS = "message_id string, policy_name string, triggered boolean, severity string, matched_rules array<string>, match_count long, exceptions_applied array<string>, error string"
 MATCH_COLUMNS = tuple(c.split()[0] for c in MATCHES.split(", "))

@@ -327,3 +327,22 @@ def test_running_folds(spark):
         df = spark.createDataFrame([(values,)], "v array<int>")
         sums, most = df.select(running_sums(F.col("v")), running(F.col("v"), 0, lambda a, b: F.greatest(a, b))).first()
         assert sums == [sum(values[:i]) for i in range(len(values))] and most == [max(values[:i], default=0) for i in range(len(values))]
+
+
+def test_a_policy_that_fails_leaves_the_others(spark):
+    messages_ = spark.createDataFrame([("m", "s@x", ["r@x"])], "message_id string, sender string, recipients array<string>")
+    found = spark.createDataFrame([("m", "a", "body")], "message_id string, analyzer_name string, component_type string")
+
+    def broken():
+        raise KeyError("no such list")
+
+    bad = P.Policy("bad", (P.Rule("r", (P.Condition("a"),)),), exceptions=(P.Exception_("e", when=broken),))
+    good = P.Policy("good", (P.Rule("r", (P.Condition("a"),)),))
+    got = {r["policy_name"]: r for r in P.evaluate(messages_, found, [bad, good], triggered_only=False).collect()}
+    assert not got["bad"]["triggered"] and "no such list" in got["bad"]["error"] and got["good"]["triggered"] and got["good"]["error"] is None
+
+
+def test_detail_reports_begin_with_a_mark(spark, tmp_path):
+    df = spark.createDataFrame([tuple("x" for _ in export.DETAIL_COLUMNS)], ", ".join(f"`{c}` string" for c in export.DETAIL_COLUMNS))
+    export.write_detail_csv(df, f"file://{tmp_path}/csv")
+    assert next((tmp_path / "csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbf" + export.DETAIL_COLUMNS[0].encode())
