@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inspectra.functions.patterns import glob
+from inspectra.functions.patterns import glob, let
 from inspectra.schema import MATCH_COLUMNS
 
 # Offset, first bytes in hexadecimal, MIME type, category, name. Earlier rows win.
@@ -75,8 +75,13 @@ def file_info(content: Column, name: Column) -> Column:
     named = F.coalesce(*[F.when(ext == e, row(None, c, t)) for e, (c, t) in EXTENSIONS.items()])
     magic = F.coalesce(*[F.when(F.hex(F.substring(content, at + 1, len(h) // 2)) == h, row(m, c, t)) for at, h, m, c, t in SIGNATURES])
     text = F.when((F.octet_length(content) > 0) & F.is_valid_utf8(content.cast("string")) & ~F.contains(F.substring(content, 1, 8192), F.lit(b"\0")), row("text/plain", "document", "Plain Text"))
-    best = F.coalesce(F.when((magic["category"] == "archive") & (named["category"] == "document"), named), magic, named, text, row("application/octet-stream", "unknown", "Unknown"))
-    return F.struct(best["mime"].alias("mime"), best["category"].alias("category"), best["type_name"].alias("type_name"), ext.alias("extension"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("size"))
+
+    def chosen(z: Column) -> Column:
+        by_name = F.when((z["magic"]["category"] == "archive") & (z["named"]["category"] == "document"), z["named"])
+        return F.coalesce(by_name, z["magic"], z["named"], text, row("application/octet-stream", "unknown", "Unknown"))
+
+    whole = lambda x: F.struct(x["mime"].alias("mime"), x["category"].alias("category"), x["type_name"].alias("type_name"), ext.alias("extension"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("size"))
+    return let(let(F.struct(magic.alias("magic"), named.alias("named")), chosen), whole)
 
 
 @dataclass(frozen=True)

@@ -159,13 +159,14 @@ def proximity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("message_id").agg(F.count("*").alias("n_pairs"))
 
 
-@query(
-    "SELECT CAST(doc_id AS VARCHAR) AS message_id, len(regexp_extract_all(lower(text), 'tion')) AS n FROM documents WHERE len(regexp_extract_all(lower(text), 'tion')) > 0"
-)
+_SYLLABLES = ("tion", "ing", "ent", "ver", "und", "que", "con", "les", "der", "ich", "per", "pro", "str", "ght", "sch", "ung", "ado", "ria", "ment", "ous")
+
+
+@query("SELECT message_id, rule_name, n FROM (" + " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS message_id, 'd:{w}' AS rule_name, len(regexp_extract_all(lower(text), '{w}')) AS n FROM documents" for w in _SYLLABLES) + ") WHERE n > 0")
 def keywords_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary as one automaton."""
-    found = scan.scan_large_dictionary(documents(spark, sf_dir), "d", ["tion", "a word that is nowhere"], False, False)
-    return found.groupBy("message_id").agg(F.count("*").cast("int").alias("n"))
+    found = scan.scan_large_dictionary(documents(spark, sf_dir), "d", _SYLLABLES, False, False)
+    return found.groupBy("message_id", "rule_name").agg(F.count("*").cast("int").alias("n"))
 
 
 _MATRIX = [
@@ -551,14 +552,18 @@ def incremental_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.changed(seen, cache).select("path", "length")
 
 
-@query("""SELECT * FROM (VALUES ('a.pdf', 'PDF', 'docs'), ('b.docx', 'Microsoft Word (DOCX)', 'docs'), ('c.zip', 'ZIP', 'small'), ('d.py', 'Python Script', 'small')) AS t(filename, type_name, rule_name)""")
-def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D6, D7, F9, on given bytes."""
-    rows = [("a.pdf", b"%PDF-1.7 and more"), ("b.docx", b"PK\x03\x04 and more than ten"), ("c.zip", b"PK\x03\x04"), ("d.py", b"x = 1"), ("e.bin", b"\0" * 50)]
-    rules = [filetype.FileRule("docs", categories=("document",)), filetype.FileRule("small", max_size=10), filetype.FileRule("nothing")]
-    found = filetype.scan_file_types(spark.createDataFrame(rows, "filename string, content_bytes binary"), rules)
-    return found.select("filename", "file_info.type_name", "rule_name")
+_FILES = """f AS (SELECT 'p' || page_id || '.html' AS filename, html AS t, 'HTML' AS type_name, 'document' AS category FROM pages UNION ALL SELECT 'd' || doc_id || '.txt', text, 'Plain Text', 'document' FROM documents WHERE length(text) > 0
+    UNION ALL SELECT 'c' || conv_id || '_' || turn || '.py', text, 'Python Script', 'script' FROM conversations WHERE length(text) > 0)"""
+
 
+@query(f"WITH {_FILES} SELECT filename, type_name, 'docs' AS rule_name FROM f WHERE category = 'document' UNION ALL SELECT filename, type_name, 'small' FROM f WHERE strlen(t) <= 300 UNION ALL SELECT filename, type_name, 'scripts' FROM f WHERE filename LIKE 'c%.py'")
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of pages, documents and conversations under three rules."""
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    texts = lambda t, column, *parts: table(spark, sf_dir, t).where(F.length(column) > 0).select(name(*parts).alias("filename"), F.encode(column, "UTF-8").alias("content_bytes"))
+    rows = texts("pages", "html", "p", F.col("page_id"), ".html").unionByName(texts("documents", "text", "d", F.col("doc_id"), ".txt")).unionByName(texts("conversations", "text", "c", F.col("conv_id"), "_", F.col("turn"), ".py"))
+    rules = [filetype.FileRule("docs", categories=("document",)), filetype.FileRule("small", max_size=300), filetype.FileRule("scripts", extensions=("py",), globs=("c*.py",)), filetype.FileRule("nothing")]
+    return filetype.scan_file_types(rows, rules).select("filename", "file_info.type_name", "rule_name")
 
 
 # ---- texts
