@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inspectra.functions.patterns import let
-from inspectra.llm.common import table, written
+from inspectra.llm.common import replaced, table, written
 
 LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
 CHARS_PER_EDIT, MOST, LEADERS, COMMON = 32, 8, 3, 8
@@ -202,7 +202,7 @@ def _long_covered(lines: DataFrame, most: int) -> DataFrame:
         for _ in range(LEADERS):
             met = open_.join(open_.groupBy("key").agg(F.min(at).alias("first")), "key").where(at > F.col("first"))
             covered.append(written(_verified(lines, met.select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
-            open_ = written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot")
+            open_ = replaced(open_, written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot"))
     x = entries
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
