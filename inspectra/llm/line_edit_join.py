@@ -43,6 +43,8 @@ LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
 CHARS_PER_EDIT, MOST, LEADERS, COMMON = 32, 8, 3, 8
 #: Documents in which keys are counted beforehand, how many of them make a key a frequent one, and the groups it is dealt to.
 SAMPLE_DOCS, FREQUENT, SALTS = 5_000, 16, 64
+#: Letters whose numbers near lines have nearly in common.
+LETTERS = "eatinsro"
 #: Hashes of candidate lines up to which they are broadcast (8 MB).
 BROADCAST = 1_000_000
 OWN = ("_line_h", "_line_g")
@@ -156,23 +158,35 @@ def _places(most: int) -> Column:
     return F.expr("array(%s)" % ",".join(out))
 
 
+def _letters(line: Column) -> Column:
+    """How often each of LETTERS occurs, 8 bits (the count modulo 256) for each."""
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(n.bitwiseAND(255), 8 * i) for i, n in enumerate(counts)))
+
+
+def _letters_differ(a: Column, b: Column) -> Column:
+    """The sum of the counts' differences, or less (modulo 256): one edit makes it larger by two at most."""
+    byte = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(255)
+    return reduce(lambda x, y: x + y, (F.abs((byte(a, i) - byte(b, i) + 128).bitwiseAND(255) - 128) for i in range(len(LETTERS))))
+
+
 def _long_entries(lines: DataFrame, most: int, common: int) -> DataFrame:
-    """key, doc, h, n (the length), indexed and need: of two lines that meet by a key one is indexed by it, and near lines have `need` keys in common."""
+    """key, doc, h, n (the length), f (letters), indexed and need: of two lines that meet by a key one is indexed by it, and near lines have `need` keys in common."""
     n = F.length("line")
     lost = 4 * edits(n, most)
 
     def chosen(triples: Column) -> Column:
         return F.struct(F.greatest(F.lit(1), F.least(F.lit(common), F.size(triples) - lost)).alias("need"), F.slice(triples, F.lit(1), lost + common).alias("keys"))
 
-    sized = lines.select("doc", "h", n.alias("n"), let(_triples(F.col("line")), chosen).alias("s"))
-    triples = sized.select("doc", "h", "n", F.explode("s.keys").alias("key"), F.lit(True).alias("indexed"), "s.need")
+    sized = lines.select("doc", "h", n.alias("n"), _letters(F.col("line")).alias("f"), let(_triples(F.col("line")), chosen).alias("s"))
+    triples = sized.select("doc", "h", "n", "f", F.explode("s.keys").alias("key"), F.lit(True).alias("indexed"), "s.need")
     # four bytes for each character, so that segments are found by their place
-    few = lines.where(F.size(F.split("line", " ", -1)) - 2 <= lost).select("doc", "h", n.alias("n"), F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
+    few = lines.where(F.size(F.split("line", " ", -1)) - 2 <= lost).select("doc", "h", n.alias("n"), _letters(F.col("line")).alias("f"), F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
     few = few.select("*", (F.col("n") - F.col("more")).alias("size")).where(F.col("size") >= 2 * CHARS_PER_EDIT).select("*", edits(F.col("size"), most).alias("k")).where("more <= k")
     at = few.select("*", F.explode(F.element_at(_places(most), F.col("k") * (most + 1) + F.col("more") + 1)).alias("code")).select("*", F.expr("code div 64").cast("int").alias("i"), (F.col("code") % 64 - 32).alias("shift"))
     at = at.select("*", F.expr("i * size div (k + 1)").cast("int").alias("start"), F.expr("(i + 1) * size div (k + 1)").cast("int").alias("end"))
     at = at.where("start + shift >= 0 AND end + shift <= n")
-    segments = at.select("doc", "h", "n", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"), F.lit(1).alias("need"))
+    segments = at.select("doc", "h", "n", "f", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"), F.lit(1).alias("need"))
     return triples.union(segments)
 
 
@@ -206,9 +220,9 @@ def _long_covered(lines: DataFrame, most: int) -> DataFrame:
     x = entries
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
-    x = x.select("key", F.col("indexed").alias("x_indexed"), "need", "n", F.struct("doc", "h").alias("x"))
-    y = entries.select("key", F.col("indexed").alias("y_indexed"), F.col("n").alias("y_n"), at.alias("y"))
-    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND abs(n - y_n) <= {most} AND y < x").groupBy(F.col("y.h").alias("a"), F.col("x.h").alias("b"))
+    x = x.select("key", F.col("indexed").alias("x_indexed"), "need", "n", "f", F.struct("doc", "h").alias("x"))
+    y = entries.select("key", F.col("indexed").alias("y_indexed"), F.col("n").alias("y_n"), F.col("f").alias("y_f"), at.alias("y"))
+    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND abs(n - y_n) <= {most} AND y < x").where(_letters_differ(F.col("f"), F.col("y_f")) <= 2 * most).groupBy(F.col("y.h").alias("a"), F.col("x.h").alias("b"))
     pairs = met.agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
     return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
 
