@@ -93,7 +93,7 @@ _DOCS = "d AS (SELECT CAST(doc_id AS VARCHAR) AS key, text FROM documents)"
 @query(f"WITH {_DOCS} SELECT key AS message_id, rule_name, m AS matched_text FROM ({_pattern_sql('d', False)})")
 def scan_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the identifiers' patterns match, before any check."""
-    probes = [scan.Probe("regex", p.rule, p.pattern) for p in scan.identifier_probes()]
+    probes = [scan.Probe("regex", p.rule, p.pattern, needs=p.needs) for p in scan.identifier_probes()]
     return scan.run_probes(documents(spark, sf_dir), probes).select("message_id", "rule_name", "matched_text")
 
 
@@ -115,7 +115,7 @@ def match_counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = messages.explode_parts(docs, F.col("doc_id"), F.array(messages.part("body", F.col("text"))), F.col("source"), F.col("lang"))
 
     def named(p: scan.Probe):  # noqa: ANN202
-        return F.transform(F.filter(scan.spans(F.col("content"), p.pattern), lambda s: p.check(s["text"])), lambda s: F.lit(p.rule))
+        return F.transform(F.filter(scan.spans(F.col("content"), p.pattern, p.needs(F.col("content"))), lambda s: p.check(s["text"])), lambda s: F.lit(p.rule))
 
     hits = F.concat(*map(named, scan.identifier_probes()))
     return parts.select("source", "lang", F.explode(hits).alias("rule_name")).groupBy("source", "lang", "rule_name").agg(F.count("*").alias("n"))
