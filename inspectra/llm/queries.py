@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the numbered operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inspectra.llm.bag_minhash import op5_bag_minhash
 from inspectra.llm.ball_tree import OP4_SQL, op4_ball_tree_topk
 from inspectra.llm.bm25_packing import op10_bm25_packing
+from inspectra.llm.filter_audit import OP12_SQL, op12_filter_audit
 from inspectra.llm.fst_tokens import op2_fst_token_counts
 from inspectra.llm.huffman_ids import op3_huffman_ids
 from inspectra.llm.jpeg_media import op1_progressive_jpeg
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_markov_secrets": op9_markov_secrets,
     "op10_bm25_packing": op10_bm25_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 #: Classes by exact weighted similarity of all documents that share a shingle; for small tables, as it counts every such pair.
 OP5_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
@@ -39,4 +41,4 @@ OP5_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_ar
     t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN t ON r.other = t.a)
 SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id"""
-ORACLE_SQL: dict[str, str] = {"op4_ball_tree_topk": OP4_SQL, "op5_bag_minhash": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_ball_tree_topk": OP4_SQL, "op5_bag_minhash": OP5_SQL, "op12_filter_audit": OP12_SQL}
