@@ -16,6 +16,7 @@ from inspectra.llm.jpeg_media import op1_progressive_jpeg
 from inspectra.llm.line_edit_join import op7_line_edit_join
 from inspectra.llm.markov_secrets import op9_markov_secrets
 from inspectra.llm.merge_replay import op6_merge_replay
+from inspectra.llm.token_alignment import op11_token_alignment
 from inspectra.llm.toxicity import op8_lexicon_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lexicon_toxicity": op8_lexicon_toxicity,
     "op9_markov_secrets": op9_markov_secrets,
     "op10_bm25_packing": op10_bm25_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_filter_audit": op12_filter_audit,
 }
 #: Classes by exact weighted similarity of all documents that share a shingle; for small tables, as it counts every such pair.
