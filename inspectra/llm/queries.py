@@ -16,6 +16,7 @@ from inspectra.llm.jpeg_media import op1_progressive_jpeg
 from inspectra.llm.line_edit_join import op7_line_edit_join
 from inspectra.llm.markov_secrets import op9_markov_secrets
 from inspectra.llm.merge_replay import op6_merge_replay
+from inspectra.llm.quality_svm import op13_quality_svm
 from inspectra.llm.token_alignment import op11_token_alignment
 from inspectra.llm.toxicity import op8_lexicon_toxicity
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25_packing": op10_bm25_packing,
     "op11_token_alignment": op11_token_alignment,
     "op12_filter_audit": op12_filter_audit,
+    "op13_quality_svm": op13_quality_svm,
 }
 #: Classes by exact weighted similarity of all documents that share a shingle; for small tables, as it counts every such pair.
 OP5_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
