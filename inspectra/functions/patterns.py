@@ -87,12 +87,13 @@ def running_sums(values: Column) -> Column:
     return running(values, 0, lambda a, v: a + v)
 
 
-def spans(text: Column, pattern: str, needs: Column | None = None) -> Column:
-    """(start, end, text) of each non-overlapping match of a Java pattern that matches no empty text; code points, end exclusive.
+def spans(text: Column, pattern: str | Column, needs: Column | None = None) -> Column:
+    """(start, end, text) of each non-overlapping match of a Java pattern (or of each row's own) that matches no empty text; code points, end exclusive.
 
     needs: a cheap test that each text with a match passes.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     both = let(found, lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("text")))
     def placed(m: Column, at: Column) -> Column:
@@ -100,7 +101,8 @@ def spans(text: Column, pattern: str, needs: Column | None = None) -> Column:
         return F.struct(start.alias("start"), (start + F.length(m["text"])).alias("end"), m["text"].alias("text"))
 
     # a cheap test first: most texts match nothing
-    some = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    hit = F.rlike(text, pattern)
+    some = hit if needs is None else needs & hit
     return F.when(some, let(both, lambda b: F.zip_with(b, running_sums(F.transform(b, lambda m: m["gap"] + F.length(m["text"]))), placed))).otherwise(F.array().cast(SPANS))
 
 

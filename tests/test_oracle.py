@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import inspectra.queries as Q
+import inspectra.index_queries  # noqa: F401
 import inspectra.state_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
