@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inspectra.operators import multiscan
-from inspectra.queries import documents, query
+from inspectra.queries import documents, query, table
+from inspectra.sources import archives
 
 #: 500 patterns made by a rule: two syllables of the invented prose and an ending.
 _FIRST = "th he in er an re on at en nd ti es or te of ed is it al ar st nt to ha ou".split()
@@ -20,3 +27,51 @@ MANY_PATTERNS = {f"{a}-{b}": rf"\b{a}{b}(?:ing|tion|ble)(?:ed|s)?\b" for a in _F
 def multi_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 patterns at once; only those whose literals a text holds are tried on it."""
     return multiscan.scan_many(documents(spark, sf_dir), MANY_PATTERNS).select("message_id", "rule_name", "matched_text")
+
+
+def _packed(texts: pd.DataFrame) -> pd.DataFrame:
+    """An archive of a few documents: some as they are, some in a compressed tar in it, the rest in an archive in an archive in it."""
+
+    def zipped(members: list[tuple[str, bytes]]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in members:
+                z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED, 1)
+        return out.getvalue()
+
+    kinds: list[list[tuple[str, bytes]]] = [[], [], []]
+    for i, t in sorted(zip(texts["doc_id"].tolist(), texts["text"].tolist())):
+        kinds[i % 3].append((f"doc{i}.txt", (t or "").encode()))
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz", compresslevel=1) as t:
+        for name, data in kinds[1]:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    inner = [("more.tgz", tar.getvalue()), ("deep.zip", zipped([("deeper.zip", zipped(kinds[2]))]))]
+    return pd.DataFrame({"path": [f"/in/a{texts['bundle'].iloc[0]}.zip"], "content": [zipped(kinds[0] + inner)]})
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id // 20 AS b FROM documents)
+    SELECT '/in/a' || b || '.zip' AS root, 'a' || b || '.zip/' || ['', 'more.tgz/more.tar/', 'deep.zip/deeper.zip/'][doc_id % 3 + 1] || 'doc' || doc_id || '.txt' AS entry, strlen(text) AS n_bytes, sha256(text) AS sha FROM d"""
+)
+def archives_unfolded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into nested archives of twenty each, and unfolded level by level."""
+    bundles = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 20).cast("long").alias("bundle"))
+    files = bundles.groupBy("bundle").applyInPandas(_packed, "path string, content binary")
+    got = archives.unfold(files).where("error IS NULL")
+    return got.select("root", "entry", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id // 20 AS b FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY b, doc_id % 3 ORDER BY doc_id) AS nth FROM d)
+    SELECT '/in/a' || b || '.zip' AS root, count(*) AS n_files, sum(strlen(text)) AS n_bytes FROM n WHERE doc_id % 3 = 0 AND nth <= 3 GROUP BY b"""
+)
+def archives_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same archives what comes before the limit of three files."""
+    bundles = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 20).cast("long").alias("bundle"))
+    files = bundles.groupBy("bundle").applyInPandas(_packed, "path string, content binary")
+    got = archives.unfold(files, archives.Limits(files=3)).where("error IS NULL")
+    return got.groupBy("root").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).alias("n_bytes"))
