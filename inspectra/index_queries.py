@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.operators import multiscan
-from inspectra.queries import documents, query, table
+from inspectra.queries import _DOCS, _pattern_sql, documents, query, table
 from inspectra.sources import archives
+from inspectra.storage import scratch
+from inspectra.streaming import flows
 
 #: 500 patterns made by a rule: two syllables of the invented prose and an ending.
 _FIRST = "th he in er an re on at en nd ti es or te of ed is it al ar st nt to ha ou".split()
@@ -75,3 +77,26 @@ def archives_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bundles.groupBy("bundle").applyInPandas(_packed, "path string, content binary")
     got = archives.unfold(files, archives.Limits(files=3)).where("error IS NULL")
     return got.groupBy("root").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+def _requests(docs: DataFrame) -> DataFrame:
+    """Documents as uploads to seven hosts, two in three by POST."""
+    i = F.col("doc_id")
+    method = F.element_at(F.array(F.lit("POST"), F.lit("GET"), F.lit("put")), (i % 3 + 1).cast("int"))
+    return docs.select(i.alias("request_id"), method.alias("method"), F.concat(F.lit("https://h"), (i % 7).cast("string"), F.lit(".example.com/up")).alias("url"), F.lit("gateway").alias("client_ip"), F.lit("text/plain").alias("content_type"), F.col("text").cast("binary").alias("body"))
+
+
+@query(
+    f"""WITH {_DOCS}, h AS ({_pattern_sql('d', True)}), n AS (SELECT CAST(key AS BIGINT) AS doc_id, count(*) AS n FROM h GROUP BY key)
+    SELECT CAST(doc_id AS VARCHAR) AS message_id, 'https://h' || doc_id % 7 || '.example.com/up' AS url, n AS match_count, least(n, 10) AS n_shown, CASE WHEN n >= 2 THEN 'block' ELSE 'allow' END AS action_taken
+    FROM n WHERE doc_id % 3 <> 1 AND doc_id % 7 <> 3"""
+)
+def monitored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of uploads through the whole flow into a sink that takes each batch once."""
+    schema = table(spark, sf_dir, "documents").schema
+    # as a pattern, since a stream takes a folder or a pattern, and the table may be one file
+    stream = _requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parque[t]"))
+    sink = scratch(spark, "incidents")
+    flows.start_monitor(stream, lambda rows: flows.http_flow(rows, ["h3.example.com"], block_at=2, prevent=True), sink, scratch(spark, "offsets"), once=True).awaitTermination()
+    got = flows.read_sink(spark, sink)
+    return got.select("message_id", got["about"]["url"].alias("url"), "match_count", F.size(F.from_json("matches", "array<struct<rule_name:string>>")).cast("long").alias("n_shown"), "action_taken")
