@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.operators import multiscan
-from inspectra.queries import _DOCS, _pattern_sql, documents, query, table
+from inspectra.operators import fingerprint, multiscan
+from inspectra.operators.fingerprint_store import FingerprintStore
+from inspectra.queries import _DOCS, ORACLE_SQL, _pattern_sql, documents, query, table
 from inspectra.sources import archives
-from inspectra.storage import scratch
+from inspectra.storage import kept, scratch
 from inspectra.streaming import flows
 
 #: 500 patterns made by a rule: two syllables of the invented prose and an ending.
@@ -100,3 +101,48 @@ def monitored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows.start_monitor(stream, lambda rows: flows.http_flow(rows, ["h3.example.com"], block_at=2, prevent=True), sink, scratch(spark, "offsets"), once=True).awaitTermination()
     got = flows.read_sink(spark, sink)
     return got.select("message_id", got["about"]["url"].alias("url"), "match_count", F.size(F.from_json("matches", "array<struct<rule_name:string>>")).cast("long").alias("n_shown"), "action_taken")
+
+
+def _fnv_sql(h: str, c: str) -> str:
+    """The hash h after the UTF-8 bytes of the code point c (below 65,536)."""
+    step = lambda x, byte: f"((xor({x}, CAST({byte} AS UHUGEINT)) * {fingerprint.FNV_PRIME}) % 18446744073709551616)"
+    two = step(step(h, f"(192 + ({c} >> 6))"), f"(128 + ({c} & 63))")
+    three = step(step(step(h, f"(224 + ({c} >> 12))"), f"(128 + (({c} >> 6) & 63))"), f"(128 + ({c} & 63))")
+    return f"(CASE WHEN {c} < 128 THEN {step(h, c)} WHEN {c} < 2048 THEN {two} ELSE {three} END)"
+
+
+def simhash_sql(source: str) -> str:
+    """CTEs that end in f (id, b: one array of 64 bits) for the texts of `source` (id, text) that are long enough for a fingerprint."""
+    steps, h = [], f"CAST({fingerprint.FNV_START} AS UHUGEINT)"
+    for k in range(4):
+        steps.append(f"h{k} AS (SELECT id, c1, c2, c3, c4, {_fnv_sql('h' if k else h, f'c{k + 1}')} AS h FROM {f'h{k - 1}' if k else 's'})")
+    return f"""t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM {source}),
+    u AS (SELECT id, list_transform(string_split(t, ''), lambda x: ord(x)) AS c FROM t WHERE length(t) >= {fingerprint.LEAST_CHARS}),
+    p AS (SELECT id, c, unnest(range(1, len(c) - 2)) AS i FROM u),
+    s AS (SELECT id, c[i] AS c1, c[i + 1] AS c2, c[i + 2] AS c3, c[i + 3] AS c4 FROM p),
+    {', '.join(steps)},
+    w AS (SELECT id, CAST(h % 4294967296 AS BIGINT) AS lo, CAST(h // 4294967296 AS BIGINT) AS hi FROM h3),
+    f AS (SELECT id, [{', '.join(f'CAST(2 * sum(({"lo" if b < 32 else "hi"} >> {b % 32}) & 1) > count(*) AS INT)' for b in range(64))}] AS b FROM w GROUP BY id)"""
+
+
+def _near_sql(left: str, right: str, threshold: float) -> str:
+    differing = "len(list_filter(range(1, 65), lambda k: x.b[k] <> y.b[k]))"
+    return f"SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, 1 - {differing} / 64.0 AS score FROM {left} x, {right} y) WHERE score >= {threshold}"
+
+
+@query(f"WITH {simhash_sql('(SELECT doc_id AS id, text FROM documents)')}, q AS (SELECT * FROM f WHERE id % 5 = 0), k AS (SELECT * FROM f WHERE id % 5 > 0) SELECT left_id AS seen_id, right_id AS fingerprint_id, CAST(score AS DOUBLE) AS score FROM ({_near_sql('q', 'k', 0.9)})")
+def fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of all documents, added in two batches, a fifth deleted, and searched by that fifth."""
+    docs = kept(fingerprint.build_index(table(spark, sf_dir, "documents"), "doc_id", "text"), "fingerprints")
+    store = FingerprintStore(spark, scratch(spark, "fingerprint-index"), 0.9, shards=4)
+    for k in range(2):
+        store.add(docs.where(F.col("fingerprint_id") % 2 == k), k)
+    seen = docs.where(F.col("fingerprint_id") % 5 == 0)
+    store.remove(seen.select("fingerprint_id"))
+    return store.search(seen)
+
+
+ORACLE_SQL["fingerprint_near"] = (
+    f"WITH {simhash_sql('(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)')}, q AS (SELECT * FROM f WHERE id >= 0), k AS (SELECT * FROM f WHERE id < 0) "
+    f"SELECT left_id, -1 - right_id AS right_id, CAST(score AS DOUBLE) AS score FROM ({_near_sql('q', 'k', fingerprint.THRESHOLD)})"
+)
