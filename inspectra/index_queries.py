@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from inspectra.operators import fingerprint, multiscan
 from inspectra.operators.fingerprint_store import FingerprintStore
-from inspectra.queries import _DOCS, ORACLE_SQL, _pattern_sql, documents, query, table
+from inspectra.operators.paging import PagedList
+from inspectra.operators.search_index import SearchIndex, global_search
+from inspectra.queries import _DOCS, _INCIDENTS, ORACLE_SQL, _pattern_sql, derived, documents, query, table
 from inspectra.sources import archives
 from inspectra.storage import kept, scratch
 from inspectra.streaming import flows
@@ -146,3 +148,39 @@ ORACLE_SQL["fingerprint_near"] = (
     f"WITH {simhash_sql('(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)')}, q AS (SELECT * FROM f WHERE id >= 0), k AS (SELECT * FROM f WHERE id < 0) "
     f"SELECT left_id, -1 - right_id AS right_id, CAST(score AS DOUBLE) AS score FROM ({_near_sql('q', 'k', fingerprint.THRESHOLD)})"
 )
+
+
+_SEARCHED = "policy_name ILIKE '%{0}%' OR file_name ILIKE '%{0}%' OR \"user\" ILIKE '%{0}%'"
+
+
+def _incident_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    index = SearchIndex(spark, scratch(spark, "incident-search"), "id", ("policy_name", "file_name", "user"))
+    index.add(derived(spark, sf_dir), 0)
+    return index
+
+
+@query(
+    f"""WITH {_INCIDENTS}, a AS (SELECT 'incident' AS kind, CAST(id AS VARCHAR) AS id, policy_name AS title, file_name AS subtitle FROM i WHERE {_SEARCHED.format('er%012')} ORDER BY i.id LIMIT 10),
+    b AS (SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, c_mktsegment AS subtitle FROM customer WHERE c_name ILIKE '%er%012%' OR c_mktsegment ILIKE '%er%012%' ORDER BY c_custkey LIMIT 10)
+    SELECT * FROM a UNION ALL SELECT * FROM b"""
+)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 by trigram indexes: at most ten hits of each kind, which is the feature."""
+    customers = SearchIndex(spark, scratch(spark, "customer-search"), "c_custkey", ("c_name", "c_mktsegment"))
+    customers.add(table(spark, sf_dir, "customer"), 0)
+    return global_search({"incident": _incident_index(spark, sf_dir), "customer": customers}, "er%012")
+
+
+@query(f"WITH {_INCIDENTS} SELECT id, policy_name, file_name, \"user\" FROM i WHERE {_SEARCHED.format('er1_')}")
+def find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 by the trigram index: all incidents of which a name holds the words."""
+    return _incident_index(spark, sf_dir).find("er1_")
+
+
+@query(f"WITH {_INCIDENTS}, n AS (SELECT count(*) // 20 AS pages FROM i), r AS (SELECT id, match_count, created_at, row_number() OVER (ORDER BY match_count DESC, id) - 1 AS nth FROM i) SELECT id, match_count, created_at FROM r, n WHERE nth >= (pages - 3) * 20 AND nth < (pages - 1) * 20")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page near the end of all incidents by match count, and the page after it by its last row."""
+    pages = PagedList(spark, scratch(spark, "incident-list"), "match_count", "id")
+    pages.write(derived(spark, sf_dir), 64)
+    one = pages.page(pages.total() // 20 - 2)
+    return one.unionByName(pages.after(one.tail(1)[0])).select("id", "match_count", "created_at")
