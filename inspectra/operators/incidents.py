@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectra.operators.segmented import last_before
 from inspectra.schema import STATUSES
 
 
@@ -84,13 +85,10 @@ def fold_updates(log: DataFrame, key: str, ts: str, fields: list[str]) -> DataFr
 
 def history(log: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
     """A row (key, ts, field, old_value, new_value) for every change of a field; nulls in the log change nothing."""
-    by = Window.partitionBy(key).orderBy(ts)
-    rows = []
-    for f in fields:
-        before = F.last(f, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-        rows.append(F.struct(F.lit(f).alias("field"), before.cast("string").alias("old_value"), F.col(f).cast("string").alias("new_value")))
-    out = log.select(key, ts, F.row_number().over(by).alias("n"), F.array(*rows).alias("c")).select(key, ts, "n", F.explode("c").alias("c")).select(key, ts, "n", "c.*")
-    return out.where("n > 1 AND new_value IS NOT NULL AND NOT new_value <=> old_value").drop("n")
+    before = last_before(log.select(key, ts, *fields).withColumn("_any", F.lit(1)), key, [ts], [*fields, "_any"])
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f"before_{f}").cast("string").alias("old_value"), F.col(f).cast("string").alias("new_value")) for f in fields]
+    out = before.where("before__any IS NOT NULL").select(key, ts, F.explode(F.array(*rows)).alias("c")).select(key, ts, "c.*")
+    return out.where("new_value IS NOT NULL AND NOT new_value <=> old_value")
 
 
 def archive(active: DataFrame, archived: DataFrame, older_than: str, ts: str = "created_at", key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -120,13 +118,12 @@ def correlate(incidents: DataFrame, others: DataFrame, minutes: int = 30) -> Dat
 
 
 def previously_flagged(events: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Each event with its user's last incident before it (as-of join in one sort, not by pairs)."""
+    """Each event with its user's last incident before it or at its time (an as-of join by sorting, not by pairs; long histories spread over tasks)."""
     none = lambda t: F.lit(None).cast(t)
-    a = incidents.select("user", F.col("created_at").alias("at"), F.lit(0).alias("side"), F.col("id").alias("incident_id"), none("bigint").alias("event_id"))
-    b = events.select("user", F.col("created_at").alias("at"), F.lit(1).alias("side"), none("bigint").alias("incident_id"), F.col("id").alias("event_id"))
-    by = Window.partitionBy("user").orderBy("at", "side", "incident_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = a.unionByName(b).where(F.col("user").isNotNull()).withColumn("last_incident", F.last("incident_id", ignorenulls=True).over(by))
-    return seen.where("side = 1").select("event_id", "user", "at", "last_incident")
+    a = incidents.select("user", F.col("created_at").alias("at"), F.lit(0).alias("side"), F.col("id").cast("bigint").alias("incident_id"), none("bigint").alias("event_id"))
+    b = events.select("user", F.col("created_at").alias("at"), F.lit(1).alias("side"), none("bigint").alias("incident_id"), F.col("id").cast("bigint").alias("event_id"))
+    seen = last_before(a.unionByName(b).where(F.col("user").isNotNull()), "user", ["at", "side", "incident_id", "event_id"], ["incident_id"])
+    return seen.where("side = 1").select("event_id", "user", "at", F.col("before_incident_id").alias("last_incident"))
 
 
 def with_notes(incidents: DataFrame, notes: DataFrame, key: str = "id") -> DataFrame:
