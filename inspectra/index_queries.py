@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from inspectra.operators import fingerprint, multiscan
 from inspectra.operators.fingerprint_store import FingerprintStore
+from inspectra.operators.lifecycle import cascade, fold_states
 from inspectra.operators.paging import PagedList
+from inspectra.operators.risk_store import RiskStore
 from inspectra.operators.search_index import SearchIndex, global_search
-from inspectra.queries import _DOCS, _INCIDENTS, ORACLE_SQL, _pattern_sql, derived, documents, query, table
+from inspectra.queries import _DOCS, _INCIDENTS, ORACLE_SQL, REFERENCE, _pattern_sql, derived, documents, query, table
 from inspectra.sources import archives
 from inspectra.storage import kept, scratch
 from inspectra.streaming import flows
@@ -184,3 +186,45 @@ def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages.write(derived(spark, sf_dir), 64)
     one = pages.page(pages.total() // 20 - 2)
     return one.unionByName(pages.after(one.tail(1)[0])).select("id", "match_count", "created_at")
+
+
+@query(ORACLE_SQL["risk_scores"])
+def risk_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6-A8 from increments of three batches, two of which are merged, for the reference day of the full computation."""
+    store, rows = RiskStore(spark, scratch(spark, "risk")), derived(spark, sf_dir)
+    for k in range(3):
+        store.add(rows.where(F.col("id") % 3 == k), k)
+    store.compact([0, 1], 3)
+    return store.scores(REFERENCE)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT event_id AS id, CASE WHEN event_id >= 3 THEN event_id // 3 END AS parent_id FROM events),
+    d AS (SELECT id FROM n WHERE id % 97 = 5 UNION SELECT n.id FROM n JOIN d ON n.parent_id = d.id)
+    SELECT n.id, n.parent_id, d.id IS NOT NULL AS deleted FROM n LEFT JOIN d ON n.id = d.id"""
+)
+def cascade_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: a tree of all events, of which some nodes are deleted with all below them."""
+    e = F.col("event_id")
+    nodes = table(spark, sf_dir, "events").select(e.alias("id"), F.when(e >= 3, F.floor(e / 3)).cast("bigint").alias("parent_id"))
+    return cascade(nodes, nodes.where("id % 97 = 5").select("id"))
+
+
+_SCAN_EVENTS = {"view": "trigger", "purchase": "trigger", "click": "complete", "error": "fail", "signup": "cancel"}
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SCAN_EVENTS.items())} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, '' AS event, '' AS before, 'pending' AS after FROM e
+        UNION ALL SELECT e.user_id, e.event_id, e.n, e.event, r.after, CASE WHEN e.event = 'trigger' AND r.after <> 'running' THEN 'running' WHEN e.event = 'complete' AND r.after = 'running' THEN 'completed' WHEN e.event = 'fail' AND r.after = 'running' THEN 'failed'
+            WHEN e.event = 'cancel' AND r.after IN ('pending', 'running') THEN 'cancelled' ELSE r.after END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, event_id, event, before, after, before <> after AS allowed FROM r WHERE n > 0"""
+)
+def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: every user's events as the log of a scan, folded by the table of transitions; those that its state forbids are reported."""
+    event = F.col("event_type")
+    meaning = F.lit(None).cast("string")
+    for name, means in _SCAN_EVENTS.items():
+        meaning = F.when(event == name, means).otherwise(meaning)
+    log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", meaning.alias("event"))
+    return fold_states(log, "user_id", ["ts", "event_id"], "event").drop("ts")

@@ -70,8 +70,13 @@ def risk(incidents: DataFrame, reference: str, lookback_days: int = 90) -> DataF
     user = F.when(F.col("user") != "", F.col("user")).otherwise("unknown")
     by_severity = [F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES]
     out = some.groupBy(user.alias("user")).agg(F.sum(score).alias("raw"), F.count("*").alias("n_incidents"), *by_severity, F.min("created_at").alias("oldest"), F.max("created_at").alias("latest"))
+    return graded(out)
+
+
+def graded(sums: DataFrame) -> DataFrame:
+    """Users with their raw sums, as scores from 0 to 100 and levels."""
     scaled = F.least(F.lit(100), F.bround(F.col("raw") / FULL_SCORE * 100, 0).cast("int"))
-    out = out.withColumn("normalized", F.when(F.col("raw") > 0, F.greatest(F.lit(1), scaled)).otherwise(0))
+    out = sums.withColumn("normalized", F.when(F.col("raw") > 0, F.greatest(F.lit(1), scaled)).otherwise(0))
     return out.select("user", F.round("raw", 4).alias("raw_score"), "normalized", risk_level(F.col("normalized")).alias("level"), "n_incidents", *[f"n_{s}" for s in SEVERITIES], "oldest", "latest")
 
 
