@@ -16,7 +16,9 @@ from inspectra.operators.lifecycle import cascade, fold_states
 from inspectra.operators.paging import PagedList
 from inspectra.operators.risk_store import RiskStore
 from inspectra.operators.search_index import SearchIndex, global_search
-from inspectra.queries import _DOCS, _INCIDENTS, ORACLE_SQL, REFERENCE, _pattern_sql, derived, documents, query, table
+from inspectra.plans.policy import Condition, Group
+from inspectra.plans.trees import And, Leaf, Not, Or, TreePolicy, evaluate_trees
+from inspectra.queries import _CELLS, _DOCS, _INCIDENTS, ORACLE_SQL, REFERENCE, _conversation_matches, _pattern_sql, conversation_messages, derived, documents, query, table
 from inspectra.sources import archives
 from inspectra.storage import kept, scratch
 from inspectra.streaming import flows
@@ -228,3 +230,24 @@ def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         meaning = F.when(event == name, means).otherwise(meaning)
     log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", meaning.alias("event"))
     return fold_states(log, "user_id", ["ts", "event_id"], "event").drop("ts")
+
+
+_THE, _OF, _TOKEN = Leaf(Condition("the")), Leaf(Condition("of")), Leaf(Condition("token"))
+_OFTEN, _TWICE, _SUBJECT = Leaf(Condition("the", "count_gte", 3)), Leaf(Condition("of", "count_gte", 2)), Leaf(Condition("of", components=("subject",)))
+_TREES = [
+    TreePolicy("sent", And((_THE, Or((_TWICE, Not(_TOKEN))), Leaf(Group(("Example.com",), mode="domain")))), tiers=((5, "high"),), ejected=((_SUBJECT, ("subject",)),)),
+    TreePolicy("either", Or((And((_OFTEN, Not(_OF))), And((_TOKEN, Not(Leaf(Group(("u1@example.com",), "sender"))))))), "low", spared=And((_SUBJECT, Not(_OFTEN)))),
+    TreePolicy("people", Not(Or((_THE, Leaf(Group(("u2@example.com",), "sender"))))), "info"),
+]
+
+
+@query(
+    f"""WITH {_CELLS},
+    p AS (SELECT *, n_the - CASE WHEN s_of > 0 THEN s_the ELSE 0 END + CASE WHEN n_of >= 2 THEN n_of - CASE WHEN s_of > 0 THEN s_of ELSE 0 END ELSE 0 END AS n1, CASE WHEN n_the >= 3 THEN n_the ELSE 0 END + n_token AS n2 FROM c)
+    SELECT message_id, 'sent' AS policy_name, CASE WHEN n1 >= 5 THEN 'high' ELSE 'medium' END AS severity, CAST(n1 AS BIGINT) AS match_count FROM p WHERE n_the > 0 AND (n_of >= 2 OR n_token = 0) AND conv_id % 3 = 0 AND n1 > 0
+    UNION ALL SELECT message_id, 'either', 'low', CAST(n2 AS BIGINT) FROM p WHERE ((n_the >= 3 AND n_of = 0) OR (n_token > 0 AND conv_id % 4 <> 1)) AND NOT (s_of > 0 AND n_the < 3) AND n2 > 0
+    UNION ALL SELECT message_id, 'people', 'info', 0 FROM p WHERE n_the = 0 AND conv_id % 4 <> 2"""
+)
+def policy_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees over detections and groups, compiled together."""
+    return evaluate_trees(conversation_messages(spark, sf_dir), _conversation_matches(spark, sf_dir), _TREES).drop("triggered")
