@@ -183,10 +183,31 @@ _MATRIX = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quote(v)}, {_quote(x)}, {str(ok).lower()})" for v, x, ok in _MATRIX) + ") AS t(validator, input, valid)")
+#: Inputs made from event_id (e), as both SQL dialects have them but for the name of the text type (T).
+_MADE = {
+    "luhn": "lpad(CAST(4000000000000000 + e * 999983 AS T), 16, '0')",
+    "ssn_area": "lpad(CAST(e * 37 % 1000 AS T), 3, '0') || '-' || lpad(CAST(e % 100 AS T), 2, '0') || '-' || lpad(CAST(e * 13 % 10000 AS T), 4, '0')",
+    "phone_format": "lpad(CAST(e * 7 % 1000 AS T), 3, '0') || lpad(CAST(e * 11 % 1000 AS T), 3, '0') || lpad(CAST(e % 10000 AS T), 4, '0')",
+    "email_domain": "'u' || CAST(e AS T) || '@' || CASE e % 4 WHEN 0 THEN 'example.com' WHEN 1 THEN 'example' WHEN 2 THEN 'example.c' ELSE 'mail.example.org' END",
+    "iban_mod97": "'GB' || lpad(CAST(e % 100 AS T), 2, '0') || 'WEST' || lpad(CAST(e * 104729 AS T), 14, '0')",
+    "passport_format": "CASE e % 3 WHEN 0 THEN 'A' WHEN 1 THEN '' ELSE 'AB' END || lpad(CAST(e AS T), 8, '0')",
+    "drivers_license_format": "CASE e % 3 WHEN 0 THEN 'D' || lpad(CAST(e AS T), 7, '0') WHEN 1 THEN lpad(CAST(e % 2 AS T), 7, '0') ELSE 'A' END",
+    "ipv4_range": "CAST(e % 300 AS T) || '.' || CAST(e * 3 % 260 AS T) || '.' || CAST(e % 7 AS T) || '.' || CAST(e % 256 AS T)",
+    "date_calendar": "lpad(CAST(e % 14 AS T), 2, '0') || '/' || lpad(CAST(e % 33 AS T), 2, '0') || '/' || CAST(1890 + e % 230 AS T)",
+    "aba_checksum": "lpad(CAST(e * 1000003 % 1000000000 AS T), 9, '0')",
+}
+_MORE_CHECK_SQL = _CHECK_SQL | {"passport_format": "regexp_matches(trim(m), '^[A-Za-z]?[0-9]{8,9}$')", "drivers_license_format": f"trim(m) <> '' AND ({_DIGITS} = '' OR regexp_matches({_DIGITS}, '[1-9]'))"}
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"({_quote(v)}, {_quote(x)}, {str(ok).lower()})" for v, x, ok in _MATRIX) + ") AS t(validator, input, valid)"
+    + "".join(f" UNION ALL SELECT '{v}', m, coalesce({_MORE_CHECK_SQL[v]}, false) FROM (SELECT {made.replace(' AS T)', ' AS VARCHAR)')} AS m FROM (SELECT event_id AS e FROM events))" for v, made in _MADE.items())
+)
 def validators_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1-V10 on given inputs."""
-    rows = spark.createDataFrame([(v, x) for v, x, _ in _MATRIX], "validator string, input string")
+    """V1-V10 on given inputs, and on one of each kind made from every event."""
+    given = spark.createDataFrame([(v, x) for v, x, _ in _MATRIX], "validator string, input string")
+    made = F.explode(F.array(*(F.struct(F.lit(v).alias("validator"), F.expr(x.replace(" AS T)", " AS STRING)")).alias("input")) for v, x in _MADE.items())))
+    rows = given.unionByName(table(spark, sf_dir, "events").select(F.col("event_id").alias("e")).select(made.alias("r")).select("r.*"))
     checks = F.coalesce(*[F.when(F.col("validator") == n, f(F.col("input"))) for n, f in VALIDATORS.items()])
     return rows.select("validator", "input", checks.alias("valid"))
 
