@@ -1,8 +1,9 @@
 """Secret scans: patterns, and Markov models of random strings and ordinary identifiers for what no pattern names.
 
 All in DataFrame functions. A pattern's matches get their places from the lengths of the matches and of the pieces between
-them. Runs of RUN characters that no pattern holds are secrets if the log-likelihood ratio of the two first-order character
-models exceeds LEAST_RATIO. The models are trained from labelled samples: random strings are what the patterns find and hashes
+them. What they find is blanked, and every run of RUN characters that is left, parts beside a pattern's match included, is a
+secret if the log-likelihood ratio of the two first-order character models exceeds LEAST_RATIO, and MORE_RATIO more for each character that it is
+short of SURE_LENGTH. The models are trained from labelled samples: random strings are what the patterns find and hashes
 made for it, ordinary identifiers the other runs, both of about SAMPLE_DOCS documents at most, chosen by hash.
 
 Edge cases: a null text is empty and has no spans; an empty table gives an empty result and no models are needed; rows are
@@ -13,6 +14,7 @@ their names, if they don't begin with `_secret_`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{10,}"
 SAMPLE_RUN = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCS = 2000
 MADE = 1000
 #: Log odds that a run must have in favour of random: random runs are taken to be rarer than ordinary ones by about e^12.
 LEAST_RATIO = 12.0
+#: Short runs are many, so they need more.
+SURE_LENGTH, MORE_RATIO = 16, 0.5
 SMOOTHING = 0.5
 KINDS = ("assign", "access", "hex", "random")
 MASK = "[SECRET]"
@@ -56,18 +60,26 @@ def _larger(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def clear_of(runs: Column, base: Column) -> Column:
-    """Those runs that overlap no base span, by one sort: what begins before has ended, and what comes next begins after."""
-    far = -(1 << 31)
+def replaced(text: Column, spans: Column, filler: Callable[[Column, Column], Column]) -> Column:
+    """The text with filler(span, place) for each of the sorted spans; place: how far the spans before it reach."""
 
-    def clear(s: Column) -> Column:
-        before = running(F.transform(s, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), 0, _larger)
-        after = F.reverse(running(F.transform(F.reverse(s), lambda x: F.when(x["kind"] < 3, -x["start"]).otherwise(far)), far, _larger))
-        seen = F.zip_with(F.zip_with(s, before, lambda x, b: F.struct(x.alias("x"), b.alias("b"))), after, lambda z, a: F.struct(z["x"].alias("x"), z["b"].alias("b"), a.alias("a")))
-        free = F.filter(seen, lambda z: (z["x"]["kind"] == 3) & (z["b"] <= z["x"]["start"]) & ((z["a"] == far) | (-z["a"] >= z["x"]["end"])))
-        return F.transform(free, lambda z: z["x"])
+    def fill(raw: Column) -> Column:
+        cut = lambda a, n: F.decode(F.substr(raw, a * 4 + 1, n * 4), "UTF-32")  # noqa: E731  four bytes for each character
+        shown = lambda s, at: F.concat(F.when(s["start"] > at, cut(at, s["start"] - at)).otherwise(""), filler(s, at))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        parts = F.zip_with(spans, running(F.transform(spans, lambda s: s["end"]), 0, _larger), shown)
+        return F.concat(F.array_join(parts, ""), cut(last, F.length(text) - last))
+
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), fill)).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans' characters, so that all others keep their places."""
+    return replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], at))))
 
-    return F.when(F.size(runs) > 0, let(F.sort_array(F.concat(base, runs)), clear)).otherwise(runs)
+
+def is_random(s: Column, model: list[float]) -> Column:
+    return ratio(s, model) > LEAST_RATIO + MORE_RATIO * F.greatest(F.lit(0), SURE_LENGTH - F.length(s))
 
 
 def base_spans(text: Column) -> Column:
@@ -117,11 +129,11 @@ def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "tex
     """docs with two more columns: _secret_base and _secret_spans, arrays of (start, kind's number, end)."""
     model = train(samples(docs, text_col)) if model is None else model
     text = F.coalesce(F.col("_secret_text"), F.lit(""))
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    random = F.transform(runs, lambda s: s.rlike("[A-Za-z]") & s.rlike("[0-9]|[a-z][A-Z]|^[A-Z]+$") & (ratio(s, model) > LEAST_RATIO))
     out = docs.withColumn("_secret_text", docs[text_col].cast("string")).withColumn("_secret_base", base_spans(text))
-    added = let(match_spans(text, RUN, 3, random), lambda runs: clear_of(runs, F.col("_secret_base")))
-    return out.withColumn("_secret_spans", F.sort_array(F.concat("_secret_base", added))).drop("_secret_text")
+    rest = F.col("_secret_rest")
+    random = F.transform(F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)), lambda s: is_random(s, model))
+    out = out.withColumn("_secret_rest", blanked(text, F.col("_secret_base")))
+    return out.withColumn("_secret_spans", F.sort_array(F.concat("_secret_base", match_spans(rest, RUN, 3, random)))).drop("_secret_text", "_secret_rest")
 
 
 def listed(spans: Column) -> Column:
@@ -132,16 +144,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float] | None = None, text_col: str = "text") -> DataFrame:
     """docs with every secret of the text replaced by MASK; spans that overlap become one."""
     found = scan(docs, model, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-
-    def mask(raw: Column) -> Column:
-        cut = lambda a, n: F.decode(F.substr(raw, a * 4 + 1, n * 4), "UTF-32")  # noqa: E731  four bytes for each character
-        shown = lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"] - at), F.lit(MASK))).otherwise("")
-        last = F.array_max(F.transform("_secret_spans", lambda s: s["end"]))
-        parts = F.zip_with("_secret_spans", running(F.transform("_secret_spans", lambda s: s["end"]), 0, _larger), shown)
-        return F.concat(F.array_join(parts, ""), cut(last, F.length(text) - last))
-
-    masked = let(F.encode(text, "UTF-32"), mask)
+    masked = replaced(F.coalesce(F.col(text_col), F.lit("")), F.col("_secret_spans"), lambda s, at: F.when(s["start"] >= at, F.lit(MASK)).otherwise(""))
     return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col(text_col))).drop("_secret_base", "_secret_spans")
 
 

@@ -1,7 +1,9 @@
 """Spans of secrets against Python's regular expressions; the models; redaction."""
 
 import hashlib
+import random
 import re
+import string
 
 from inspectra.llm import markov_secrets as M
 
@@ -55,14 +57,15 @@ def test_models_tell_random_from_ordinary(spark, sf_dir):
 
 
 def brute_random(text, model):
-    """Runs that the models take for random and that touch no base span, by plain loops."""
-    base_at = [tuple(map(int, s.split(":")[1:])) for s in filter(None, base(text).split(","))]
+    """Runs outside of base spans that the models take for random, by plain loops."""
+    for s in filter(None, base(text).split(",")):
+        _, i, j = s.split(":")
+        text = text[: int(i)] + " " * (int(j) - int(i)) + text[int(j) :]
     n, at = len(M.ALPHABET), {c: i for i, c in enumerate(M.ALPHABET)}
     out = []
     for m in re.finditer(M.RUN, text):
-        s = m[0]
-        ratio = sum(round(model[at[a] * n + at[b]], 6) for a, b in zip(s, s[1:]))
-        if re.search("[A-Za-z]", s) and re.search("[0-9]|[a-z][A-Z]|^[A-Z]+$", s) and ratio > M.LEAST_RATIO and not any(a < m.end() and m.start() < b for a, b in base_at):
+        ratio = sum(round(model[at[a] * n + at[b]], 6) for a, b in zip(m[0], m[0][1:]))
+        if ratio > M.LEAST_RATIO + M.MORE_RATIO * max(0, M.SURE_LENGTH - len(m[0])):
             out.append(f"random:{m.start()}:{m.end()}")
     return out
 
@@ -70,7 +73,7 @@ def brute_random(text, model):
 def test_random_spans_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = M.train(M.samples(docs))
-    mixed = " ".join(f"Qz{i}xL0vT7rZk3WbN8sYpA1d{i * 7919 % 97}Gh token=abc{i}def0 {'0a1b' * 7} plain_words_of_an_identifier" for i in range(60))
+    mixed = " ".join(f"Qz{i}xL0vT7rZk3WbN8sYpA1d{i * 7919 % 97}Gh token=abc{i}def0 {'0a1b' * 7} plain_words_of_an_identifier qzxv{i % 7}kwjhqpfz {'c0ffee' * 4}-Zk3WbN8sYpA{i} Xq{i}=password=abcdefgh" for i in range(60))
     df = docs.unionByName(spark.createDataFrame([(-1, mixed), (-2, "é" + mixed[::-1])], docs.schema))
     rows = M.scan(df, model).select("text", M.listed("_secret_spans").alias("spans")).collect()
     found = 0
@@ -81,6 +84,28 @@ def test_random_spans_against_brute_force(spark, sf_dir):
     assert found > 60
 
 
+def test_short_and_one_case_secrets(spark, sf_dir):
+    """Held-out strings of one case and of twelve characters on, in text; and ordinary words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model, rng = M.train(M.samples(docs)), random.Random(17)
+    alphabets = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "both": string.ascii_letters + string.digits}
+    for name, alphabet in alphabets.items():
+        for length, least in ((12, 0.75), (16, 0.88), (24, 0.95)):
+            rows = [(i, "the key is " + "".join(rng.choices(alphabet, k=length)) + " of it") for i in range(300)]
+            spans = [r[0] for r in M.scan(spark.createDataFrame(rows, "id long, text string"), model).select(M.listed("_secret_spans")).collect()]
+            assert sum(s == f"random:11:{11 + length}" for s in spans) >= least * 300, (name, length)
+    ordinary = docs.select(M.F.regexp_replace("text", "[^a-z ]", " ").alias("text"))
+    assert M.scan(ordinary, model).where("size(_secret_spans) > 0").count() <= 5
+
+
+def test_parts_beside_a_base_span(spark):
+    text = "é Q9fQ2xL0vT7rZk3WbN8s-" + "0123456789abcdef" * 2 + "-Xk3WbN8sYpA1dGh5 token=abcdefgh"
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = M.scan(df, [1.0] * len(M.ALPHABET) ** 2).select(M.listed("_secret_spans")).first()[0]
+    assert spans == "random:2:23,hex:23:55,random:55:72,assign:73:87"
+    assert M.redact(df, [1.0] * len(M.ALPHABET) ** 2).first()[0] == "é [SECRET][SECRET][SECRET] [SECRET]"
+
+
 def test_many_spans_in_one_text(spark):
     text = "é " + " ".join(f"token=abcdef{i} Q9fQ2xL0vT7rZk3WbN8sYpA{i}" for i in range(20_000))
     model = [1.0] * len(M.ALPHABET) ** 2
