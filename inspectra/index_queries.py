@@ -122,7 +122,7 @@ def simhash_sql(source: str) -> str:
     steps, h = [], f"CAST({fingerprint.FNV_START} AS UHUGEINT)"
     for k in range(4):
         steps.append(f"h{k} AS (SELECT id, c1, c2, c3, c4, {_fnv_sql('h' if k else h, f'c{k + 1}')} AS h FROM {f'h{k - 1}' if k else 's'})")
-    return f"""t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM {source}),
+    return rf"""t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM {source}),
     u AS (SELECT id, list_transform(string_split(t, ''), lambda x: ord(x)) AS c FROM t WHERE length(t) >= {fingerprint.LEAST_CHARS}),
     p AS (SELECT id, c, unnest(range(1, len(c) - 2)) AS i FROM u),
     s AS (SELECT id, c[i] AS c1, c[i + 1] AS c2, c[i + 2] AS c3, c[i + 3] AS c4 FROM p),
