@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.operators import fingerprint, multiscan
+from inspectra.operators import export, fingerprint, multiscan, reports, responses
 from inspectra.operators.fingerprint_store import FingerprintStore
 from inspectra.operators.lifecycle import cascade, fold_states
 from inspectra.operators.paging import PagedList
@@ -251,3 +251,38 @@ _TREES = [
 def policy_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees over detections and groups, compiled together."""
     return evaluate_trees(conversation_messages(spark, sf_dir), _conversation_matches(spark, sf_dir), _TREES).drop("triggered")
+
+
+_COMMAND_SQL = """SELECT event_id AS command_id, event_id // 4 AS incident_id, ts AS made_at, ['add_note', 'set_status', 'send_email', 'escalate', 'erase'][event_id % 5 + 1] AS action, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE event_type || ' ' END AS content,
+    ['new', 'resolved', 'odd', 'dismissed'][event_id % 4 + 1] AS status, CASE WHEN event_id % 3 > 0 THEN 'u' || user_id || '@example.com' END AS recipient, CASE WHEN event_id % 2 = 0 THEN event_type END AS reason FROM events"""
+
+
+@query(
+    f"""WITH {_INCIDENTS}, c AS ({_COMMAND_SQL}),
+    d AS (SELECT c.*, i.status AS first, i.id IS NOT NULL AS there FROM c LEFT JOIN (SELECT * FROM i WHERE id % 13 > 0) i ON c.incident_id = i.id),
+    f AS (SELECT *, CASE WHEN action = 'erase' THEN 'Unknown action ''erase''. Valid actions: add_note, escalate, send_email, set_status' WHEN NOT there THEN 'Incident not found' WHEN action = 'add_note' AND trim(content) = '' THEN 'Note content is required (params.content)'
+        WHEN action = 'set_status' AND status = 'odd' THEN 'Invalid status ''odd''. Valid: dismissed, escalated, in_progress, new, resolved' WHEN action = 'send_email' AND recipient IS NULL THEN 'Recipient email is required (params.recipient)' END AS fails FROM d),
+    n AS (SELECT *, CASE WHEN fails IS NULL AND action = 'set_status' THEN status WHEN fails IS NULL AND action = 'escalate' THEN 'escalated' END AS new_status FROM f),
+    o AS (SELECT *, coalesce(last_value(new_status IGNORE NULLS) OVER (PARTITION BY incident_id ORDER BY made_at, command_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first) AS old FROM n)
+    SELECT command_id, fails IS NULL AS success, coalesce(fails, CASE action WHEN 'add_note' THEN 'Note added: ' || trim(content) WHEN 'set_status' THEN 'Status changed from ' || old || ' to ' || new_status WHEN 'send_email' THEN 'Email notification queued for ' || recipient
+        ELSE 'Incident escalated: ' || coalesce(reason, 'Escalated via smart response') END) AS detail FROM o"""
+)
+def smart_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a command on an incident, checked and folded."""
+    e = F.col("event_id")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    commands = table(spark, sf_dir, "events").select(
+        e.alias("command_id"), F.floor(e / 4).cast("bigint").alias("incident_id"), F.col("ts").alias("at"), pick(e, "add_note", "set_status", "send_email", "escalate", "erase").alias("action"),
+        F.when(e % 7 == 0, "  ").otherwise(F.concat("event_type", F.lit(" "))).alias("content"), pick(e, "new", "resolved", "odd", "dismissed").alias("status"),
+        F.when(e % 3 > 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com"))).alias("recipient"), F.lit(None).cast("string").alias("subject"), F.when(e % 2 == 0, F.col("event_type")).alias("reason"),
+    )
+    return responses.outcomes(commands, derived(spark, sf_dir).where("id % 13 > 0")).select("command_id", "success", "detail")
+
+
+@query(f"WITH {_INCIDENTS} SELECT id, severity, \"user\", match_count, created_at FROM i WHERE created_at >= TIMESTAMP '{REFERENCE}' - INTERVAL 30 DAY AND created_at <= TIMESTAMP '{REFERENCE}'")
+def report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last thirty days, newest first, of incidents that were written as JSON lines and read back."""
+    path = scratch(spark, "incident-log")
+    export.write_jsonl(derived(spark, sf_dir), path)
+    rows = export.read_jsonl(spark, path, "id long, severity string, user string, match_count int, created_at timestamp_ntz")
+    return reports.details(rows, REFERENCE)

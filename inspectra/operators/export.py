@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Numbers of severities and actions in CEF lines.
@@ -84,8 +84,18 @@ def write_detail_csv(incidents: DataFrame, path: str, bom: bool = True) -> None:
     detail(incidents).withColumnRenamed(first, ("\ufeff" if bom else "") + first).write.option("header", True).option("quoteAll", False).csv(path)
 
 
+#: Times in JSON to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    df.write.mode("append").options(**_TIMES).json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_jsonl has written; lines that aren't JSON are left out, fields that the schema doesn't name too."""
+    rows = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").options(**_TIMES).json(path)
+    return rows.where("_broken IS NULL").drop("_broken")
 
 
 def trend_lines(trend: DataFrame) -> DataFrame:

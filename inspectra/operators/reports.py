@@ -18,6 +18,12 @@ def between(incidents: DataFrame, start: str, end: str) -> DataFrame:
     return incidents.where(F.col("created_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
+def details(incidents: DataFrame, end: str, start: str | None = None, days: int = 30) -> DataFrame:
+    """The incidents of a period, newest first; without a start it is the `days` before its end."""
+    begin = F.lit(start).cast("timestamp_ntz") if start else F.lit(end).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days")
+    return incidents.where((F.col("created_at") >= begin) & (F.col("created_at") <= F.lit(end).cast("timestamp_ntz"))).orderBy(F.desc("created_at"), "id")
+
+
 def _share(n: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(n / total * 100, 1)).otherwise(0.0)
 

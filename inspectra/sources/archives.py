@@ -9,7 +9,7 @@ its numbers from the root down, and files and bytes before it are window sums ov
 limit ends its root's walk: what comes before it counts, it is an error row, what follows is dropped. Levels that aren't
 unfolded yet can only add to the sums, so what a level drops would never have been reached.
 
-Edge cases: null and empty contents are files as they are; a member that can't be read is an error row, counts with the size its archive says,
+Edge cases: null and empty contents are files as they are; so are office documents, by their names; a member that can't be read is an error row, counts with the size its archive says,
 and later members of that archive are dropped; an archive that can't be read, 7z and RAR are error rows; paths that leave the archive, links and
 devices are error rows and don't count; equal rows need keys of their own.
 """
@@ -25,14 +25,16 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from email import message_from_bytes, policy
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.sources.files import MOST_DEPTH, MOST_FILES, MOST_RATIO, MOST_TOTAL, archive_kind, extracted, safe_member
+from inspectra.sources.messages import mail_parts
 from inspectra.storage import kept
 
 _MEMBER = "struct<name:string,size:long,packed:long,method:int,crc:long,data:binary,error:string>"
@@ -142,6 +144,11 @@ def _base(path):  # noqa: ANN001, ANN202
     return F.regexp_extract(path, r"[^/\\]*$", 0)
 
 
+def _kind(content: Column, entry: Column) -> Column:
+    """The kind of archive; office documents, which are ZIP files too, are read as documents."""
+    return F.when(~F.lower(entry).rlike(r"\.(docx|xlsx|pptx)$"), archive_kind(content, entry))
+
+
 def _ends(known: DataFrame, limits: Limits) -> DataFrame:
     """root, end (the place where the root's walk ends) and reason, of the roots that go beyond a limit."""
     before = Window.partitionBy("root").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,7 +179,7 @@ def unfold(files: DataFrame, limits: Limits | None = None, key_col: str = "path"
 
     name = _base(F.col(name_col or key_col).cast("string"))
     rows = files.select(F.col(key_col).alias("root"), F.array().cast("array<int>").alias("place"), name.alias("entry"), F.col(content_col).alias("content"), F.lit(None).cast("string").alias("error"))
-    opened = [rows.withColumn("kind", archive_kind(F.col("content"), F.col("entry")))]
+    opened = [rows.withColumn("kind", _kind(F.col("content"), F.col("entry")))]
     known = None
     for _ in range(limits.depth + 1):
         inside = opened[-1].where("kind IS NOT NULL AND error IS NULL")
@@ -189,7 +196,7 @@ def unfold(files: DataFrame, limits: Limits | None = None, key_col: str = "path"
         packed = listed.where("data IS NOT NULL").select("root", "place", "entry", "data", "method", "size", "crc")
         got = packed.join(open_now, ["root", "place"]).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "place")
         got = got.select("root", "place", "entry", _unpacked("data", "method", "size", "crc").alias("u")).select("root", "place", "entry", "u.content", F.when(F.col("u.error").isNotNull(), F.concat(F.lit("Failed to extract "), "entry", F.lit(": "), "u.error")).alias("error"))
-        got = got.withColumn("kind", F.when(F.col("error").isNull(), archive_kind(F.col("content"), F.col("entry"))))
+        got = got.withColumn("kind", F.when(F.col("error").isNull(), _kind(F.col("content"), F.col("entry"))))
         got = kept(got, "unpacked")
         parent, last = F.slice("place", 1, F.size("place") - 1), F.element_at("place", -1)
         broken = got.where("error IS NOT NULL").groupBy("root", parent.alias("parent")).agg(F.min(last).alias("last"))
@@ -216,3 +223,32 @@ def archive_components(files: DataFrame, limits: Limits | None = None, key_col:
     parts = rows.select(F.col("root").cast("string").alias("message_id"), "place", F.posexplode(F.when(F.col("error").isNotNull(), wrong).otherwise(found)).alias("i", "p"))
     number = F.row_number().over(Window.partitionBy("message_id").orderBy("place", "i")) - 1
     return parts.select("message_id", number.cast("int").alias("component_idx"), "p.component_type", "p.component_name", "p.content")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])))
+def _attached(raw: pd.Series) -> pd.Series:
+    """Names and bytes of a mail's attachments; a mail that is attached is one file."""
+
+    def of(mail: bytes | None) -> list[dict]:
+        out = []
+        for p in message_from_bytes(bytes(mail), policy=policy.default).walk() if mail is not None else ():
+            name = p.get_filename()
+            if not p.is_multipart() and (name or p.get_content_disposition() == "attachment"):
+                out.append({"name": name or "attachment", "content": p.get_payload(decode=True) or b""})
+        return out
+
+    return raw.map(of)
+
+
+def mail_components(mails: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Components of mails (mail_id, raw) whose attachments are inspected as files: office documents are read, archives unfolded."""
+    texts = mails.select(F.col("mail_id").cast("string").alias("message_id"), F.posexplode(mail_parts("raw")).alias("n", "p")).where("p.component_type <> 'attachment'")
+    own = texts.select("message_id", F.lit(-1).alias("file"), F.array("n").alias("place"), F.lit(0).alias("i"), "p.component_type", "p.component_name", "p.content")
+    files = mails.select(F.col("mail_id").cast("string").alias("message_id"), F.posexplode(_attached("raw")).alias("file", "a")).select(F.struct("message_id", "file").alias("key"), F.col("a.name").alias("name"), F.col("a.content").alias("content"))
+    rows = unfold(files, limits, "key", "content", "name")
+    text = F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit("generic").alias("component_type"), F.col("entry").alias("component_name"), F.concat(F.lit("["), "error", F.lit("]")).alias("content")))).otherwise(
+        F.transform(extracted(F.col("content"), _base(F.col("entry"))), lambda p: F.struct(F.when(p["component_type"] == "body", "attachment").otherwise(p["component_type"]).alias("component_type"), F.col("entry").alias("component_name"), p["content"].alias("content")))
+    )
+    held = rows.select("root.message_id", "root.file", "place", F.posexplode(text).alias("i", "p")).select("message_id", "file", "place", "i", "p.component_type", "p.component_name", "p.content")
+    number = F.row_number().over(Window.partitionBy("message_id").orderBy("file", "place", "i")) - 1
+    return own.unionByName(held).where("content <> ''").select("message_id", number.cast("int").alias("component_idx"), "component_type", "component_name", "content")
