@@ -31,14 +31,13 @@ def brute(seen, kept, threshold):
     return sorted((s[0], e[0], score(s[1], e[1])) for s in seen for e in kept if score(s[1], e[1]) >= threshold)
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.84])
-def test_adds_and_removes(spark, tmp_path, threshold):
-    rng = random.Random(3)
+def test_adds_and_removes(spark, tmp_path):
+    rng, threshold = random.Random(3), 0.84
     store, have = FingerprintStore(spark, f"file://{tmp_path / 'index'}", threshold, shards=3), {}
     assert store.load().count() == 0
     store.remove(spark.createDataFrame([(1,)], "fingerprint_id long"))
-    for batch in range(3):
-        new = entries(rng, 40, 30 * batch)  # overlaps with the batch before: those are replaced
+    for batch in range(2):
+        new = entries(rng, 60, 45 * batch)  # overlaps with the batch before: those are replaced
         store.add(spark.createDataFrame([*new, (None, 5, 5, "x"), (7777, None, 5, "x")], SCHEMA), batch)
         have |= {e[0]: e for e in new}
         gone = rng.sample(sorted(have), 8)
