@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inspectra.schema import SEVERITIES
+from inspectra.storage import kept
 
 SUMMARY_FIELDS = ("severity", "policy_name", "channel", "status", "source_type", "user")
 #: Weights of severities in a user's risk, their decay for each day, and the raw score that counts as 100.
@@ -133,4 +134,25 @@ def rates(events: DataFrame, by: str, minutes: int = 5, ts: str = "ts") -> DataF
 
 
 def latency_quantiles(events: DataFrame, by: str, value: str, q: float = 0.95) -> DataFrame:
-    return events.groupBy(by).agg(F.percentile(value, F.lit(q)).alias("quantile"), F.count("*").alias("n"))
+    """by, the exact quantile of the values that aren't null (between neighbours in proportion; null if there are none), and n of all rows.
+
+    Values are dealt by ranges of (group, value), so that a large group is several segments; the segments' running counts, a row for
+    each, say in which the wanted places lie, and only those segments are numbered.
+    """
+    n_ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").withColumn("_salt", F.monotonically_increasing_id())
+    dealt = kept(rows.repartitionByRange(n_ranges, "_by", "_v", "_salt").withColumn("_segment", F.spark_partition_id()), "quantiles")
+    counts = dealt.groupBy("_by", "_segment").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("_by").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("*", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), (F.lit(q) * (F.sum("m").over(Window.partitionBy("_by")) - 1)).alias("at"))
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("m"))
+    wanted = placed.where(holds(F.floor("at")) | holds(F.ceil("at")))
+    nth = F.row_number().over(Window.partitionBy("_by", "_segment").orderBy("_v", "_salt")) - 1
+    wanted = wanted.select(F.col("_by").alias("_g"), F.col("_segment").alias("_s"), "before", "at")  # two segments of each group at most
+    seen = dealt.join(wanted, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_segment") == F.col("_s")))
+    ranked = seen.withColumn("rank", F.col("before") + nth)
+    low, high = F.max(F.when(F.col("rank") == F.floor("at"), F.col("_v"))), F.max(F.when(F.col("rank") == F.ceil("at"), F.col("_v")))
+    ends = ranked.groupBy("_by").agg(low.alias("low"), high.alias("high"), F.max("at").alias("at"))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    found = ends.select("_by", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("quantile"))
+    return events.groupBy(by).agg(F.count("*").alias("n")).join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "quantile", "n")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inspectra.operators.incidents import history, previously_flagged
+from inspectra.operators.reports import latency_quantiles
 from inspectra.operators.segmented import last_before
 
 
@@ -41,3 +42,14 @@ def test_users_of_it(spark):
     seen = lambda rows: spark.createDataFrame(rows, "id long, user string, created_at int")
     got = previously_flagged(seen([(1, "u", 5), (2, "u", 1), (3, None, 9), (4, "w", 3)]), seen([(9, "u", 2), (8, "u", 5), (7, "u", 6)]))
     assert sorted(map(tuple, got.collect())) == [(1, "u", 5, 8), (2, "u", 1, None), (4, "w", 3, None)]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_exact_quantiles(spark, q):
+    rng = random.Random(14)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, 1.0, rng.random(), rng.random()])) for _ in range(700)] + [("none", None), ("one", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r.g: (r.x, r.n) for r in df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("x"), F.count("*").alias("n")).collect()}
+    got = {r.g: (r.quantile, r.n) for r in latency_quantiles(df, "g", "v", q).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[g][1] == want[g][1] and got[g][0] == (want[g][0] if want[g][0] is None else pytest.approx(want[g][0], abs=1e-12)) for g in want)
