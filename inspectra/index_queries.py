@@ -16,7 +16,7 @@ from inspectra.operators.lifecycle import cascade, fold_states
 from inspectra.operators.paging import PagedList
 from inspectra.operators.risk_store import RiskStore
 from inspectra.operators.search_index import SearchIndex, global_search
-from inspectra.plans.policy import Condition, Group
+from inspectra.plans.policy import Condition, Group, serialized, stored_rows
 from inspectra.plans.trees import And, Leaf, Not, Or, TreePolicy, evaluate_trees
 from inspectra.queries import _CELLS, _DOCS, _INCIDENTS, ORACLE_SQL, REFERENCE, _conversation_matches, _pattern_sql, conversation_messages, derived, documents, query, table
 from inspectra.sources import archives
@@ -286,3 +286,27 @@ def report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     export.write_jsonl(derived(spark, sf_dir), path)
     rows = export.read_jsonl(spark, path, "id long, severity string, user string, match_count int, created_at timestamp_ntz")
     return reports.details(rows, REFERENCE)
+
+
+@query(
+    """WITH c AS (SELECT o_custkey AS rule_id, list({condition_type: o_orderstatus, component: 'body', config_json: '{"n":' || o_orderkey || '}'} ORDER BY o_orderstatus, '{"n":' || o_orderkey || '}') AS conditions FROM orders GROUP BY 1),
+    r AS (SELECT c_nationkey AS policy_id, list({rule_id: CAST(c_custkey AS VARCHAR), name: c_name, conditions: coalesce(conditions, [])} ORDER BY c_custkey) AS rules FROM customer LEFT JOIN c ON c_custkey = rule_id GROUP BY 1)
+    SELECT CAST(n_nationkey AS VARCHAR) AS policy_id, CAST(to_json({policy_id: CAST(n_nationkey AS VARCHAR), name: n_name, description: '', severity: ['high', 'medium', 'low'][n_nationkey % 3 + 1], status: 'active', detection_rules: coalesce(rules, [])}) AS VARCHAR) AS definition
+    FROM nation LEFT JOIN r ON n_nationkey = policy_id WHERE n_nationkey % 4 > 0"""
+)
+def policies_serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies in force with their rules and conditions as JSON text; an unknown severity is medium."""
+    n = F.col("n_nationkey")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    policies = table(spark, sf_dir, "nation").select(n.alias("id"), F.col("n_name").alias("name"), F.when(n % 4 > 0, "active").otherwise("draft").alias("status"), pick("high", "odd", "low").alias("severity"), F.lit(False).alias("is_template"), F.lit(1).alias("version"))
+    rules = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("policy_id"), F.col("c_name").alias("name"))
+    config = F.concat(F.lit('{"n":'), F.col("o_orderkey").cast("string"), F.lit("}"))
+    conditions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rule_id"), F.col("o_orderstatus").alias("condition_type"), F.lit("body").alias("component"), config.alias("config"))
+    return serialized(stored_rows(policies, rules, conditions))
+
+
+@query("SELECT 'incidents' AS table_name, count(*) AS row_count FROM events UNION ALL SELECT 'incidents_archive', count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' UNION ALL SELECT 'documents', count(*) FROM documents")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table."""
+    rows = derived(spark, sf_dir)
+    return reports.table_stats({"incidents": rows, "incidents_archive": rows.where("created_at < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), "documents": table(spark, sf_dir, "documents")})

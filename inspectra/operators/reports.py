@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,12 @@ def status_counts(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFr
     return df.agg(F.count("*").alias("total"), *[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
+def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name and row_count of each table."""
+    counts = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def rates(events: DataFrame, by: str, minutes: int = 5, ts: str = "ts") -> DataFrame:
     """Events a second in windows of so many minutes."""
     w = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")

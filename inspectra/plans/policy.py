@@ -266,6 +266,22 @@ def stored_rows(policies: DataFrame, rules: DataFrame, conditions: DataFrame) ->
     return newest.where("status = 'active' AND NOT is_template").join(nested.withColumnRenamed("policy_id", "id"), "id", "left").withColumn("severity", F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("medium"))
 
 
+def serialized(rows: DataFrame) -> DataFrame:
+    """policy_id and definition: the nested rows of stored_rows as JSON text, as agents get them.
+
+    Rules come by id, conditions by type, component and configuration, which is text in the text ({} if there is none); a missing description is empty.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    condition = lambda c: F.struct(c["condition_type"].alias("condition_type"), c["component"].alias("component"), F.coalesce(c["config"], F.lit("{}")).alias("config_json"))
+    none = F.array().cast("array<struct<condition_type:string,component:string,config_json:string>>")
+    conditions = lambda r: F.coalesce(F.array_sort(F.transform(r["conditions"], condition)), none)
+    rules = F.transform("rules", lambda r: F.struct(text(r["rule_id"]).alias("rule_id"), text(r["name"]).alias("name"), conditions(r).alias("conditions")))
+    described = text(F.col("description")) if "description" in rows.columns else F.lit("")
+    empty = F.array().cast("array<struct<rule_id:string,name:string,conditions:array<struct<condition_type:string,component:string,config_json:string>>>>")
+    parts = F.struct(text(F.col("id")).alias("policy_id"), text(F.col("name")).alias("name"), described.alias("description"), "severity", "status", F.coalesce(rules, empty).alias("detection_rules"))
+    return rows.select(text(F.col("id")).alias("policy_id"), F.to_json(parts).alias("definition"))
+
+
 def edited(stored: dict, **changes: object) -> dict:
     """A stored policy with what is not None changed; the original stays as it is."""
     import copy

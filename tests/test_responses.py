@@ -2,9 +2,11 @@
 
 import email.message
 import io
+import json
 import zipfile
 
 from inspectra.operators import export, reports, responses
+from inspectra.plans.policy import serialized
 from inspectra.sources.archives import mail_components
 
 COMMANDS = "command_id long, incident_id long, at int, action string, content string, status string, recipient string, subject string, reason string"
@@ -64,3 +66,15 @@ def test_attachments_are_inspected_as_files(spark):
         ("subject", "subject", "s"), ("body", "body", "the body"), ("attachment", "files.zip/d.docx", "in the document"), ("attachment", "files.zip/t.txt", "in the archive"), ("attachment", "files.zip/n.zip/deep.txt", "deeper"), ("attachment", "p.txt", "plain text"),
     ]
     assert mail_components(mails.where("mail_id = 2")).count() == 0
+
+
+def test_policies_as_text(spark):
+    rule = "struct<rule_id:long,name:string,conditions:array<struct<condition_type:string,component:string,config:string>>>"
+    rows = [(1, "a", "high", "active", [(7, "r", [("regex", "body", '{"p": "x\\"y"}'), ("keyword", "body", None)]), (8, None, None)]), (2, None, "medium", "active", None)]
+    got = {r.policy_id: json.loads(r.definition) for r in serialized(spark.createDataFrame(rows, f"id long, name string, severity string, status string, rules array<{rule}>")).collect()}
+    conditions = [{"condition_type": "keyword", "component": "body", "config_json": "{}"}, {"condition_type": "regex", "component": "body", "config_json": '{"p": "x\\"y"}'}]
+    head = {"description": "", "status": "active"}
+    assert got == {
+        "1": head | {"policy_id": "1", "name": "a", "severity": "high", "detection_rules": [{"rule_id": "7", "name": "r", "conditions": conditions}, {"rule_id": "8", "name": "", "conditions": []}]},
+        "2": head | {"policy_id": "2", "name": "", "severity": "medium", "detection_rules": []},
+    }
