@@ -28,16 +28,16 @@ from dataclasses import dataclass
 from email import message_from_bytes, policy
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inspectra.functions.steps import each_in_steps
 from inspectra.sources.files import MOST_DEPTH, MOST_FILES, MOST_RATIO, MOST_TOTAL, archive_kind, extracted, safe_member
 from inspectra.sources.messages import mail_parts
 from inspectra.storage import kept
 
-_MEMBER = "struct<name:string,size:long,packed:long,method:int,crc:long,data:binary,error:string>"
+_MEMBER = T.StructType().add("name", "string").add("size", "long").add("packed", "long").add("method", "integer").add("crc", "long").add("data", "binary").add("error", "string")
 STORED, DEFLATED, BZIP2, LZMA = 0, 8, 12, 14
 _READ = 1 << 20
 
@@ -127,17 +127,15 @@ def unpack(data: bytes, method: int, size: int, crc: int | None) -> bytes:
     return raw
 
 
-@F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]))
-def _unpacked(data: pd.Series, method: pd.Series, size: pd.Series, crc: pd.Series) -> pd.DataFrame:
-    contents, errors = [], []
-    for d, m, s, c in zip(data, method, size, crc):
-        try:
-            contents.append(unpack(d, int(m), int(s), None if pd.isna(c) else int(c)))
-            errors.append(None)
-        except Exception as e:
-            contents.append(None)
-            errors.append(str(e))
-    return pd.DataFrame({"content": contents, "error": errors})
+def _unpacked_or_error(data: bytes, method: int, size: int, crc: int | None) -> dict:
+    try:
+        return {"content": unpack(data, method, size, crc), "error": None}
+    except Exception as e:
+        return {"content": None, "error": str(e)}
+
+
+#: Steps go by the sizes that the archives say.
+_unpacked = each_in_steps(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]), _unpacked_or_error, expected=2)
 
 
 def _base(path):  # noqa: ANN001, ANN202
@@ -173,10 +171,7 @@ def unfold(files: DataFrame, limits: Limits | None = None, key_col: str = "path"
     """
     limits = limits or Limits()
 
-    @F.pandas_udf(f"array<{_MEMBER}>")
-    def members(content: pd.Series, name: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([list_members(c, n, k, limits) for c, n, k in zip(content, name, kind)])
-
+    members = each_in_steps(T.ArrayType(_MEMBER), lambda content, name, kind: list_members(content, name, kind, limits))
     name = _base(F.col(name_col or key_col).cast("string"))
     rows = files.select(F.col(key_col).alias("root"), F.array().cast("array<int>").alias("place"), name.alias("entry"), F.col(content_col).alias("content"), F.lit(None).cast("string").alias("error"))
     opened = [rows.withColumn("kind", _kind(F.col("content"), F.col("entry")))]
@@ -225,19 +220,17 @@ def archive_components(files: DataFrame, limits: Limits | None = None, key_col:
     return parts.select("message_id", number.cast("int").alias("component_idx"), "p.component_type", "p.component_name", "p.content")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])))
-def _attached(raw: pd.Series) -> pd.Series:
+def _attachments(mail: bytes | None) -> list[dict]:
     """Names and bytes of a mail's attachments; a mail that is attached is one file."""
+    out = []
+    for p in message_from_bytes(mail, policy=policy.default).walk() if mail is not None else ():
+        name = p.get_filename()
+        if not p.is_multipart() and (name or p.get_content_disposition() == "attachment"):
+            out.append({"name": name or "attachment", "content": p.get_payload(decode=True) or b""})
+    return out
 
-    def of(mail: bytes | None) -> list[dict]:
-        out = []
-        for p in message_from_bytes(bytes(mail), policy=policy.default).walk() if mail is not None else ():
-            name = p.get_filename()
-            if not p.is_multipart() and (name or p.get_content_disposition() == "attachment"):
-                out.append({"name": name or "attachment", "content": p.get_payload(decode=True) or b""})
-        return out
 
-    return raw.map(of)
+_attached = each_in_steps(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])), _attachments)
 
 
 def mail_components(mails: DataFrame, limits: Limits | None = None) -> DataFrame:
