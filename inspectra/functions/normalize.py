@@ -5,14 +5,14 @@ from __future__ import annotations
 import base64
 import html
 import re
-from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inspectra.functions.steps import each_in_steps
+
 MOST_PASSES = 5
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
 LEAST_PRINTABLE = 0.8
@@ -44,17 +44,15 @@ def variant_list(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def variants(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(variant_list)
+variants = each_in_steps(T.ArrayType(T.StringType()), variant_list)
 
 
 def with_variants(components: DataFrame) -> DataFrame:
     """Components, and one more of the same type for each decoded variant of a body, an attachment or a subject."""
-    decoded = components.where(F.col("component_type").isin("body", "attachment", "subject")).withColumn("v", variants("content"))
-    more = decoded.select("*", F.posexplode("v").alias("n", "decoded")).where("n > 0").withColumn("content", F.col("decoded"))
-    return components.withColumn("normalized", F.lit(False)).unionByName(more.drop("v", "n", "decoded").withColumn("normalized", F.lit(True)))
+    decoded = components.where(F.col("component_type").isin("body", "attachment", "subject"))
+    # inside the generator: of a column of its own the optimizer would make a filter that calls the UDF once more
+    more = decoded.select("*", F.posexplode(variants("content")).alias("n", "decoded")).where("n > 0").withColumn("content", F.col("decoded"))
+    return components.withColumn("normalized", F.lit(False)).unionByName(more.drop("n", "decoded").withColumn("normalized", F.lit(True)))
 
 
 def fingerprint_text(text: Column) -> Column:

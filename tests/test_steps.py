@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inspectra.functions import steps
+from inspectra.functions import normalize, steps
 from inspectra.sources import archives
 
 TEXT = "some words of no use, and a token%20of them; " * 50
@@ -44,3 +44,14 @@ def test_members_of_archives_are_unpacked_in_steps():
     data = deflate.compress(raw) + deflate.flush()
     got = in_parts(archives._unpacked, pa.array([data] * 40), pa.array([archives.DEFLATED] * 40), pa.array([len(raw)] * 40), pa.array([None, zlib.crc32(raw)] * 19 + [1, 2], pa.int64()))
     assert [g["content"] == raw and g["error"] is None for g in got] == [True] * 38 + [False] * 2 and got[-1] == {"content": None, "error": "damaged"}
+
+
+def test_variants_are_made_in_steps():
+    assert in_parts(normalize.variants, pa.array([TEXT, None] * 2_000)) == [normalize.variant_list(TEXT), []] * 2_000
+
+
+def test_variants_are_made_once(spark):
+    parts = spark.createDataFrame([("a", "body", "x%20y"), ("b", "envelope", "x%20y")], "message_id string, component_type string, content string")
+    got = normalize.with_variants(parts)
+    assert sorted(map(tuple, got.collect())) == [("a", "body", "x y", True), ("a", "body", "x%20y", False), ("b", "envelope", "x%20y", False)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
