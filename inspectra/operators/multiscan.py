@@ -11,17 +11,18 @@ may match, not with the number of patterns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 from itertools import product
 from re import _constants as C  # the standard library's parser of regular expressions, whose syntax holds RE2's common part
 from re import _parser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inspectra.functions.patterns import java, spans
+from inspectra.functions.steps import in_steps
 from inspectra.operators.scan import targeted
 from inspectra.schema import MATCH_COLUMNS
 
@@ -30,7 +31,6 @@ MOST_LITERALS, MOST_LENGTH, MOST_CLASS = 32, 24, 10
 GRAM = 5
 #: Patterns whose matches may be longer are tried on whole texts; characters beside a match that anchors may look at.
 MOST_WIDTH, BESIDE = 500, 2
-STEP_CHARS = 1_000_000
 #: What Python's parser reads in another way than RE2 and Java do.
 UNLIKE = re.compile(r"\[\[:|\\[QEpPhHRXGCzZkKvVNu]|&&|\(\?[a-zA-Z]*[xU]|\[[^\]]*\[")
 #: Between texts: no character.
@@ -239,24 +239,19 @@ class LiteralIndex:
         return [sorted({p for p, _, _ in x}) for x in self.pieces(texts)]
 
 
-def with_pieces(components: DataFrame, patterns: list[str], column: str = "content") -> DataFrame:
-    """components with _pieces: what the patterns are to be tried on, as (pattern, at, text; null for the whole)."""
+def pieces_of(patterns: list[str]) -> Callable:
+    """A UDF of texts: what the patterns are to be tried on, as (pattern, at, text; null for the whole)."""
 
-    @F.pandas_udf("array<struct<pattern:int,at:int,text:string>>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start() -> Callable[[list], list]:
         index = LiteralIndex(patterns)
-        for s in batches:
-            texts, out, at = s.fillna("").tolist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < STEP_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                out += [[{"pattern": p, "at": a, "text": None if z < 0 else t[a:z]} for p, a, z in x] for t, x in zip(texts[at:end], index.pieces(texts[at:end]))]
-                at = end
-            yield pd.Series(out, index=s.index, dtype=object)
 
-    return components.withColumn("_pieces", pieces(F.col(column)))
+        def pieces(column: list[str | None]) -> list[list[dict]]:
+            texts = [t or "" for t in column]
+            return [[{"pattern": p, "at": a, "text": None if z < 0 else t[a:z]} for p, a, z in x] for t, x in zip(texts, index.pieces(texts))]
+
+        return pieces
+
+    return in_steps(T.ArrayType(T.StructType().add("pattern", "integer").add("at", "integer").add("text", "string")), start)
 
 
 def scan_many(components: DataFrame, patterns: dict[str, str], types: Iterable[str] | None = None, analyzer: str = "regex") -> DataFrame:
@@ -264,7 +259,8 @@ def scan_many(components: DataFrame, patterns: dict[str, str], types: Iterable[s
     some = targeted(components, types).where(F.coalesce(F.col("content"), F.lit("")) != "")
     named = some.sparkSession.createDataFrame([(i, n, java(p)) for i, (n, p) in enumerate(patterns.items())], "_pattern int, rule_name string, _regex string")
     key = ("message_id", "component_idx", "component_type", "component_name")
-    tried = with_pieces(some.select(*key, "content"), list(patterns.values())).select(*key, "content", F.explode("_pieces").alias("p"))
+    # inside the generator: of a column of its own the optimizer would make a filter that calls the UDF once more
+    tried = some.select(*key, "content", F.explode(pieces_of(list(patterns.values()))("content")).alias("p"))
     tried = tried.select(*key, F.coalesce("p.text", "content").alias("_text"), "p.at", F.col("p.pattern").alias("_pattern"))
     # a table of patterns, not of data
     hits = tried.join(F.broadcast(named), "_pattern").select(*key, "rule_name", "at", F.explode(spans(F.col("_text"), F.col("_regex"))).alias("s"))

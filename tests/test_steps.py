@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.functions import normalize, steps
+from inspectra.operators import multiscan
 from inspectra.sources import archives
 
 TEXT = "some words of no use, and a token%20of them; " * 50
@@ -55,3 +56,11 @@ def test_variants_are_made_once(spark):
     got = normalize.with_variants(parts)
     assert sorted(map(tuple, got.collect())) == [("a", "body", "x y", True), ("a", "body", "x%20y", False), ("b", "envelope", "x%20y", False)]
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_places_of_patterns_are_found_in_steps(spark):
+    got = in_parts(multiscan.pieces_of([r"token%\d+", "nothing"]), pa.array([TEXT, None] * 1_000))
+    assert got[1] == [] and got[0] and got == got[:2] * 1_000
+    found = multiscan.scan_many(spark.createDataFrame([("a", 0, "body", "body", TEXT)], "message_id string, component_idx int, component_type string, component_name string, content string"), {"t": r"token%\d+"})
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.count() == 50
