@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inspectra.functions.patterns import java, keyword, spans
+from inspectra.functions.steps import in_steps
 from inspectra.functions.validators import validator
 from inspectra.plans.catalog import IDENTIFIERS, Identifier
 from inspectra.schema import MATCH_COLUMNS, MATCHES
@@ -99,10 +100,9 @@ def scan_large_dictionary(components: DataFrame, dictionary: str, words: Iterabl
     """
     asked = [(w, case_sensitive, whole_word) if isinstance(w, str) else w for w in words]
     kept = {_folded(w): (w, cased, whole) for w, cased, whole in asked if w}
-    fields = "array<struct<rule_name:string,matched_text:string,start_offset:int,end_offset:int>>"
+    fields = T.StructType().add("rule_name", "string").add("matched_text", "string").add("start_offset", "integer").add("end_offset", "integer")
 
-    @F.pandas_udf(fields)
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start() -> Callable[[list], list]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -121,9 +121,9 @@ def scan_large_dictionary(components: DataFrame, dictionary: str, words: Iterabl
                     out.append({"rule_name": f"{dictionary}:{w}", "matched_text": text[a:z], "start_offset": a, "end_offset": z})
             return out
 
-        for texts in batches:
-            yield texts.map(find)
+        return lambda texts: list(map(find, texts))
 
+    hits = in_steps(T.ArrayType(fields), start)
     rows = components.select("message_id", "component_idx", "component_type", "component_name", F.explode(hits("content")).alias("hit"))
     return rows.select("message_id", "component_idx", "component_type", "component_name", F.lit("keyword").alias("analyzer_name"), "hit.*", F.lit(1.0).alias("confidence")).select(*MATCH_COLUMNS)
 

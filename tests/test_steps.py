@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.functions import normalize, steps
-from inspectra.operators import multiscan
+from inspectra.operators import multiscan, scan
 from inspectra.sources import archives
 
 TEXT = "some words of no use, and a token%20of them; " * 50
@@ -64,3 +64,11 @@ def test_places_of_patterns_are_found_in_steps(spark):
     found = multiscan.scan_many(spark.createDataFrame([("a", 0, "body", "body", TEXT)], "message_id string, component_idx int, component_type string, component_name string, content string"), {"t": r"token%\d+"})
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert found.count() == 50
+
+
+def test_dictionary_hits_are_found_in_steps(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(scan, "in_steps", lambda *a: made.append(steps.in_steps(*a)) or made[-1])
+    scan.scan_large_dictionary(spark.createDataFrame([], "message_id string, component_idx int, component_type string, component_name string, content string"), "d", ["token", "use"], False, False)
+    got = in_parts(made[0], pa.array([TEXT, None] * 1_000))
+    assert len(got[0]) == 100 and got[0][0] == {"rule_name": "d:use", "matched_text": "use", "start_offset": 17, "end_offset": 20} and got == [got[0], []] * 1_000
