@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from inspectra.functions import normalize, steps
 from inspectra.operators import multiscan, scan
-from inspectra.sources import archives
+from inspectra.sources import archives, files
 
 TEXT = "some words of no use, and a token%20of them; " * 50
 
@@ -72,3 +72,10 @@ def test_dictionary_hits_are_found_in_steps(spark, monkeypatch):
     scan.scan_large_dictionary(spark.createDataFrame([], "message_id string, component_idx int, component_type string, component_name string, content string"), "d", ["token", "use"], False, False)
     got = in_parts(made[0], pa.array([TEXT, None] * 1_000))
     assert len(got[0]) == 100 and got[0][0] == {"rule_name": "d:use", "matched_text": "use", "start_offset": 17, "end_offset": 20} and got == [got[0], []] * 1_000
+
+
+def test_pages_and_files_are_read_in_steps():
+    page = "<p>one</p><script>two</script>" + "three " * 200
+    assert in_parts(files.html_text, pa.array([page, None] * 1_000)) == [files.html_to_text(page), None] * 1_000
+    got = in_parts(files.extracted, pa.array([page.encode(), None] * 1_000), pa.array(["a.html", "b.txt"] * 1_000))
+    assert got == [files.extract(page.encode(), "a.html"), []] * 1_000
