@@ -17,6 +17,8 @@ from inspectra.plans.catalog import IDENTIFIERS, Identifier
 from inspectra.schema import MATCH_COLUMNS, MATCHES
 
 WORD_TOKENS = r"[\p{L}\p{N}_]+"
+#: Letters that a pattern without regard to case takes for ASCII letters, or the other way round, and lower case doesn't.
+ODD = "[\u017f\u0130\u0131]"
 
 
 def targeted(components: DataFrame, types: Iterable[str] | None) -> DataFrame:
@@ -34,6 +36,7 @@ class Probe:
     confidence: float = 1.0
     check: Callable[[Column], Column] | None = None
     needs: Callable[[Column], Column] | None = None  # a cheap test that every text with a match passes
+    word: str | None = None  # in lower case: what each text with a match holds in lower case, or it holds one of ODD
 
 
 def run_probes(components: DataFrame, probes: list[Probe], types: Iterable[str] | None = None) -> DataFrame:
@@ -41,13 +44,20 @@ def run_probes(components: DataFrame, probes: list[Probe], types: Iterable[str]
     text = F.col("content")
 
     def hits_of(p: Probe) -> Column:
-        found = spans(text, p.pattern, None if p.needs is None else p.needs(text))
+        needs = None if p.needs is None else p.needs(text)
+        if p.word is not None:
+            may = F.col("_lower").contains(p.word) | F.col("_odd")
+            needs = may if needs is None else needs & may
+        found = spans(text, p.pattern, needs)
         found = found if p.check is None else F.filter(found, lambda s: p.check(s["text"]))
         name = (F.lit(p.analyzer).alias("analyzer_name"), F.lit(p.rule).alias("rule_name"))
         return F.transform(found, lambda s: F.struct(*name, s["text"].alias("matched_text"), s["start"].alias("start_offset"), s["end"].alias("end_offset"), F.lit(float(p.confidence)).alias("confidence")))
 
     hits = [hits_of(p) for p in probes]
     some = targeted(components, types).where(F.col("content").isNotNull() & (F.col("content") != ""))
+    if any(p.word is not None for p in probes):
+        # columns of their own, so that a text is put in lower case once and not for each word
+        some = some.withColumns({"_lower": F.lower(text), "_odd": text.rlike(ODD)})
     rows = some.select("message_id", "component_idx", "component_type", "component_name", F.explode(F.concat(*hits) if len(hits) > 1 else hits[0]).alias("hit"))
     return rows.select("message_id", "component_idx", "component_type", "component_name", "hit.*").select(*MATCH_COLUMNS)
 
@@ -62,17 +72,17 @@ def identifier_probes(identifiers: Iterable[Identifier] = IDENTIFIERS, analyzer:
     return [Probe(analyzer, i.name, java(p), i.confidence, validator(i.validator, custom) if i.validator else None, holds(i.needs)) for i in identifiers for p in i.patterns]
 
 
-def _holds_word(word: str, case_sensitive: bool) -> Callable[[Column], Column] | None:
-    """A test that texts with the word pass. Lower case is that of the pattern but for the letters named here."""
-    if case_sensitive:
-        return lambda text: text.contains(word)
-    return (lambda text: F.lower(text).contains(word.lower()) | text.rlike("[\u017f\u0130\u0131]")) if word.isascii() else None
-
-
 def keyword_probes(dictionary: str, words: Iterable[str], case_sensitive: bool = False, whole_word: bool = True, analyzer: str = "keyword") -> list[Probe]:
     """One probe for each word; hits of different words may overlap. Words that are equal but for case count once, the last."""
     kept = {w if case_sensitive else w.lower(): w for w in words if w}
-    return [Probe(analyzer, f"{dictionary}:{w}", keyword(w, whole_word, case_sensitive), needs=_holds_word(w, case_sensitive)) for w in kept.values()]
+
+    def probe(w: str) -> Probe:
+        pattern = keyword(w, whole_word, case_sensitive)
+        if case_sensitive:
+            return Probe(analyzer, f"{dictionary}:{w}", pattern, needs=lambda text: text.contains(w))
+        return Probe(analyzer, f"{dictionary}:{w}", pattern, word=w.lower() if w.isascii() else None)
+
+    return [probe(w) for w in kept.values()]
 
 
 def scan_regex(components: DataFrame, patterns: dict[str, str], types: Iterable[str] | None = None) -> DataFrame:

@@ -79,3 +79,11 @@ def test_pages_and_files_are_read_in_steps():
     assert in_parts(files.html_text, pa.array([page, None] * 1_000)) == [files.html_to_text(page), None] * 1_000
     got = in_parts(files.extracted, pa.array([page.encode(), None] * 1_000), pa.array(["a.html", "b.txt"] * 1_000))
     assert got == [files.extract(page.encode(), "a.html"), []] * 1_000
+
+
+def test_texts_are_put_in_lower_case_once_for_all_words(spark):
+    parts = spark.createDataFrame([("a", 0, "body", "body", "Mask, TOſS and masK; task"), ("b", 0, "body", "body", "no such word"), ("c", 0, "body", "body", None)], "message_id string, component_idx int, component_type string, component_name string, content string")
+    found = scan.scan_keywords(parts, "d", ["mask", "toss", "task", "été"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(content") == 1
+    assert sorted((r["matched_text"], r["start_offset"]) for r in found.collect()) == [("Mask", 0), ("TOſS", 6), ("masK", 15), ("task", 21)]
