@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +15,9 @@ from pyspark.sql import types as T
 from inspectra.functions.normalize import fingerprint_text
 
 SHINGLE, LEAST_CHARS, THRESHOLD = 4, 50, 0.40
-#: Characters hashed at a time; threshold from which bands select; fingerprints up to which one side is sent to all tasks (8 bytes each).
-STEP_CHARS, BANDED_FROM, SENT = 1_000_000, 0.75, 500_000
+#: Characters hashed at a time; threshold from which bands select; fingerprints up to which one side is sent to all tasks (8 bytes each);
+#: comparisons at a time.
+STEP_CHARS, BANDED_FROM, SENT, STEP_PAIRS = 100_000, 0.75, 500_000, 1_000_000
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -79,24 +82,32 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids, "fingerprint_id", "left_anti")
 
 
+def _within(hashes: np.ndarray, bits: int) -> Callable:
+    """A UDF of hashes: (i, differing) of the known hashes of which at most so many bits differ; none of a null; blocks of a million comparisons."""
+    pairs = pa.list_(pa.struct([("i", pa.int32()), ("differing", pa.int32())]))
+
+    def near(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = max(1, STEP_PAIRS // max(1, len(hashes)))
+        for batch in batches:
+            x, known = pc.fill_null(batch, 0).to_numpy(zero_copy_only=False).view(np.uint64), batch.is_valid().to_numpy(zero_copy_only=False)
+            for k in range(0, len(x), step):
+                differing = np.bitwise_count(x[k : k + step, None] ^ hashes)
+                row, i = np.nonzero((differing <= bits) & known[k : k + step, None])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(differing)))])
+                fields = [pa.array(i.astype(np.int32)), pa.array(differing[row, i].astype(np.int32))]
+                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(pairs.value_type)), pairs)
+
+    return F.arrow_udf(near, "array<struct<i:int,differing:int>>")
+
+
 def _compared(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """fingerprint_pairs for a right side of at most SENT rows, which goes to every task: each batch is compared with it in blocks."""
     known = right.select("fingerprint_id", "simhash").where("simhash IS NOT NULL").orderBy("fingerprint_id").toPandas()
     hashes, bits = known["simhash"].to_numpy(np.int64).view(np.uint64), int(64 * (1 - threshold) + 1e-9)
 
-    @F.pandas_udf("array<struct<i:int,differing:int>>")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            x, out = s.to_numpy(np.int64).view(np.uint64), []
-            step = max(1, 4_000_000 // max(1, len(hashes)))
-            for k in range(0, len(x), step):
-                differing = np.bitwise_count(x[k : k + step, None] ^ hashes)
-                for row in differing:
-                    i = np.flatnonzero(row <= bits)
-                    out.append([{"i": int(j), "differing": int(row[j])} for j in i])
-            yield pd.Series(out, index=s.index)
-
-    hit = left.where("simhash IS NOT NULL").select(F.col("fingerprint_id").alias("left_id"), F.explode(near("simhash")).alias("m"))
+    near = _within(hashes, bits)
+    # no filter of nulls, which would be computed by the UDF of the hashes once more
+    hit = left.select(F.col("fingerprint_id").alias("left_id"), F.explode(near("simhash")).alias("m"))
     numbered = left.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(len(known), dtype=np.int32), "right_id": known["fingerprint_id"]}), f"i int, right_id {right.schema['fingerprint_id'].dataType.simpleString()}")
     return hit.select("left_id", "m.i", (1 - F.col("m.differing") / 64.0).alias("score")).join(F.broadcast(numbered), "i").select("left_id", "right_id", "score")
 

@@ -2,12 +2,13 @@
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.functions import normalize, steps
-from inspectra.operators import multiscan, scan
+from inspectra.operators import fingerprint, multiscan, scan
 from inspectra.sources import archives, files
 
 TEXT = "some words of no use, and a token%20of them; " * 50
@@ -87,3 +88,15 @@ def test_texts_are_put_in_lower_case_once_for_all_words(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(content") == 1
     assert sorted((r["matched_text"], r["start_offset"]) for r in found.collect()) == [("Mask", 0), ("TOſS", 6), ("masK", 15), ("task", 21)]
+
+
+def test_near_hashes_come_in_steps_and_hashes_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "STEP_PAIRS", 12)
+    known = np.array([0, 0b111, -1], np.int64).view(np.uint64)
+    got = in_parts(fingerprint._within(known, 3), pa.array([0, None, 0b1, -1, 2**62] * 3, pa.int64()))
+    hit = lambda i, n: {"i": i, "differing": n}
+    assert got == [[hit(0, 0), hit(1, 3)], [], [hit(0, 1), hit(1, 2)], [hit(2, 0)], [hit(0, 1)]] * 3
+    index = fingerprint.build_index(spark.createDataFrame([(1, TEXT), (2, TEXT + "more"), (3, None)], "id long, text string"), "id", "text")
+    near = fingerprint.fingerprint_pairs(index, index, fingerprint.THRESHOLD)
+    assert near._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [simhash") == 1
+    assert {(r["left_id"], r["right_id"]) for r in near.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
