@@ -64,11 +64,14 @@ class SearchIndex:
         some = rows.select(self.key, *(F.col(c).cast("string").alias(c) for c in self.columns), F.lit(batch).alias("batch"))
         put = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.path}/{name}")
         put(some, "rows", "batch")
+        mine = lambda name, df: self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}").where(F.col("batch") == batch).withColumn("batch", F.lit(batch))
+        some = mine("rows", some)  # as written, not made again
         grams = F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in self.columns))))
         postings = some.select("*", F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-        # ranges, not hashes: a trigram that most rows have is spread over several tasks by their keys
-        put(postings.repartitionByRange("bucket", "gram", self.key).sortWithinPartitions("bucket", "gram", self.key), "postings", "bucket", "batch")
-        put(postings.groupBy("bucket", "gram").agg(F.count("*").alias("n")).withColumn("batch", F.lit(batch)), "counts", "bucket", "batch")
+        # rebalanced: a bucket with a trigram that most rows have is split over several tasks, and nothing is sampled before
+        put(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", self.key), "postings", "bucket", "batch")
+        # of the postings as written, where a trigram's rows are neighbours, not of all trigrams made again
+        put(mine("postings", postings).groupBy("bucket", "gram").agg(F.count("*").alias("n")).withColumn("batch", F.lit(batch)), "counts", "bucket", "batch")
 
     def _at(self, name: str, grams: list[str]) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/{name}")

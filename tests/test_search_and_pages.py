@@ -77,3 +77,20 @@ def test_an_empty_list(spark, tmp_path):
     pages = PagedList(spark, f"file://{tmp_path}/list", "n", "id")
     pages.write(spark.createDataFrame([], "id long, n int"), 4)
     assert pages.total() == 0 and pages.counts() == []
+
+
+def test_an_index_makes_its_rows_once(spark, tmp_path):
+    from inspectra.operators.search_index import SearchIndex
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def named(i):
+        seen.add(1)
+        return f"name {i}"
+
+    rows = spark.range(40).select("id", F.udf(named)("id").alias("name"), F.lit("same").alias("other"))
+    index = SearchIndex(spark, str(tmp_path / "index"), "id", ("name", "other"))
+    index.add(rows, 0)
+    index.add(rows.where("id < 0"), 1)
+    assert seen.value == 40
+    assert {r["id"] for r in index.find("ame 1").collect()} == {1, *range(10, 20)} and index.find("same").count() == 40
