@@ -15,14 +15,16 @@ LEAST_REST characters, the remaining groups go by what is left when any one char
 within one edit of each other, so the earliest stands for it. All groups thus stay bounded or cost as much as they have rows.
 Candidates are verified by Spark's banded edit distance (a bit-parallel one would need Python).
 
-Pairs within k > 1 edits (lines of 2 * CHARS_PER_EDIT characters or more): an edit touches at most two words, so four word
-triples, and near lines of more than 4k triples have one of each other's first 4k + 1 different triples in common, and m of the
-first 4k + m, if they have so many; longer triples, which are rarer, come first, then those of less hash. Lines
-of 4k triples or fewer give them all, and meet each other by k + 1 segments, looked for at each place that k edits can move them to in
-lines longer by 0 to k. First one shuffle of keys and hashes finds the lines that share COMMON keys (or as many as near
-lines must, if that is less) with other lines; only those are read again with their text. Keys that a sample of documents shows often are dealt to SALTS groups and taken to be
-shared. In hot groups all members first meet LEADERS early ones; only those that still have no earlier near line
-meet all that come before them. This is exact, but grows with the square of a group whose lines are not near each other.
+Pairs within k > 1 edits (lines of 2 * CHARS_PER_EDIT characters or more): a layout belongs to a range of lengths and has k + 1 cells of the
+range's least length / (k + 1) characters, the first half of them counted from the line's start, the others from its end. The shorter line's
+length gives the layout; a line that may be the longer one of another range has that layout too. Of k edits there are, for one cell, none in
+it and at most i in the i cells before it and k - i after, so that its text is found in the other line at a place moved by at most as
+many. What stands at each such place would be 41 keys for 9 cells; a key is therefore what begins at the place's first space, and places with the same
+one give one row (about 1.7 a cell). Lines without spaces give all. First one shuffle of keys and hashes finds the lines that share a key
+with another line; only those are read again with their text. Keys that a sample of documents shows often are dealt to SALTS groups and taken to be
+shared. Pairs must also agree in how often 16 letters occur in both halves: each edit changes the sum by two at most. In hot groups all
+members first meet LEADERS early ones; only those that still have no earlier near line meet all that come before them. This is exact; few rows come of a
+group whose lines are not near each other, but its comparisons grow with its square.
 
 Edge cases: a null text has no lines and stays null; an empty table gives an empty result; rows with equal doc_ids and different
 texts are different documents; null doc_ids come first; repeated rows get the same result; a text of any length and number of lines is taken
@@ -40,11 +42,14 @@ from inspectra.functions.patterns import let
 from inspectra.llm.common import replaced, table, written
 
 LEAST_CHARS, EDIT_CHARS, LEAST_REST, HOT = 1, 10, 8, 32
-CHARS_PER_EDIT, MOST, LEADERS, COMMON = 32, 8, 3, 8
+CHARS_PER_EDIT, MOST, LEADERS = 32, 8, 3
+#: Characters in which a cell's first space is looked for, and the least length of a key.
+SPACE_WITHIN, LEAST_KEY = 12, 16
 #: Documents in which keys are counted beforehand, how many of them make a key a frequent one, and the groups it is dealt to.
 SAMPLE_DOCS, FREQUENT, SALTS = 5_000, 16, 64
-#: Letters whose numbers near lines have nearly in common.
-LETTERS = "eatinsro"
+#: Letters whose numbers near lines have nearly in common, eight for each column.
+LETTERS = ("eatinsro", "hdlugwb ")
+HALVES = [f"f{i}" for i in range(4)]
 #: Hashes of candidate lines up to which they are broadcast (8 MB).
 BROADCAST = 1_000_000
 OWN = ("_line_h", "_line_g")
@@ -134,60 +139,49 @@ def edits(n: Column, most: int = MOST) -> Column:
     return F.least(F.greatest(F.floor(n / CHARS_PER_EDIT).cast("int"), F.lit(1)), F.lit(most))
 
 
-def _triples(line: Column) -> Column:
-    """The different word triples in order, longer ones first: six bits for 63 less the length, the rest hash."""
+def _least_length(n: Column, most: int) -> Column:
+    """The least length of the range n is in: CHARS_PER_EDIT characters wide while k grows, then a fourth to an eighth of n."""
+    border = CHARS_PER_EDIT * most
+    wide = F.greatest(F.lit(border), n - n % F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 3))
+    return F.when(n < border, n - n % CHARS_PER_EDIT).otherwise(wide)
 
-    def each(w: Column) -> Column:
-        def triple(x: Column, i: Column) -> Column:
-            y, z = F.get(w, i + 1), F.get(w, i + 2)
-            rank = F.greatest(F.lit(0), 63 - F.octet_length(x) - F.octet_length(y) - F.octet_length(z))
-            return F.shiftleft(rank.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, y, z), 7))
 
-        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), triple)
+def _letters(part: Column, letters: str) -> Column:
+    """How often each of eight letters occurs, modulo 16, in 8 bits of which as many differ as two numbers do (eight at most)."""
+    code = F.array(*(F.lit((1 << v) - 1 if v <= 8 else 256 - (1 << (v - 8))).cast("long") for v in range(16)))
+    counts = [(F.length(part) - F.length(F.replace(part, F.lit(c)))).bitwiseAND(15) for c in letters]
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(F.element_at(code, n + 1), 8 * i) for i, n in enumerate(counts)))
 
-    return F.sort_array(F.array_distinct(let(F.split(line, " ", -1), each)))
 
+def _long_entries(lines: DataFrame, most: int) -> DataFrame:
+    """key, doc, h, n (the length), k, f0 to f3 (letters of both halves) and indexed: of two lines that meet by a key one is indexed by it."""
+    own = lines.select("doc", "h", "line", F.length("line").alias("n")).select("*", _least_length(F.col("n"), most).alias("c"))
+    own = own.select("*", _least_length(F.col("c") - 1, most).alias("before"))
+    near = (F.col("c") > 2 * CHARS_PER_EDIT) & (F.col("n") - F.col("c") < edits(F.col("before"), most))
+    of = lambda c, mine: F.struct(F.col(c).alias("c"), F.lit(mine).alias("mine"))
+    laid = own.select("doc", "h", "line", "n", F.explode(F.when(near, F.array(of("c", True), of("before", False))).otherwise(F.array(of("c", True)))).alias("of")).select("doc", "h", "line", "n", "of.c", "of.mine")
+    half = F.expr("c div 2").cast("int")
+    laid = laid.select("*", edits(F.col("c"), most).alias("k"), F.left("line", half).alias("left"), F.right("line", half).alias("right"))
+    laid = laid.select("*", *(_letters(F.col(x), y).alias(f"f{2 * i + j}") for i, x in enumerate(("left", "right")) for j, y in enumerate(LETTERS)))
+    cells = laid.select("*", F.expr("c div (k + 1)").cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    cells = cells.select("*", F.least(F.col("i"), F.col("k") - F.col("i")).alias("m"), F.greatest(F.lit(LEAST_KEY), F.col("size") - SPACE_WITHIN).alias("q"))
+    at = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("size")).otherwise(F.col("n") - (F.col("k") - F.col("i") + 1) * F.col("size"))
+    cells = cells.select("doc", "h", "n", "c", "mine", "k", "f0", "f1", "f2", "f3", "i", "m", "q", (F.col("size") - F.col("q")).alias("g"), F.substring("line", at - F.col("m") + 1, F.col("size") + 2 * F.col("m")).alias("z"))
 
-def _places(most: int) -> Column:
-    """For k * (most + 1) + more: the segments of a line and their shifts in a line longer by `more`, as segment * 64 + shift + 32."""
-    out = []
-    for k in range(most + 1):
-        for more in range(most + 1):
-            codes = [i * 64 + shift + 32 for i in range(k + 1) for shift in range(max(-i, more - (k - i)), min(i, more + k - i) + 1)]
-            out.append("array(%s)" % ",".join(map(str, codes or [32])))
-    return F.expr("array(%s)" % ",".join(out))
+    def begins(place: Column) -> Column:
+        """Where the key of a place in z begins (from 0)."""
+        space = F.call_function("locate", F.lit(" "), F.col("z"), place + 1) - 1
+        return F.when((space >= 0) & (space < place + F.col("g")), space).otherwise(place)
 
+    places = cells.select("*", begins(F.col("m")).alias("mid"), F.explode(F.sequence(F.lit(0), 2 * F.col("m"))).alias("place")).select("*", begins(F.col("place")).alias("b"))
+    first = (F.col("place") == 0) | (F.col("b") != begins(F.col("place") - 1))
+    key = F.xxhash64("c", "i", F.substring("z", F.col("b") + 1, F.col("q")))
+    return places.where(first).select(key.alias("key"), "doc", "h", "n", "k", "f0", "f1", "f2", "f3", (F.col("mine") & (F.col("b") == F.col("mid"))).alias("indexed"))
 
-def _letters(line: Column) -> Column:
-    """How often each of LETTERS occurs, 8 bits (the count modulo 256) for each."""
-    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(n.bitwiseAND(255), 8 * i) for i, n in enumerate(counts)))
 
-
-def _letters_differ(a: Column, b: Column) -> Column:
-    """The sum of the counts' differences, or less (modulo 256): one edit makes it larger by two at most."""
-    byte = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(255)
-    return reduce(lambda x, y: x + y, (F.abs((byte(a, i) - byte(b, i) + 128).bitwiseAND(255) - 128) for i in range(len(LETTERS))))
-
-
-def _long_entries(lines: DataFrame, most: int, common: int) -> DataFrame:
-    """key, doc, h, n (the length), f (letters), indexed and need: of two lines that meet by a key one is indexed by it, and near lines have `need` keys in common."""
-    n = F.length("line")
-    lost = 4 * edits(n, most)
-
-    def chosen(triples: Column) -> Column:
-        return F.struct(F.greatest(F.lit(1), F.least(F.lit(common), F.size(triples) - lost)).alias("need"), F.slice(triples, F.lit(1), lost + common).alias("keys"))
-
-    sized = lines.select("doc", "h", n.alias("n"), _letters(F.col("line")).alias("f"), let(_triples(F.col("line")), chosen).alias("s"))
-    triples = sized.select("doc", "h", "n", "f", F.explode("s.keys").alias("key"), F.lit(True).alias("indexed"), "s.need")
-    # four bytes for each character, so that segments are found by their place
-    few = lines.where(F.size(F.split("line", " ", -1)) - 2 <= lost).select("doc", "h", n.alias("n"), _letters(F.col("line")).alias("f"), F.encode("line", "UTF-32").alias("raw"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("more"))
-    few = few.select("*", (F.col("n") - F.col("more")).alias("size")).where(F.col("size") >= 2 * CHARS_PER_EDIT).select("*", edits(F.col("size"), most).alias("k")).where("more <= k")
-    at = few.select("*", F.explode(F.element_at(_places(most), F.col("k") * (most + 1) + F.col("more") + 1)).alias("code")).select("*", F.expr("code div 64").cast("int").alias("i"), (F.col("code") % 64 - 32).alias("shift"))
-    at = at.select("*", F.expr("i * size div (k + 1)").cast("int").alias("start"), F.expr("(i + 1) * size div (k + 1)").cast("int").alias("end"))
-    at = at.where("start + shift >= 0 AND end + shift <= n")
-    segments = at.select("doc", "h", "n", "f", F.xxhash64("size", "i", F.substring("raw", (F.col("start") + F.col("shift")) * 4 + 1, (F.col("end") - F.col("start")) * 4)).alias("key"), F.expr("more = 0 AND shift = 0").alias("indexed"), F.lit(1).alias("need"))
-    return triples.union(segments)
+def _alike(other: str) -> str:
+    """Whether lengths and letters let a line be near the one whose columns begin with `other`: if not, it isn't."""
+    return f"abs(n - {other}n) <= k AND " + " + ".join(f"bit_count({f} ^ {other}{f})" for f in HALVES) + " <= 2 * k"
 
 
 def _verified(lines: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
@@ -205,7 +199,7 @@ def _verified(lines: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
 def _long_covered(lines: DataFrame, most: int) -> DataFrame:
     """The same for lines within two edits or more."""
     lines = lines.where(F.length("line") >= 2 * CHARS_PER_EDIT)
-    entries, at = _long_entries(lines, most, COMMON), F.struct("doc", "h")
+    entries, at = _long_entries(lines, most), F.struct("doc", "h")
     # most keys have one line, so that entries are made twice and only those of the other keys written
     shared = written(entries.groupBy("key").count().where("count > 1"), "long-keys")
     entries = written(entries.join(shared.select("key"), "key", "left_semi"), "long-entries")
@@ -214,16 +208,16 @@ def _long_covered(lines: DataFrame, most: int) -> DataFrame:
     if not hot.isEmpty():
         open_ = written(entries.join(hot, "key", "left_semi"), "long-hot")
         for _ in range(LEADERS):
-            met = open_.join(open_.groupBy("key").agg(F.min(at).alias("first")), "key").where(at > F.col("first"))
-            covered.append(written(_verified(lines, met.select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
+            met = open_.join(open_.groupBy("key").agg(F.min(F.struct("doc", "h", "n", *HALVES)).alias("first")), "key").where(at > F.struct("first.doc", "first.h"))
+            covered.append(written(_verified(lines, met.where(_alike("first.")).select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
             open_ = replaced(open_, written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot"))
     x = entries
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
-    x = x.select("key", F.col("indexed").alias("x_indexed"), "need", "n", "f", F.struct("doc", "h").alias("x"))
-    y = entries.select("key", F.col("indexed").alias("y_indexed"), F.col("n").alias("y_n"), F.col("f").alias("y_f"), at.alias("y"))
-    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND abs(n - y_n) <= {most} AND y < x").where(_letters_differ(F.col("f"), F.col("y_f")) <= 2 * most).groupBy(F.col("y.h").alias("a"), F.col("x.h").alias("b"))
-    pairs = met.agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+    x = x.select("key", F.col("indexed").alias("x_indexed"), "n", "k", *HALVES, F.struct("doc", "h").alias("x"))
+    y = entries.select("key", F.col("indexed").alias("y_indexed"), *(F.col(c).alias(f"y_{c}") for c in ("n", *HALVES)), at.alias("y"))
+    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND y < x AND {_alike('y_')}")
+    pairs = met.select(F.col("y.h").alias("a"), F.col("x.h").alias("b")).distinct()
     return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
 
 
@@ -235,17 +229,16 @@ def covered_lines(lines: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """h of the lines within reach of more than one edit that share enough keys with other lines."""
-    entries = lambda d: _long_entries(_each_line(d, id_col, text_col, 2 * CHARS_PER_EDIT), most, COMMON)
+    """h of the lines within reach of more than one edit that share a key with another line."""
+    entries = lambda d: _long_entries(_each_line(d, id_col, text_col, 2 * CHARS_PER_EDIT), most)
     sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), 7)
     often = written(entries(sample).groupBy("key").count().where(F.col("count") >= FREQUENT).select("key"), "often")  # few: so many documents hold so many keys
     salt = F.when(F.col("often"), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
-    tag = F.shiftleft(salt, 8).bitwiseOR(F.col("need"))  # one small column, as there are many rows
+    tag = F.shiftleft(salt, 1).bitwiseOR(F.col("indexed").cast("int"))  # one small column, as there are many rows
     dealt = entries(docs).join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").select("key", tag.alias("tag"), "h")
-    group = Window.partitionBy("key", F.shiftright("tag", 8))
-    met = dealt.select("key", "h", "tag", F.min("h").over(group).alias("a"), F.max("h").over(group).alias("z")).where("tag >= 256 OR a <> z")
-    each = met.select("h", "key", F.col("tag").bitwiseAND(255).alias("need")).distinct()
-    return written(each.groupBy("h").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("h"), "candidates")
+    group = Window.partitionBy("key", F.shiftright("tag", 1))
+    met = dealt.select("h", "tag", F.min("h").over(group).alias("a"), F.max("h").over(group).alias("z"), F.max("tag").over(group).alias("most"))
+    return written(met.where("tag >= 2 OR a <> z AND most = 1").select("h").distinct(), "candidates")
 
 
 def _near_covered(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:

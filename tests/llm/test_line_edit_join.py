@@ -153,6 +153,24 @@ def test_a_few_edits_in_long_lines(spark, monkeypatch, hot):
     assert {r["_line_h"] for x in L.kept_lines(df).collect() for r in x["_line_kept"]} == kept
 
 
+def test_few_pairs_of_a_family_that_is_not_near(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlugwb") for _ in range(rng.randint(4, 8)))
+    base, docs = [word() for _ in range(70)], []
+    for i in range(150):
+        x = list(base)
+        for k in rng.sample(range(70), 4):
+            x[k] = word()
+        docs.append((i, " ".join(x)))
+    docs += [(200 + i, docs[i][1][:100] + "xy" + docs[i][1][101:]) for i in range(0, 150, 10)]
+    lines = L.distinct_lines(L._each_line(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 1)).cache()
+    met, verified = [], L._verified
+    monkeypatch.setattr(L, "_verified", lambda lines, pairs, most: met.append(pairs.count()) or verified(lines, pairs, most))
+    covered = {r["_line_h"] for r in L._long_covered(lines, L.MOST).collect()}
+    assert {r["doc"]["id"] for r in lines.collect() if r["h"] in covered} == {200 + i for i in range(0, 150, 10)}
+    assert sum(met) < 1000  # of 13,530 pairs
+
+
 def test_many_lines_in_one_text(spark):
     lines = [f"line number {i * 7919 % 100_003} of this text and {i}" for i in range(100_000)]
     kept = [(i, line) for i, line in enumerate(lines) if i % 3]
