@@ -20,9 +20,11 @@ range's least length / (k + 1) characters, the first half of them counted from t
 length gives the layout; a line that may be the longer one of another range has that layout too. Of k edits there are, for one cell, none in
 it and at most i in the i cells before it and k - i after, so that its text is found in the other line at a place moved by at most as
 many. What stands at each such place would be 41 keys for 9 cells; a key is therefore what begins at the place's first space, and places with the same
-one give one row (about 1.7 a cell). Lines without spaces give all. First one shuffle of keys and hashes finds the lines that share a key
-with another line; only those are read again with their text. Keys that a sample of documents shows often are dealt to SALTS groups and taken to be
-shared. Pairs must also agree in how often 16 letters occur in both halves: each edit changes the sum by two at most. In hot groups all
+one give one row (about 1.7 a cell). Lines without spaces give all. First one shuffle of keys and hashes finds the keys that two lines
+share; only those and their lines' texts are kept. Keys that a sample of documents shows often are dealt to SALTS groups and taken to be
+shared. Pairs must also agree in how often 16 letters and all others occur in the first three eighths and the last five, and in the first five and the
+last three: each edit changes either sum by two at most. Texts are compared without what both begin and end with, as Spark's
+`levenshtein` takes time by the square of the length. In hot groups all
 members first meet LEADERS early ones; only those that still have no earlier near line meet all that come before them. This is exact; few rows come of a
 group whose lines are not near each other, but its comparisons grow with its square.
 
@@ -47,9 +49,10 @@ CHARS_PER_EDIT, MOST, LEADERS = 32, 8, 3
 SPACE_WITHIN, LEAST_KEY = 12, 16
 #: Documents in which keys are counted beforehand, how many of them make a key a frequent one, and the groups it is dealt to.
 SAMPLE_DOCS, FREQUENT, SALTS = 5_000, 16, 64
-#: Letters whose numbers near lines have nearly in common, eight for each column.
-LETTERS = ("eatinsro", "hdlugwb ")
-HALVES = [f"f{i}" for i in range(4)]
+#: Letters whose numbers near lines have nearly in common.
+LETTERS = "eatinsrohdlugwb "
+#: Of a line's first three eighths, first five, last three and last five: codes of its letters' numbers, and how many other characters there are.
+CODES, OTHERS = [f"f{i}" for i in range(4)], [f"o{i}" for i in range(4)]
 #: Hashes of candidate lines up to which they are broadcast (8 MB).
 BROADCAST = 1_000_000
 OWN = ("_line_h", "_line_g")
@@ -67,10 +70,10 @@ def _doc(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.struct(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("t"))
 
 
-def _each_line(docs: DataFrame, id_col: str, text_col: str, least: int, most: int | None = None) -> DataFrame:
-    """doc, line and h of the lines, `least` to `most` characters long, of every text."""
+def _each_line(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """doc, line and h of the lines, `least` characters long or more, of every text."""
     lines = docs.select(_doc(docs, id_col, text_col).alias("doc"), F.explode(F.split(docs[text_col].cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= least)
-    return (lines if most is None else lines.where(F.length("line") <= most)).withColumn("h", _h(F.col("line")))
+    return lines.withColumn("h", _h(F.col("line")))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -146,76 +149,100 @@ def _least_length(n: Column, most: int) -> Column:
     return F.when(n < border, n - n % CHARS_PER_EDIT).otherwise(wide)
 
 
-def _letters(part: Column, letters: str) -> Column:
-    """How often each of eight letters occurs, modulo 16, in 8 bits of which as many differ as two numbers do (eight at most)."""
-    code = F.array(*(F.lit((1 << v) - 1 if v <= 8 else 256 - (1 << (v - 8))).cast("long") for v in range(16)))
-    counts = [(F.length(part) - F.length(F.replace(part, F.lit(c)))).bitwiseAND(15) for c in letters]
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(F.element_at(code, n + 1), 8 * i) for i, n in enumerate(counts)))
+def _letters(part: Column) -> Column:
+    """code, how often each of LETTERS occurs, modulo 8, in 4 bits of which as many differ as two numbers do (four at most), and other, the characters left."""
+    table = sum(code << 4 * n for n, code in enumerate((0, 1, 3, 7, 15, 14, 12, 8)))
+    bits = lambda n: F.call_function("shiftright", F.lit(table), n.bitwiseAND(7) * 4).bitwiseAND(15)
+    # a letter's number is known one step later, by what taking it out has left
+    more = lambda s: F.shiftleft(s["code"], 4).bitwiseOR(bits(s["n"] - F.octet_length(s["rest"])))
+    start = F.struct(part.alias("rest"), F.octet_length(part).alias("n"), F.lit(0).cast("long").alias("code"))
+    step = lambda s, c: F.struct(F.replace(s["rest"], c, F.lit("")).alias("rest"), F.octet_length(s["rest"]).alias("n"), more(s).alias("code"))
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), start, step, lambda s: F.struct(more(s).alias("code"), F.length(s["rest"]).alias("other")))
 
 
-def _long_entries(lines: DataFrame, most: int) -> DataFrame:
-    """key, doc, h, n (the length), k, f0 to f3 (letters of both halves) and indexed: of two lines that meet by a key one is indexed by it."""
+def _laid(lines: DataFrame, most: int) -> DataFrame:
+    """doc, h, line and n (its length) of lines, once for each layout: c (its least length), k and mine (whether it is that of the line's own length)."""
     own = lines.select("doc", "h", "line", F.length("line").alias("n")).select("*", _least_length(F.col("n"), most).alias("c"))
     own = own.select("*", _least_length(F.col("c") - 1, most).alias("before"))
     near = (F.col("c") > 2 * CHARS_PER_EDIT) & (F.col("n") - F.col("c") < edits(F.col("before"), most))
     of = lambda c, mine: F.struct(F.col(c).alias("c"), F.lit(mine).alias("mine"))
-    laid = own.select("doc", "h", "line", "n", F.explode(F.when(near, F.array(of("c", True), of("before", False))).otherwise(F.array(of("c", True)))).alias("of")).select("doc", "h", "line", "n", "of.c", "of.mine")
-    half = F.expr("c div 2").cast("int")
-    laid = laid.select("*", edits(F.col("c"), most).alias("k"), F.left("line", half).alias("left"), F.right("line", half).alias("right"))
-    laid = laid.select("*", *(_letters(F.col(x), y).alias(f"f{2 * i + j}") for i, x in enumerate(("left", "right")) for j, y in enumerate(LETTERS)))
-    cells = laid.select("*", F.expr("c div (k + 1)").cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    laid = own.select("doc", "h", "line", "n", F.explode(F.when(near, F.array(of("c", True), of("before", False))).otherwise(F.array(of("c", True)))).alias("of"))
+    return laid.select("doc", "h", "line", "n", "of.c", "of.mine", edits(F.col("of.c"), most).alias("k"))
+
+
+def _long_keys(laid: DataFrame, most: int) -> DataFrame:
+    """key, doc, h, mine and indexed: of two lines that meet by a key one is indexed by it."""
+    cells = laid.select("doc", "h", "line", "n", "c", "mine", "k", F.expr("c div (k + 1)").cast("int").alias("size"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
     cells = cells.select("*", F.least(F.col("i"), F.col("k") - F.col("i")).alias("m"), F.greatest(F.lit(LEAST_KEY), F.col("size") - SPACE_WITHIN).alias("q"))
     at = F.when(F.col("i") * 2 <= F.col("k"), F.col("i") * F.col("size")).otherwise(F.col("n") - (F.col("k") - F.col("i") + 1) * F.col("size"))
-    cells = cells.select("doc", "h", "n", "c", "mine", "k", "f0", "f1", "f2", "f3", "i", "m", "q", (F.col("size") - F.col("q")).alias("g"), F.substring("line", at - F.col("m") + 1, F.col("size") + 2 * F.col("m")).alias("z"))
+    cells = cells.select("doc", "h", "c", "mine", "i", "m", "q", (F.col("size") - F.col("q")).alias("g"), F.substring("line", at - F.col("m") + 1, F.col("size") + 2 * F.col("m")).alias("z"))
+    # where the key of a place in z begins (from 0): never before that of an earlier place
+    begins = lambda place: place + F.greatest(F.call_function("locate", F.lit(" "), F.substring("z", place + 1, F.col("g"))) - 1, F.lit(0))
+    places = range(2 * (most // 2) + 1)
+    cells = cells.select("*", begins(F.col("m")).alias("mid"), *(F.when(F.col("m") * 2 >= p, begins(F.lit(p))).alias(f"b{p}") for p in places))
+    new = [F.col("b0"), *(F.when(F.col(f"b{p}") != F.col(f"b{p - 1}"), F.col(f"b{p}")) for p in places[1:])]
+    cells = cells.select("doc", "h", "c", "mine", "i", "q", "z", "mid", F.explode(F.array(*new)).alias("b")).where("b IS NOT NULL")
+    key = F.xxhash64("c", "i", F.substring("z", F.col("b") + 1, F.col("q")))
+    return cells.select(key.alias("key"), "doc", "h", "mine", (F.col("mine") & (F.col("b") == F.col("mid"))).alias("indexed"))
 
-    def begins(place: Column) -> Column:
-        """Where the key of a place in z begins (from 0)."""
-        space = F.call_function("locate", F.lit(" "), F.col("z"), place + 1) - 1
-        return F.when((space >= 0) & (space < place + F.col("g")), space).otherwise(place)
 
-    places = cells.select("*", begins(F.col("m")).alias("mid"), F.explode(F.sequence(F.lit(0), 2 * F.col("m"))).alias("place")).select("*", begins(F.col("place")).alias("b"))
-    first = (F.col("place") == 0) | (F.col("b") != begins(F.col("place") - 1))
-    key = F.xxhash64("c", "i", F.substring("z", F.col("b") + 1, F.col("q")))
-    return places.where(first).select(key.alias("key"), "doc", "h", "n", "k", "f0", "f1", "f2", "f3", (F.col("mine") & (F.col("b") == F.col("mid"))).alias("indexed"))
+def _long_entries(laid: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (key, h, mine, indexed), each once, with doc, n (the length), k, CODES and OTHERS of their lines."""
+    e = F.expr("c div 8").cast("int")
+    parts = [F.left("line", e * 3), F.left("line", e * 5), F.right("line", e * 3), F.right("line", e * 5)]
+    known = laid.select("doc", "h", "n", "mine", "k", *(_letters(x).alias(f"l{i}") for i, x in enumerate(parts)))
+    known = known.select("doc", "h", "n", "mine", "k", *(F.col(f"l{i}.code").alias(c) for i, c in enumerate(CODES)), *(F.col(f"l{i}.other").alias(c) for i, c in enumerate(OTHERS)))
+    return keys.groupBy("key", "h", "mine").agg(F.max("indexed").alias("indexed")).join(known, ["h", "mine"])
 
 
 def _alike(other: str) -> str:
     """Whether lengths and letters let a line be near the one whose columns begin with `other`: if not, it isn't."""
-    return f"abs(n - {other}n) <= k AND " + " + ".join(f"bit_count({f} ^ {other}{f})" for f in HALVES) + " <= 2 * k"
+    differ = lambda i, j: " + ".join(f"bit_count(f{x} ^ {other}f{x}) + abs(o{x} - {other}o{x})" for x in (i, j))
+    return f"abs(n - {other}n) <= k AND {differ(0, 3)} <= 2 * k AND {differ(1, 2)} <= 2 * k"
+
+
+def _distance(a: Column, b: Column, most: int) -> Column:
+    """Edits between two different texts, -1 if more than `most`; what both begin and end with is left out first."""
+    powers = F.array(*(F.lit(1 << i) for i in range(20, -1, -1)))
+    same = lambda s, n: F.left(s["a"], n) == F.left(s["b"], n)
+    after = lambda x, n: F.substring(x, n + 1, F.lit(2**31 - 1))
+    cut = lambda both: F.aggregate(powers, both, lambda s, n: F.when(same(s, n), F.struct(after(s["a"], n).alias("a"), after(s["b"], n).alias("b"))).otherwise(s))
+    turned = let(cut(F.struct(a.alias("a"), b.alias("b"))), lambda s: F.struct(F.reverse(s["a"]).alias("a"), F.reverse(s["b"]).alias("b")))
+    return let(cut(turned), lambda s: F.levenshtein(s["a"], s["b"], most))
 
 
 def _verified(lines: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     """Keys (_line_h, _line_g) of the later lines of those pairs (a, b) that are near."""
-    pairs = written(pairs, "line-pairs").hint("merge")
-    both = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().hint("merge")  # the same plan at every size
-    some = written(lines.join(both, "h", "left_semi"), "near-lines")
+    pairs = written(pairs, "line-pairs").hint("merge")  # the same plan at every size
+    both = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
+    some = written(lines.join(F.broadcast(both) if both.count() <= BROADCAST else both.hint("merge"), "h", "left_semi"), "near-lines")
     side = lambda c: some.select(F.col("h").alias(c), F.struct("doc", "h", "line").alias(f"{c}_at"))
-    within = F.levenshtein("a_at.line", "b_at.line", most)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((within >= 0) & (within <= edits(F.least(F.length("a_at.line"), F.length("b_at.line")), most)) & (F.col("a_at") != F.col("b_at")))
+    within = F.pmod(_distance(F.col("a_at.line"), F.col("b_at.line"), most), F.lit(1 << 20))  # named once, as it is computed where it is named: -1 becomes large
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a_at") != F.col("b_at")) & (within <= edits(F.least(F.length("a_at.line"), F.length("b_at.line")), most)))
     later = near.select(F.greatest("a_at", "b_at").alias("x"))
     return later.select(_h(F.col("x.line")).alias("_line_h"), _g(F.col("x.line")).alias("_line_g")).distinct()
 
 
-def _long_covered(lines: DataFrame, most: int) -> DataFrame:
-    """The same for lines within two edits or more."""
-    lines = lines.where(F.length("line") >= 2 * CHARS_PER_EDIT)
-    entries, at = _long_entries(lines, most), F.struct("doc", "h")
-    # most keys have one line, so that entries are made twice and only those of the other keys written
-    shared = written(entries.groupBy("key").count().where("count > 1"), "long-keys")
-    entries = written(entries.join(shared.select("key"), "key", "left_semi"), "long-entries")
-    hot = shared.where(F.col("count") > HOT).select("key")
+def _long_covered(lines: DataFrame, most: int, keys: DataFrame | None = None) -> DataFrame:
+    """The same for lines within two edits or more; keys: those that two of them share, if known (key, h, mine, indexed)."""
+    laid, at = _laid(lines.where(F.length("line") >= 2 * CHARS_PER_EDIT), most), F.struct("doc", "h")
+    if keys is None:
+        keys = _long_keys(laid, most)
+        keys = keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+    entries = written(_long_entries(laid, keys), "long-entries")
+    hot = written(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"), "long-keys")
     covered = []
     if not hot.isEmpty():
         open_ = written(entries.join(hot, "key", "left_semi"), "long-hot")
         for _ in range(LEADERS):
-            met = open_.join(open_.groupBy("key").agg(F.min(F.struct("doc", "h", "n", *HALVES)).alias("first")), "key").where(at > F.struct("first.doc", "first.h"))
+            met = open_.join(open_.groupBy("key").agg(F.min(F.struct("doc", "h", "n", *CODES, *OTHERS)).alias("first")), "key").where(at > F.struct("first.doc", "first.h"))
             covered.append(written(_verified(lines, met.where(_alike("first.")).select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
             open_ = replaced(open_, written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot"))
     x = entries
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
-    x = x.select("key", F.col("indexed").alias("x_indexed"), "n", "k", *HALVES, F.struct("doc", "h").alias("x"))
-    y = entries.select("key", F.col("indexed").alias("y_indexed"), *(F.col(c).alias(f"y_{c}") for c in ("n", *HALVES)), at.alias("y"))
+    x = x.select("key", F.col("indexed").alias("x_indexed"), "n", "k", *CODES, *OTHERS, F.struct("doc", "h").alias("x"))
+    y = entries.select("key", F.col("indexed").alias("y_indexed"), *(F.col(c).alias(f"y_{c}") for c in ("n", *CODES, *OTHERS)), at.alias("y"))
     met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND y < x AND {_alike('y_')}")
     pairs = met.select(F.col("y.h").alias("a"), F.col("x.h").alias("b")).distinct()
     return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
@@ -228,36 +255,39 @@ def covered_lines(lines: DataFrame, most: int = MOST) -> DataFrame:
     return one if most < 2 else one.union(_long_covered(lines, most)).distinct()
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """h of the lines within reach of more than one edit that share a key with another line."""
-    entries = lambda d: _long_entries(_each_line(d, id_col, text_col, 2 * CHARS_PER_EDIT), most)
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), 7)
-    often = written(entries(sample).groupBy("key").count().where(F.col("count") >= FREQUENT).select("key"), "often")  # few: so many documents hold so many keys
+def _candidates(each: DataFrame, share: float, most: int) -> DataFrame:
+    """key, h, mine and indexed of the lines within reach of more than one edit that share the key with another line; share: of the documents, for the sample."""
+    keys = lambda d: _long_keys(_laid(d.where(F.length("line") >= 2 * CHARS_PER_EDIT), most), most)
+    sample = each.where(F.xxhash64(F.lit(11), "doc").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30)))
+    often = written(keys(sample).groupBy("key").count().where(F.col("count") >= FREQUENT).select("key"), "often")  # few: so many documents hold so many keys
     salt = F.when(F.col("often"), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
-    tag = F.shiftleft(salt, 1).bitwiseOR(F.col("indexed").cast("int"))  # one small column, as there are many rows
-    dealt = entries(docs).join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").select("key", tag.alias("tag"), "h")
-    group = Window.partitionBy("key", F.shiftright("tag", 1))
-    met = dealt.select("h", "tag", F.min("h").over(group).alias("a"), F.max("h").over(group).alias("z"), F.max("tag").over(group).alias("most"))
-    return written(met.where("tag >= 2 OR a <> z AND most = 1").select("h").distinct(), "candidates")
+    tag = F.shiftleft(salt, 2).bitwiseOR(F.col("mine").cast("int") * 2).bitwiseOR(F.col("indexed").cast("int"))  # one small column, as there are many rows
+    dealt = keys(each).join(F.broadcast(often.withColumn("often", F.lit(True))), "key", "left").select("key", tag.alias("tag"), "h")
+    group = Window.partitionBy("key", F.shiftright("tag", 2))
+    met = dealt.select("key", "h", "tag", F.min("h").over(group).alias("a"), F.max("h").over(group).alias("z"), F.max(F.col("tag").bitwiseAND(1)).over(group).alias("most"))
+    return written(met.where("tag >= 4 OR a <> z AND most = 1").select("key", "h", F.expr("(tag & 2) <> 0").alias("mine"), F.expr("(tag & 1) <> 0").alias("indexed")).distinct(), "candidates")
 
 
-def _near_covered(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """covered_lines of all lines of docs, of which only those are gathered that may be near another one."""
+def _near_covered(each: DataFrame, share: float, most: int) -> DataFrame:
+    """covered_lines of each (doc, line, h), of which only those are gathered that may be near another one."""
     border = 2 * CHARS_PER_EDIT
-    short = distinct_lines(_each_line(docs, id_col, text_col, EDIT_CHARS, border if most > 1 else None))
+    short = each.where((F.length("line") >= EDIT_CHARS) & (F.length("line") <= border if most > 1 else F.lit(True)))
+    short = distinct_lines(short)
     one = _verified(short, near_pairs(short), 1)
     if most < 2:
         return one
-    some = _candidates(docs, id_col, text_col, most)
+    keys = _candidates(each, share, most)
+    some = written(keys.select("h").distinct(), "candidate-lines")
     some = F.broadcast(some) if some.count() <= BROADCAST else some
-    return one.union(_long_covered(distinct_lines(_each_line(docs, id_col, text_col, border).join(some, "h", "left_semi")), most)).distinct()
+    return one.union(_long_covered(distinct_lines(each.where(F.length("line") >= border).join(some, "h", "left_semi")), most, keys)).distinct()
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """_line_doc and _line_kept, the hashes (h, g) of the lines that stay in it, for each document that keeps a line."""
-    each = _each_line(docs, id_col, text_col, LEAST_CHARS).select("doc", F.col("h").alias("_line_h"), _g(F.col("line")).alias("_line_g"))
-    first = each.groupBy(*OWN).agg(F.min("doc").alias("_line_doc"))
-    stay = first.join(_near_covered(docs, id_col, text_col, most), list(OWN), "left_anti")
+    # texts are split once; the steps that follow read the columns they need
+    each = written(_each_line(docs, id_col, text_col, LEAST_CHARS).withColumn("g", _g(F.col("line"))), "each-line")
+    first = each.groupBy(F.col("h").alias("_line_h"), F.col("g").alias("_line_g")).agg(F.min("doc").alias("_line_doc"))
+    stay = first.join(_near_covered(each, min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), most), list(OWN), "left_anti")
     return stay.groupBy("_line_doc").agg(F.collect_list(F.struct(*OWN)).alias("_line_kept"))
 
 

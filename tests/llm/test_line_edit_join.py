@@ -179,3 +179,39 @@ def test_many_lines_in_one_text(spark):
 
     has = F.transform("kept", lambda x: F.struct(L._h(x).alias("_line_h"), L._g(x).alias("_line_g")))
     assert df.select(L._left(F.col("text"), has)).first()[0].split("\n") == [line for _, line in kept]
+
+
+def test_letters_of_two_parts_tell_lines_apart(spark, monkeypatch):
+    """Words changed in both halves whose letters make up for each other within a half, and letters outside of LETTERS."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlugwbcmfkyvp") for _ in range(6))
+    base, docs = [word() for _ in range(70)], []
+    for i in range(120):
+        x = list(base)
+        for k in rng.sample(range(70), 3):
+            x[k] = word()
+        docs.append((i, " ".join(x)))
+    docs += [(200 + i, docs[i][1][:100] + "kv" + docs[i][1][102:300] + "q" + docs[i][1][300:]) for i in range(0, 120, 10)]
+    lines = L.distinct_lines(L._each_line(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 1)).cache()
+    met, verified = [], L._verified
+    monkeypatch.setattr(L, "_verified", lambda lines, pairs, most: met.append(pairs.count()) or verified(lines, pairs, most))
+    covered = {r["_line_h"] for r in L._long_covered(lines, L.MOST).collect()}
+    assert {r["doc"]["id"] for r in lines.collect() if r["h"] in covered} == {200 + i for i in range(0, 120, 10)}
+    assert sum(met) < 1500
+
+
+def test_distance_without_common_ends(spark):
+    rng = random.Random(7)
+    pairs = [("a" * 300, "a" * 301), ("ab" * 50, "ba" * 50), ("", "abc"), ("中é" * 600 + "x", "中é" * 600), ("x" + "b" * 2000, "b" * 2000 + "y")]
+    for _ in range(300):
+        x = [rng.choice("abé中 ") for _ in range(rng.randint(0, 90))]
+        y = list(x)
+        for _ in range(rng.randint(1, 6)):
+            y[(k := rng.randint(0, len(y))) : k + rng.randint(0, 1)] = rng.choice(["", "a", "中"])
+        pairs.append(("".join(x), "".join(y)))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    from pyspark.sql import functions as F
+
+    rows = df.select("a", "b", L._distance(F.col("a"), F.col("b"), 4).alias("d")).collect()
+    assert all(r["d"] == (d if (d := distance(r["a"], r["b"])) <= 4 else -1) for r in rows) and len(rows) > 250
