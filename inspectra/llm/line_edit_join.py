@@ -231,19 +231,23 @@ def _long_covered(lines: DataFrame, most: int, keys: DataFrame | None = None) ->
         keys = keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
     entries = written(_long_entries(laid, keys), "long-entries")
     hot = written(entries.groupBy("key").count().where(F.col("count") > HOT).select("key"), "long-keys")
-    covered = []
+    covered, rows = [], entries.withColumn("hots", F.lit(None).cast("array<bigint>")).withColumn("owns", F.col("hots"))
     if not hot.isEmpty():
         open_ = written(entries.join(hot, "key", "left_semi"), "long-hot")
+        # the hot keys of a line, and those it is indexed by: two lines meet by the least one they share
+        marks = written(open_.groupBy("h", "mine").agg(F.collect_list("key").alias("hots"), F.collect_list(F.when(F.col("indexed"), F.col("key"))).alias("owns")), "long-marks")
+        rows = rows.join(hot, "key", "left_anti").unionByName(entries.join(hot, "key", "left_semi").join(marks, ["h", "mine"]))
         for _ in range(LEADERS):
             met = open_.join(open_.groupBy("key").agg(F.min(F.struct("doc", "h", "n", *CODES, *OTHERS)).alias("first")), "key").where(at > F.struct("first.doc", "first.h"))
             covered.append(written(_verified(lines, met.where(_alike("first.")).select(F.col("first.h").alias("a"), F.col("h").alias("b")).distinct(), most), "long-covered"))
             open_ = replaced(open_, written(met.drop("first").join(covered[-1].select(F.col("_line_h").alias("h")), "h", "left_anti"), "long-hot"))
-    x = entries
+    x = rows
     for c in covered:
         x = x.join(c.select(F.col("_line_h").alias("h")), "h", "left_anti")
-    x = x.select("key", F.col("indexed").alias("x_indexed"), "n", "k", *CODES, *OTHERS, F.struct("doc", "h").alias("x"))
-    y = entries.select("key", F.col("indexed").alias("y_indexed"), *(F.col(c).alias(f"y_{c}") for c in ("n", *CODES, *OTHERS)), at.alias("y"))
-    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND y < x AND {_alike('y_')}")
+    x = x.select("key", F.col("indexed").alias("x_indexed"), "n", "k", *CODES, *OTHERS, "hots", "owns", F.struct("doc", "h").alias("x"))
+    y = rows.select("key", F.col("indexed").alias("y_indexed"), *(F.col(c).alias(f"y_{c}") for c in ("n", *CODES, *OTHERS, "hots", "owns")), at.alias("y"))
+    once = "hots IS NULL OR key = array_min(array_union(array_intersect(hots, y_owns), array_intersect(owns, y_hots)))"
+    met = x.join(y, "key").where(f"(x_indexed OR y_indexed) AND y < x AND {_alike('y_')} AND ({once})")
     pairs = met.select(F.col("y.h").alias("a"), F.col("x.h").alias("b")).distinct()
     return reduce(DataFrame.union, covered, _verified(lines, pairs, most))
 
