@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.functions.normalize import fingerprint_text
+from inspectra.storage import kept
 
 SHINGLE, LEAST_CHARS, THRESHOLD = 4, 50, 0.40
 #: Characters hashed at a time; threshold from which bands select; fingerprints up to which one side is sent to all tasks (8 bytes each);
 #: comparisons at a time.
 STEP_CHARS, BANDED_FROM, SENT, STEP_PAIRS = 100_000, 0.75, 500_000, 1_000_000
+#: Fingerprints of a block, about; comparisons of a task, and tasks at most; bands are used where they leave less than this part of all pairs; keys
+#: up to which their sizes are sent to all tasks.
+BLOCK, TASK_PAIRS, MOST_TASKS, SELECTIVE, SENT_KEYS = 4096, 1 << 26, 4096, 0.5, 100_000
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -68,10 +72,6 @@ def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield out
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
-
-
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """fingerprint_id, simhash, text_length and preview of the texts that are long enough."""
     text = docs.select(F.col(id_col).alias("fingerprint_id"), fingerprint_text(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.substring(text_col, 1, 200).alias("preview"))
@@ -112,25 +112,86 @@ def _compared(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return hit.select("left_id", "m.i", (1 - F.col("m.differing") / 64.0).alias("score")).join(F.broadcast(numbered), "i").select("left_id", "right_id", "score")
 
 
+def band_edges(threshold: float) -> list[int]:
+    """Up to 64 * (1 - threshold) bits may differ; cut into one band more than that, some band is equal."""
+    bands = min(int(64 * (1 - threshold) + 1e-9) + 1, 64)
+    return [64 * i // bands for i in range(bands + 1)]
+
+
+def band_keys(simhash: Column, edges: list[int]) -> Column:
+    """(band, key) of each band."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(simhash, 64 - z), 64 - z + a).alias("key")) for i, (a, z) in enumerate(zip(edges, edges[1:]))])
+
+
+def _near_in_blocks(least: float, edges: list[int]) -> Callable:
+    """For mapInArrow: the near pairs of two blocks (band, xs, ys), rows of the first in turn. A pair counts in its first equal band only."""
+    scores = 1 - np.arange(65) / 64
+    bits = int(np.flatnonzero(scores >= least).max(initial=-1))
+    masks = [np.uint64((1 << z) - (1 << a)) for a, z in zip(edges, edges[1:])]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, xs, ys in zip(batch["band"].to_pylist(), batch["xs"], batch["ys"]):
+                x, y = (rows.values.field("simhash").to_numpy(zero_copy_only=False).view(np.uint64) for rows in (xs, ys))
+                left, right = (rows.values.field("id") for rows in (xs, ys))
+                step = max(1, STEP_PAIRS // len(y))
+                for at in range(0, len(x), step):
+                    differing = np.bitwise_count(x[at : at + step, None] ^ y)
+                    hit = differing <= bits
+                    found = np.flatnonzero(hit)
+                    row = np.repeat(np.arange(len(hit)), np.count_nonzero(hit, axis=1))
+                    col = found - row * len(y)
+                    if band:
+                        apart = x[at + row] ^ y[col]
+                        first = np.logical_and.reduce([apart & m != 0 for m in masks[:band]])
+                        found, row, col = found[first], row[first], col[first]
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([left.take(pa.array(at + row)), right.take(pa.array(col)), pa.array(scores[differing.ravel()[found]])], ["left_id", "right_id", "score"])
+
+    return near
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float, edges: list[int], banded: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id, score) of fingerprints at least so similar; both sides (id, simhash) without nulls, and cheap to read more than once.
+
+    Rows of equal bands meet in blocks of about BLOCK rows of each side, so no key is one task; tasks hold the blocks' hashes, compare them in steps
+    and give pairs as they come. Where bands leave SELECTIVE of all pairs or more (texts in few languages share bits), the blocks are of
+    all rows instead, and each pair is met once. `banded`, if given, is right with band and key.
+    """
+    on, n, m = ["band", "key"], left.count(), right.count()
+    in_bands = lambda side: side.select("id", "simhash", F.inline(band_keys(F.col("simhash"), edges)))
+    a, b = in_bands(left), in_bands(right) if banded is None else banded
+    cuts = lambda rows: F.ceil(F.col(rows) / BLOCK).cast("int")
+    sizes = kept(a.groupBy(on).agg(F.count("*").alias("n")).join(b.groupBy(on).agg(F.count("*").alias("m")), on).select(*on, "n", "m", cuts("n").alias("p"), cuts("m").alias("q")), "sizes")
+    keys, met = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("m").cast("double")), F.lit(0.0))).first()
+    if met < SELECTIVE * n * m:
+        few = F.broadcast(sizes) if keys <= SENT_KEYS else sizes
+        a, b = (side.join(few.select(*on, "p", "q"), on) for side in (a, b))
+    else:
+        on, met, all_blocks = [], n * m, {"p": F.lit(-(-n // BLOCK)), "q": F.lit(-(-m // BLOCK))}
+        a, b = left.withColumns(all_blocks), right.withColumns(all_blocks)
+
+    def blocks(side: DataFrame, rows: str, own: str, other: str) -> DataFrame:
+        """Blocks of a key's rows, each once for every block of the other side."""
+        cut = side.groupBy(*on, other, F.pmod(F.xxhash64("id", "simhash"), own).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "simhash")).alias(rows))
+        return cut.select(*on, F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), rows).repartition(tasks, *on, "p", "q")
+
+    tasks = int(min(MOST_TASKS, met // TASK_PAIRS + 1))
+    pairs = blocks(a, "xs", "p", "q").hint("merge").join(blocks(b, "ys", "q", "p"), [*on, "p", "q"]).select(F.col("band") if on else F.lit(0).alias("band"), "xs", "ys")
+    schema = T.StructType([T.StructField("left_id", left.schema["id"].dataType), T.StructField("right_id", right.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    return pairs.mapInArrow(_near_in_blocks(threshold, edges), schema)
+
+
 def fingerprint_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_id, right_id, score) of fingerprints at least so similar; both sides as build_index gives them.
 
-    Up to 64 * (1 - threshold) bits may differ. Cut into one band more than that, some band is equal, so bands join exactly. Below
-    BANDED_FROM bands of less than four bits don't select anything; there a right side of up to SENT rows is sent to all tasks, and
-    only a larger one is joined by bands at the cost of all pairs.
+    Bands join exactly (band_edges, near_pairs). Below BANDED_FROM bands of less than four bits don't select anything; there a right side of
+    up to SENT rows is sent to all tasks, and only a larger one is joined in blocks at the cost of all pairs.
     """
     if threshold < BANDED_FROM and right.count() <= SENT:
         return _compared(left, right, threshold)
-    bits = int(64 * (1 - threshold) + 1e-9)
-    bands = min(bits + 1, 64)
-    edges = [64 * i // bands for i in range(bands + 1)]
-    keys = lambda c: F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(c, 64 - z), 64 - z + a).alias("key")) for i, (a, z) in enumerate(zip(edges, edges[1:]))])
-    a = left.select(F.col("fingerprint_id").alias("left_id"), F.col("simhash").alias("x")).select("*", F.explode(keys(F.col("x"))).alias("k"))
-    b = right.select(F.col("fingerprint_id").alias("right_id"), F.col("simhash").alias("y")).select("*", F.explode(keys(F.col("y"))).alias("k"))
-    score = similarity(F.col("x"), F.col("y"))
-    # a pair counts in its first equal band only, so that no pass over pairs makes them distinct
-    first = F.array_position(F.transform(F.arrays_zip(keys(F.col("x")).alias("p"), keys(F.col("y")).alias("q")), lambda z: z["p"] == z["q"]), True) - 1
-    return a.join(b, "k").where((score >= threshold) & (F.col("k.band") == first)).select("left_id", "right_id", score.alias("score"))
+    a, b = (kept(side.select(F.col("fingerprint_id").alias("id"), "simhash"), "fingerprints").where("simhash IS NOT NULL") for side in (left, right))
+    return near_pairs(a, b, threshold, band_edges(threshold))
 
 
 def scan_fingerprints(components: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

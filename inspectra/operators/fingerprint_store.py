@@ -2,8 +2,8 @@
 
 For a similarity threshold up to `bits` bits may differ, so of bits + 1 bands one is equal; the index holds each fingerprint once in
 every band. Its folders are band, shard (of the band's value) and batch. An addition writes folders of its own batch and can be
-repeated; a deletion finds the folders that hold the ids, by the same bands, and rewrites those alone. A search reads the shards that its
-fingerprints' bands name. Entries with their texts' lengths and previews lie apart, by shard of the id.
+repeated; a deletion finds the folders that hold the ids, by the same bands, and rewrites those alone. A search compares blocks of rows of
+equal bands, or of all entries where bands don't select (near_pairs). Entries with their texts' lengths and previews lie apart, by shard of the id.
 
 Edge cases: ids are unique: an addition replaces entries of the same id; null ids and fingerprints are left out; of an id that a batch brings
 several times one entry stays (the greatest); deleting what isn't there changes nothing; an empty index is an empty table.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inspectra.operators.fingerprint import similarity
+from inspectra.operators.fingerprint import band_edges, band_keys, near_pairs
 from inspectra.storage import exists, kept, removed
 
 _ENTRY = ("fingerprint_id", "simhash", "text_length", "preview")
@@ -34,8 +34,7 @@ class FingerprintStore:
 
     @property
     def edges(self) -> list[int]:
-        bands = int(64 * (1 - self.threshold) + 1e-9) + 1
-        return [64 * i // bands for i in range(bands + 1)]
+        return band_edges(self.threshold)
 
     def _schema(self, part: str) -> str:
         own = f"fingerprint_id {self.id_type}, simhash bigint"
@@ -49,11 +48,8 @@ class FingerprintStore:
 
     def _keys(self, simhash: Column) -> Column:
         """(band, key, shard) of each band."""
-        bands = []
-        for i, (a, z) in enumerate(zip(self.edges, self.edges[1:])):
-            key = F.shiftrightunsigned(F.shiftleft(simhash, 64 - z), 64 - z + a)
-            bands.append(F.struct(F.lit(i).alias("band"), key.alias("key"), F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("int").alias("shard")))
-        return F.array(*bands)
+        shard = lambda key: F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("int").alias("shard")
+        return F.transform(band_keys(simhash, self.edges), lambda k: F.struct(k["band"].alias("band"), k["key"].alias("key"), shard(k["key"])))
 
     def _banded(self, rows: DataFrame) -> DataFrame:
         return rows.select("fingerprint_id", "simhash", F.explode(self._keys(F.col("simhash"))).alias("k")).select("fingerprint_id", "simhash", "k.key", "k.band", "k.shard")
@@ -111,10 +107,6 @@ class FingerprintStore:
         least = self.threshold if threshold is None else threshold
         if least < self.threshold:
             raise ValueError(f"this index is exact from {self.threshold} on")
-        a = seen.where("simhash IS NOT NULL").select(F.col("fingerprint_id").alias("seen_id"), F.col("simhash").alias("x"), F.explode(self._keys(F.col("simhash"))).alias("k")).select("seen_id", "x", "k.band", "k.key", "k.shard")
-        b = self._read("bands").select("fingerprint_id", F.col("simhash").alias("y"), "band", "key", "shard")
-        score = similarity(F.col("x"), F.col("y"))
-        # a pair counts in its first equal band only
-        equal = F.transform(F.arrays_zip(self._keys(F.col("x")).alias("p"), self._keys(F.col("y")).alias("q")), lambda z: z["p"] == z["q"])
-        near = a.join(b, ["band", "shard", "key"]).where((score >= least) & (F.col("band") == F.array_position(equal, True) - 1))
-        return near.select("seen_id", "fingerprint_id", score.alias("score"))
+        some = kept(seen.where("simhash IS NOT NULL").select(F.col("fingerprint_id").alias("id"), "simhash"), "seen")
+        stored = lambda part, *more: self._read(part).select(F.col("fingerprint_id").alias("id"), "simhash", *more)
+        return near_pairs(some, stored("entries"), least, self.edges, stored("bands", "band", "key")).select(F.col("left_id").alias("seen_id"), F.col("right_id").alias("fingerprint_id"), "score")

@@ -4,7 +4,9 @@ import pathlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from inspectra.operators import fingerprint
 from inspectra.operators.fingerprint import build_index
 from inspectra.operators.fingerprint_store import FingerprintStore
 
@@ -74,6 +76,24 @@ def test_a_deletion_touches_its_folders_only(spark, tmp_path):
     assert len(before) - len(before.keys() & after.keys()) <= len(store.edges)  # one folder of each band, one of the entries
 
 
+@pytest.mark.parametrize("selective", [0.0, 1e9])  # blocks of all rows; blocks of equal bands
+def test_pairs_of_equal_fingerprints_are_many_tasks(spark, tmp_path, monkeypatch, selective):
+    for name, value in (("BLOCK", 16), ("TASK_PAIRS", 500), ("STEP_PAIRS", 50), ("SENT_KEYS", 0), ("SELECTIVE", selective)):
+        monkeypatch.setattr(fingerprint, name, value, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    rng = random.Random(6)
+    common = rng.getrandbits(63)
+    have, seen = ([(i, near(rng, common, rng.choice([0] * 9 + [2, 6, 9])), 60, "p") for i in range(a, z)] for a, z in ((0, 120), (200, 260)))
+    store = FingerprintStore(spark, f"file://{tmp_path / 'index'}", shards=2)
+    store.add(spark.createDataFrame(have, SCHEMA), 0)
+    got = store.search(spark.createDataFrame([*seen, (999, None, 5, "x")], SCHEMA))
+    assert rows_of(got) == brute(seen, have, 0.9)
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows_of(store.search(spark.createDataFrame(seen, SCHEMA), 1.0)) == brute(seen, have, 1.0)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(parts) < sum(parts) / 3
+
+
 def test_load_equals_build(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
     store = FingerprintStore(spark, f"file://{tmp_path / 'index'}", 0.9, 2)
