@@ -55,7 +55,11 @@ def with_variants(components: DataFrame) -> DataFrame:
     return components.withColumn("normalized", F.lit(False)).unionByName(more.drop("n", "decoded").withColumn("normalized", F.lit(True)))
 
 
+#: What fingerprints see as blanks; most characters of most texts, which the patterns tell at once.
+_BLANK, _PLAIN = r"\s\x{85}\p{Z}\x1c-\x1f", "abcdefghijklmnopqrstuvwxyz0123456789_ "
+
+
 def fingerprint_text(text: Column) -> Column:
     """Lower case, only letters, digits, underscores and single blanks."""
-    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s\x{85}\p{Z}\x1c-\x1f]", "")
-    return F.trim(F.regexp_replace(kept, r"[\s\x{85}\p{Z}\x1c-\x1f]+", " "))
+    kept = F.regexp_replace(F.lower(text), rf"[[^{_PLAIN}]&&[^\p{{L}}\p{{N}}_{_BLANK}]]+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, rf"[[^{_PLAIN}]&&[{_BLANK}]]", " "), "  +", " "))

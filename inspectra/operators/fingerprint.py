@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inspectra.functions.normalize import fingerprint_text
+from inspectra.functions.steps import cuts
 from inspectra.storage import kept
 
 SHINGLE, LEAST_CHARS, THRESHOLD = 4, 50, 0.40
@@ -24,58 +25,87 @@ STEP_CHARS, BANDED_FROM, SENT, STEP_PAIRS = 100_000, 0.75, 500_000, 1_000_000
 BLOCK, TASK_PAIRS, MOST_TASKS, SELECTIVE, SENT_KEYS = 4096, 1 << 26, 4096, 0.5, 100_000
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: A byte's bits as the eight bytes of a word.
+_SPREAD = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], "<u8")
 
 
 def simhash_texts(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
     """Each different place's shingle votes on every bit of its FNV-1a hash; bits with more ones than zeros are set. Signed 64 bits.
 
-    All texts of a batch at once: no text may be empty.
+    All texts of a batch at once: no text may be empty. A hash begins at every character of all texts; those that run over a text's end have no vote.
     """
     chars = np.array([len(t) for t in texts], np.int64)
     places = np.maximum(1, chars - shingle + 1)
     joined = "".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    points, raw = np.frombuffer(joined.encode("utf-32-le"), "<u4"), np.frombuffer(joined.encode(), np.uint8)
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    raw = np.frombuffer(joined.encode() + b"\0" * 16, np.uint8).astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum(width)])
-    text_at = np.cumsum(chars) - chars
-    first = np.repeat(text_at - np.cumsum(places) + places, places) + np.arange(places.sum())
-    begin, end = at[first], at[np.minimum(first + shingle, np.repeat(text_at + chars, places))]
-    h = np.full(len(begin), FNV_START, np.uint64)
-    for k in range(int((end - begin).max(initial=0))):
-        has = begin + k < end
-        h = np.where(has, (h ^ raw[np.minimum(begin + k, len(raw) - 1)]) * np.uint64(FNV_PRIME), h)
-    starts, value = np.cumsum(places) - places, np.zeros(len(texts), np.uint64)
-    for b in range(64):
-        ones = np.add.reduceat((h >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
-        value |= (2 * ones > places).astype(np.uint64) << np.uint64(b)
-    return value.view(np.int64)
+    at = np.cumsum(width) - width
+    first, wide, n = raw[at].astype(np.uint64), np.flatnonzero(width > 1), max(0, len(points) - shingle + 1)
+    hashes, prime = np.zeros(len(points) + 1, np.uint64), np.uint64(FNV_PRIME)
+    h = hashes[:n]
+    h[:] = FNV_START
+    for j in range(shingle):
+        h ^= first[j : n + j]
+        h *= prime
+        c = wide[(wide >= j) & (wide < n + j)]
+        for k in range(1, 4):
+            c = c[width[c] > k]
+            h[c - j] = (h[c - j] ^ raw[at[c] + k]) * prime
+    # stretches of up to 255 places, in which eight counts fit into a word's bytes, and one without a vote behind each text
+    text_at, parts = np.cumsum(chars) - chars, -(-places // 255) + 1
+    part_at = np.cumsum(parts) - parts
+    stretch = np.arange(parts.sum()) - np.repeat(part_at, parts)
+    begin = np.repeat(text_at, parts) + np.minimum(255 * stretch, np.repeat(places, parts))
+    votes = np.ones(len(begin), bool)
+    votes[part_at + parts - 1] = False
+    ones = np.empty((len(texts), 8, 8), np.int64)
+    for b, byte in enumerate(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T):
+        counts = np.add.reduceat(_SPREAD[byte], begin)[votes].view(np.uint8).reshape(-1, 8)
+        ones[:, b] = np.add.reduceat(counts.astype(np.int64), part_at - np.arange(len(texts)), axis=0)
+    value = np.packbits((2 * ones > places[:, None, None]).reshape(-1, 64), axis=1, bitorder="little").view(np.int64)[:, 0]
+    for i in np.flatnonzero(chars < shingle):
+        value[i] = _fnv(texts[i].encode())
+    return value
+
+
+def _fnv(data: bytes) -> np.int64:
+    h = FNV_START
+    for b in data:
+        h = (h ^ b) * FNV_PRIME % (1 << 64)
+    return np.uint64(h).view(np.int64)
 
 
 def simhash_text(text: str, shingle: int = SHINGLE) -> int:
     return int(simhash_texts([text], shingle)[0])
 
 
-@F.pandas_udf(T.LongType())
-def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
-        some, size = s[s.fillna("") != ""], 0
-        group: list = []
-        for i, t in [*some.items(), (None, None)]:
-            if group and (t is None or size + len(t) > STEP_CHARS):
-                out.loc[[j for j, _ in group]] = simhash_texts([x for _, x in group])
-                group, size = [], 0
-            if t is not None:
-                group.append((i, t))
-                size += len(t)
-        yield out
+@F.arrow_udf(T.LongType())
+def simhash(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        for at, n in cuts((batch,)):
+            some = batch.slice(at, n).to_pylist()
+            out: list[int | None] = [None] * n
+            group, size = [], 0
+            for i, t in [*enumerate(some), (n, None)]:
+                if group and (i == n or size + len(t or "") > STEP_CHARS):
+                    for j, h in zip(group, simhash_texts([some[j] for j in group]).tolist()):
+                        out[j] = h
+                    group, size = [], 0
+                if t:
+                    group.append(i)
+                    size += len(t)
+            yield pa.array(out, pa.int64())
+
+
+def _long_enough(text: Column) -> Column:
+    """A generator of the text that fingerprints see, if it is long enough; of a filter the optimizer would make that text once more."""
+    return F.explode(F.filter(F.array(fingerprint_text(F.coalesce(text, F.lit("")))), lambda t: F.length(t) >= LEAST_CHARS))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """fingerprint_id, simhash, text_length and preview of the texts that are long enough."""
-    text = docs.select(F.col(id_col).alias("fingerprint_id"), fingerprint_text(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.substring(text_col, 1, 200).alias("preview"))
-    return text.where(F.length("t") >= LEAST_CHARS).select("fingerprint_id", simhash("t").alias("simhash"), F.length("t").alias("text_length"), "preview")
+    text = docs.select(F.col(id_col).alias("fingerprint_id"), _long_enough(F.col(text_col)).alias("t"), F.substring(text_col, 1, 200).alias("preview"))
+    return text.select("fingerprint_id", simhash("t").alias("simhash"), F.length("t").alias("text_length"), "preview")
 
 
 def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,6 +231,6 @@ def scan_fingerprints(components: DataFrame, index: DataFrame, threshold: float
     """
     some = components.where(F.col("component_type").isin("body", "attachment", "generic"))
     key = F.struct("message_id", "component_idx")
-    seen = some.select(key.alias("fingerprint_id"), fingerprint_text(F.coalesce("content", F.lit(""))).alias("t")).where(F.length("t") >= LEAST_CHARS)
+    seen = some.select(key.alias("fingerprint_id"), _long_enough(F.col("content")).alias("t"))
     near = fingerprint_pairs(seen.select("fingerprint_id", simhash("t").alias("simhash")), index, threshold)
     return near.select("left_id.message_id", "left_id.component_idx", F.col("right_id").alias("fingerprint_id"), "score")

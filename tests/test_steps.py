@@ -90,6 +90,25 @@ def test_texts_are_put_in_lower_case_once_for_all_words(spark):
     assert sorted((r["matched_text"], r["start_offset"]) for r in found.collect()) == [("Mask", 0), ("TOſS", 6), ("masK", 15), ("task", 21)]
 
 
+def test_fingerprints_are_made_in_steps_of_texts_made_once(spark):
+    texts = [TEXT, None, "", "abc", "é", "žluťoučký 𝄞 kůň " * 100, "x" * 256, "日本" * 300]
+    got = in_parts(fingerprint.simhash, pa.array(texts * 500))
+    assert got == [fingerprint.simhash_text(t) if t else None for t in texts] * 500
+    assert len(set(got)) == 7
+    plan = fingerprint.build_index(spark.createDataFrame([(1, TEXT)], "id long, text string"), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_the_text_of_fingerprints(spark):
+    """Of every character alone, and of runs, by the two patterns that say what it is."""
+    kept = F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}_\s\x{85}\p{Z}\x1c-\x1f]", "")
+    want = F.trim(F.regexp_replace(kept, r"[\s\x{85}\p{Z}\x1c-\x1f]+", " "))
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    chars = spark.range(0x110000, numPartitions=8).where("id NOT BETWEEN 55296 AND 57343")
+    runs = chars.select(F.explode(F.array(F.concat(F.lit("a"), c, F.lit("b")), F.concat(F.lit(" "), c, F.lit(" "), c, F.lit("\n\t"), c, c, F.lit("Z - ")))).alias("t"))
+    assert runs.where(~normalize.fingerprint_text(F.col("t")).eqNullSafe(want)).count() == 0
+
+
 def test_near_hashes_come_in_steps_and_hashes_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "STEP_PAIRS", 12)
     known = np.array([0, 0b111, -1], np.int64).view(np.uint64)
