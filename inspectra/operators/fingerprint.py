@@ -183,6 +183,7 @@ def _near_in_blocks(least: float, edges: list[int]) -> Callable:
 
 def near_pairs(left: DataFrame, right: DataFrame, threshold: float, edges: list[int], banded: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, score) of fingerprints at least so similar; both sides (id, simhash) without nulls, and cheap to read more than once.
+    Their sizes are counted when this is called, so of a stream each batch is a side of its own (foreachBatch).
 
     Rows of equal bands meet in blocks of about BLOCK rows of each side, so no key is one task; tasks hold the blocks' hashes, compare them in steps
     and give pairs as they come. Where bands leave SELECTIVE of all pairs or more (texts in few languages share bits), the blocks are of

@@ -94,6 +94,15 @@ def test_pairs_of_equal_fingerprints_are_many_tasks(spark, tmp_path, monkeypatch
     assert max(parts) < sum(parts) / 3
 
 
+def test_parts_of_messages_near_an_index(spark):
+    """Identifiers of two columns, on the path of blocks."""
+    words = [" ".join(random.Random(i % 4).choices("one two three four five six seven eight nine ten".split(), k=40)) for i in range(24)]
+    index = build_index(spark.createDataFrame(list(enumerate(words[:4])), "id long, text string"), "id", "text")
+    parts = spark.createDataFrame([(f"m{i}", i % 3, ("body", "attachment", "subject")[i % 3], t) for i, t in enumerate([*words, None, "short"])], "message_id string, component_idx int, component_type string, content string")
+    got = fingerprint.scan_fingerprints(parts, index, 0.97)
+    assert rows_of(got) == sorted((f"m{i}", i % 3, i % 4, 1.0) for i in range(24) if i % 3 < 2)
+
+
 def test_load_equals_build(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
     store = FingerprintStore(spark, f"file://{tmp_path / 'index'}", 0.9, 2)
